@@ -31,12 +31,12 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null and NaN become the column mean. All means come from one aggregation, read as a scalar subquery."""
+    """Null and NaN become the column mean. One aggregation gives all means; the rows are then only projected."""
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         return df
-    means = column_means(df, columns).select(F.struct(*columns)).scalar()
-    return df.withColumns({c: F.coalesce(_value(c), means[c]) for c in columns})
+    means = column_means(df, columns).head()
+    return df.withColumns({c: F.coalesce(_value(c), F.lit(means[c]).cast("double")) for c in columns})
 
 
 def scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -44,13 +44,8 @@ def scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         return df
-    stats = df.agg(F.struct(*[
-        F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns
-    ])).scalar()
-    return df.withColumns({
-        c: (F.col(c) - stats[c]["mean"]) / F.when(stats[c]["std"] == 0, F.lit(1.0)).otherwise(stats[c]["std"])
-        for c in columns
-    })
+    stats = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]).head()
+    return df.withColumns({c: (F.col(c) - stats[f"mean_{c}"]) / F.lit(stats[f"std_{c}"] or 1.0) for c in columns})
 
 
 def standardise_gender(value: Column) -> Column:
@@ -116,7 +111,7 @@ def encode_gender(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def clean_table(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """All-null rows out, numbers imputed with the mean, gender encoded; other text is left alone."""
-    df = drop_all_null_rows(nan_to_null(df))
+    df = nan_to_null(drop_all_null_rows(df))
     return encode_gender(impute_mean(df))
 
 

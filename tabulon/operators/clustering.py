@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,14 +17,17 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.ordered import with_position
 from tabulon.operators.pairwise import block_pairs, matrix, squared_distances
+from tabulon.operators.report import combine
 from tabulon.session import cut_lineage
 
 SEED = 42
+TOLERANCE = 1e-4
 K_MAX = 10
 KMEANS_COLUMN = "kmeans_cluster"
 WARD_COLUMN = "agglomerative_cluster"
 EXACT_WARD_ROWS = 20_000
 MICRO_CLUSTERS = 500
+FINISH_ROWS = 512
 
 # Lower bounds of the silhouette bands and their report lines.
 BANDS = [
@@ -39,14 +43,17 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-def kmeans_model(df: DataFrame, k: int, seed: int = SEED, max_iter: int = 300, tol: float = 1e-4) -> KMeansModel:
+def kmeans_model(df: DataFrame, k: int, seed: int = SEED, max_iter: int = 300, spread: float | None = None) -> KMeansModel:
+    """`spread` is the mean variance of the columns. With it the centres stop once they move by a small
+    part of the data's own scale, instead of by a fixed distance that large units would never reach."""
+    tol = 1e-4 if spread is None else max(math.sqrt(TOLERANCE * spread / k), 1e-12)
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="_cluster").fit(df)
 
 
 def total_spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row (wcss): the cost of a single cluster, from plain variances."""
+    """One row (wcss, n): the cost of a single cluster, from plain variances."""
     cost = sum((F.var_pop(c) * F.count(c) for c in columns), F.lit(0.0))
-    return df.agg(cost.alias("wcss"))
+    return df.agg(cost.alias("wcss"), F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -57,24 +64,25 @@ class Sweep:
     models: dict[int, KMeansModel]
 
 
-def sweep(df: DataFrame, columns: Sequence[str], k_max: int = K_MAX, parallelism: int = 3) -> Sweep:
+def sweep(df: DataFrame, columns: Sequence[str], k_max: int = K_MAX, parallelism: int = 5) -> Sweep:
     """Fit k = 2..k_max once; cost and silhouette of the same fits feed both curves.
 
     The silhouette is the squared-Euclidean one, which costs one pass per k. `df` should be persisted.
     """
     featured = assemble(df, columns)
     evaluator = ClusteringEvaluator(predictionCol="_cluster", featuresCol="features")
+    total = total_spread(df, columns).head()
+    spread = total["wcss"] / max(total["n"], 1) / len(columns)
 
     def run(k: int):
-        model = kmeans_model(featured, k)
+        model = kmeans_model(featured, k, spread=spread)
         clusters = len(model.clusterCenters())
         score = evaluator.evaluate(model.transform(featured)) if clusters > 1 else None
         return k, float(model.summary.trainingCost), score, model
 
     with ThreadPoolExecutor(parallelism) as pool:
         fits = list(pool.map(run, range(2, k_max + 1)))
-    first = float(total_spread(df, columns).head()["wcss"])
-    rows = [(1, first, None)] + [(k, cost, score) for k, cost, score, _ in fits]
+    rows = [(1, float(total["wcss"]), None)] + [(k, cost, score) for k, cost, score, _ in fits]
     curve = df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
     return Sweep(curve, {k: model for k, _, _, model in fits})
 
@@ -183,20 +191,19 @@ def exact_silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> Data
 # --- Ward ---------------------------------------------------------------------------------------
 
 
-def ward_merges(clusters: DataFrame) -> DataFrame:
+def ward_merges(clusters: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """All merges (keep, gone, cost) of Ward's tree over clusters (id, n, mean).
 
     Ward's criterion is reducible, so merging all pairs of mutual nearest neighbours in every round
-    gives the greedy tree. The frame is checkpointed per round; the number of rounds grows like the
-    depth of the tree. The cost of merging a and b is na*nb/(na+nb) * |ma - mb|^2.
+    gives the greedy tree. Once at most `finish_rows` clusters are left, whatever the table held, one
+    bounded block joins them up. The cost of merging a and b is na*nb/(na+nb) * |ma - mb|^2.
     """
     state = cut_lineage(clusters.select(F.col("id").cast("long"), F.col("n").cast("double"), F.col("mean").cast("array<double>")))
-    merges = None
+    merges: list[DataFrame] = []
     rows = state.count()
-    while rows > 1:
+    while rows > finish_rows:
         pairs = cut_lineage(_mutual_neighbours(state, rows))
-        merges = pairs.select("keep", "gone", "cost") if merges is None else merges.unionByName(
-            pairs.select("keep", "gone", "cost"))
+        merges.append(pairs.select("keep", "gone", "cost"))
         done = pairs.select(F.explode(F.array("keep", "gone")).alias("id"))
         joined = pairs.select(
             F.col("keep").alias("id"), (F.col("n_keep") + F.col("n_gone")).alias("n"),
@@ -205,9 +212,27 @@ def ward_merges(clusters: DataFrame) -> DataFrame:
         )
         state = cut_lineage(state.join(done, "id", "left_anti").unionByName(joined))
         rows = state.count()
-    if merges is None:
-        return clusters.sparkSession.createDataFrame([], "keep long, gone long, cost double")
-    return merges
+    merges.append(state.groupBy().applyInPandas(_finish, "keep long, gone long, cost double"))
+    return cut_lineage(combine(*merges))
+
+
+def _finish(left: pd.DataFrame) -> pd.DataFrame:
+    """Greedy merges of a bounded number of clusters: the cheapest pair first, lowest ids on ties."""
+    left = left.sort_values("id")
+    ids, n, means = left["id"].to_numpy(), left["n"].to_numpy(dtype=float), matrix(left["mean"])
+    cost = n[:, None] * n / (n[:, None] + n) * squared_distances(means, means)
+    cost[np.tril_indices(len(ids))] = np.inf
+    out = []
+    for _ in range(len(ids) - 1):
+        a, b = np.unravel_index(np.argmin(cost), cost.shape)
+        out.append((ids[a], ids[b], cost[a, b]))
+        means[a] = (means[a] * n[a] + means[b] * n[b]) / (n[a] + n[b])
+        n[a] += n[b]
+        cost[b, :], cost[:, b] = np.inf, np.inf
+        gap = n * n[a] / (n + n[a]) * ((means - means[a]) ** 2).sum(axis=1)
+        cost[a, a + 1:] = np.where(np.isinf(cost[a, a + 1:]), np.inf, gap[a + 1:])
+        cost[:a, a] = np.where(np.isinf(cost[:a, a]), np.inf, gap[:a])
+    return pd.DataFrame(out, columns=["keep", "gone", "cost"])
 
 
 def _mutual_neighbours(state: DataFrame, rows: int) -> DataFrame:
@@ -288,7 +313,10 @@ def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str
     if algorithm not in ("k-Means", "Agglomerative", "both"):
         raise ValueError(f"unknown clustering algorithm {algorithm!r}")
     if algorithm != "Agglomerative":
-        df = kmeans_labels(df, columns, model or kmeans_model(assemble(df, columns), k))
+        if model is None:
+            total = total_spread(df, columns).head()
+            model = kmeans_model(assemble(df, columns), k, spread=total["wcss"] / max(total["n"], 1) / len(columns))
+        df = kmeans_labels(df, columns, model)
     if algorithm != "k-Means":
         df = ward_labels(df, columns, k, key)
     return df

@@ -113,7 +113,7 @@ def project(df: DataFrame, columns: Sequence[str], threshold: float = EXPLAINED_
         loadings = spark.createDataFrame([(columns[0], name, 1.0)], "column_name string, component string, weight double")
         return Reduced(df.withColumn(name, F.col(columns[0]).cast("double")), [name], columns, [1.0], loadings,
                        "Insufficient features after filtering. Returning original data.")
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).head()
     centred = df.withColumn("_row", F.struct(*df.columns)).select(
         "_row", *[(F.col(c) - means[c]).alias(c) for c in columns]
     )

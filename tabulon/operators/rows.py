@@ -31,6 +31,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
+    """NaN counts as missing here, so this runs before `nan_to_null` and its filter stays on plain columns."""
     return df.na.drop(how="all")
 
 

@@ -31,11 +31,11 @@ class ClusterRun:
 def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = None,
                   correlation_limit: float = CORRELATION_LIMIT, variance_limit: float = VARIANCE_LIMIT,
                   explained_variance: float = EXPLAINED_VARIANCE, max_components: int = MAX_COMPONENTS,
-                  plane: bool = False, k_max: int = C.K_MAX, parallelism: int = 3,
+                  plane: bool = False, k_max: int = C.K_MAX, parallelism: int = 5,
                   ignore: tuple[str, ...] = ()) -> ClusterRun:
     spark = df.sparkSession
     # Rows carry their input columns along, so labels never have to be matched by position.
-    rows = drop_all_null_rows(nan_to_null(df))
+    rows = nan_to_null(drop_all_null_rows(df))
     kept = rows.withColumn("_input", F.struct(*rows.columns))
     clean, genders = clean_table(kept)
     reduced = reduce_features(clean, [c for c in numeric_columns(clean) if c not in ignore], correlation_limit, variance_limit, explained_variance,

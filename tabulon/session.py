@@ -54,9 +54,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that a lost executor does not replay an iterative plan."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame below the shared folder and read it back, so that a lost executor does not replay an
+    iterative plan. A written table computes the frame once, where a checkpoint computes it twice."""
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tabulon.operators import clustering as C
 from tabulon.operators.report import combine, report_metrics
 from tabulon.plans.cluster_table import cluster_table
+from tabulon.session import shared_path
+from tabulon.sources.tables import load_table, write_table
 from tabulon.workload.common import Registry, r, sql_r, table
 
 queries = Registry()
@@ -16,9 +18,12 @@ DIMENSIONS = 64
 
 
 def flat_embeddings(spark, d):
-    """vec_id, label and one column per dimension: the flat table the analysis works on."""
-    return table(spark, d, "embeddings").select(
+    """vec_id, label and one column per dimension, as a file: the analysis works on flat tables that were uploaded."""
+    flat = table(spark, d, "embeddings").select(
         "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)])
+    path = shared_path(spark, "embeddings") + ".parquet"
+    write_table(flat, path, "parquet")
+    return load_table(spark, path)
 
 
 EMBEDDED = [f"e{i}" for i in range(DIMENSIONS)]
