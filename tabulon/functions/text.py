@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that count as white space in Unicode text.
 WHITE_SPACE = (
@@ -32,16 +33,16 @@ def word_count(text: Column | str) -> Column:
     return F.regexp_count(_column(text), F.lit(f"[^{WHITE_SPACE}]+"))
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
 def nfkc(text: Column | str) -> Column:
     """Unicode compatibility form. Plain ASCII text, which cannot change, is not sent to Python."""
+
+    @F.pandas_udf(T.StringType())
+    def convert(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
     text = _column(text)
     ascii_only = text.rlike("^\\p{ASCII}*$")
-    return F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))
+    return F.when(ascii_only, text).otherwise(convert(F.when(~ascii_only, text)))
 
 
 def clean_answer(text: Column | str) -> Column:

@@ -62,15 +62,16 @@ def prepare(df: DataFrame, target: str, numbers: Sequence[str], mode: str = "cla
     stages.append(VectorAssembler(inputCols=[*filled, *text_outputs], outputCol="features", handleInvalid="keep"))
     cast = df.withColumns({c: F.col(c).cast("double") for c in numbers}).where(F.col(target).isNotNull())
     fitted = Pipeline(stages=stages).fit(cast)
-    marked = with_split(with_folds(cast, target, key, folds), key)
-    labels = None
+    marked = with_split(with_folds(cast.withColumn("_target", F.col(target)), "_target", key, folds), key)
+    made = fitted.transform(marked).select("features", "fold", "is_test", "_target")
     if mode == "classification":
         labels = sorted_labels(df, target)
-        index = StringIndexerModel.from_labels(labels, inputCol="_target", outputCol="label")
-        marked = index.transform(marked.withColumn("_target", F.col(target).cast("string")))
+        made = made.withColumn("_target", F.col("_target").cast("string"))
+        made = StringIndexerModel.from_labels(labels, inputCol="_target", outputCol="label").transform(made)
     else:
-        marked = marked.withColumn("label", F.col(target).cast("double"))
-    frame = fitted.transform(marked).select("features", "label", "fold", "is_test")
+        labels = None
+        made = made.withColumn("label", F.col("_target").cast("double"))
+    frame = made.drop("_target")
     return Prepared(frame, fitted, mode, labels, numbers)
 
 

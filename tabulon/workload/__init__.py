@@ -6,10 +6,10 @@ from tabulon.workload.common import Registry
 
 
 def registry() -> Registry:
-    from tabulon.workload import cleaning, clusters, profiles, tables, texts
+    from tabulon.workload import cleaning, clusters, models, profiles, retrieve, runs, scores, tables, texts
 
     out = Registry()
-    for part in (tables, profiles, cleaning, texts, clusters):
+    for part in (tables, profiles, cleaning, texts, clusters, models, scores, retrieve, runs):
         for name, fn in part.queries.queries.items():
             out.add(name, part.queries.sql.get(name))(fn)
     return out
