@@ -30,22 +30,23 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(_value(c)).alias(c) for c in columns])
 
 
-def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null and NaN become the column mean. One aggregation gives all means; the rows are then only projected."""
+def impute_mean(df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
+    """Null and NaN become the column mean, in place or under a prefixed name. One aggregation gives all means;
+    the rows are then only projected."""
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         return df
     means = column_means(df, columns).head()
-    return df.withColumns({c: F.coalesce(_value(c), F.lit(means[c]).cast("double")) for c in columns})
+    return df.withColumns({prefix + c: F.coalesce(_value(c), F.lit(means[c]).cast("double")) for c in columns})
 
 
-def scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def scale(df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
     """(x - mean) / population deviation; a constant column is only centred."""
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         return df
     stats = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]).head()
-    return df.withColumns({c: (F.col(c) - stats[f"mean_{c}"]) / F.lit(stats[f"std_{c}"] or 1.0) for c in columns})
+    return df.withColumns({prefix + c: (F.col(c) - stats[f"mean_{c}"]) / F.lit(stats[f"std_{c}"] or 1.0) for c in columns})
 
 
 def standardise_gender(value: Column) -> Column:
@@ -99,14 +100,14 @@ def map_target(df: DataFrame, targets: Sequence[str] | str) -> tuple[DataFrame,
     return encode(df, target, codes), codes
 
 
-def encode_gender(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def encode_gender(df: DataFrame, out: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Standardise and encode `sex`, else `gender`; the mapping (label, code) goes into the report."""
     column = gender_column(df.columns)
     if column is None:
         return df, None
-    df = df.withColumn(column, standardise_gender(F.col(column)))
-    codes = label_codes(df, column)
-    return encode(df, column, codes), codes
+    df = df.withColumn(out or column, standardise_gender(F.col(column)))
+    codes = label_codes(df, out or column)
+    return encode(df, out or column, codes), codes
 
 
 def clean_table(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -115,3 +116,16 @@ def clean_table(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return encode_gender(impute_mean(df))
 
 
+def clean_features(df: DataFrame, prefix: str) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Like `clean_table`, but next to the input columns: the cleaned numbers get prefixed names.
+
+    Rows so carry their input along and labels never have to be matched by position. Input columns keep
+    their plain names; a renamed copy of each would make the optimiser rewrite the all-null filter once
+    per combination of copies.
+    """
+    df = drop_all_null_rows(df)
+    gender = gender_column(df.columns)
+    numbers = [c for c in numeric_columns(df) if c != gender]
+    df, codes = encode_gender(impute_mean(df, numbers, prefix), prefix + gender if gender else None)
+    order = [c for c in df.columns if c in numbers or c == gender]
+    return df, [prefix + c for c in order], codes

@@ -13,6 +13,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.clean import scale
+
 CORRELATION_LIMIT = 0.85
 VARIANCE_LIMIT = 0.02
 EXPLAINED_VARIANCE = 0.95
@@ -114,17 +116,16 @@ def project(df: DataFrame, columns: Sequence[str], threshold: float = EXPLAINED_
         return Reduced(df.withColumn(name, F.col(columns[0]).cast("double")), [name], columns, [1.0], loadings,
                        "Insufficient features after filtering. Returning original data.")
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).head()
-    centred = df.withColumn("_row", F.struct(*df.columns)).select(
-        "_row", *[(F.col(c) - means[c]).alias(c) for c in columns]
-    )
-    assembled = VectorAssembler(inputCols=columns, outputCol="_centred").transform(centred).select("_row", "_centred")
-    model: PCAModel = PCA(k=len(columns), inputCol="_centred", outputCol="_scores").fit(assembled)
+    centred = df.withColumns({f"_centred_{i}": F.col(c) - means[c] for i, c in enumerate(columns)})
+    assembler = VectorAssembler(inputCols=[f"_centred_{i}" for i in range(len(columns))], outputCol="_centred")
+    assembled = assembler.transform(centred).drop(*assembler.getInputCols())
+    model: PCAModel = PCA(k=len(columns), inputCol="_centred", outputCol="_scores").fit(assembled.select("_centred"))
     ratios = [float(x) for x in model.explainedVariance.toArray()]
     n = count or component_count(ratios, threshold, limit)
     weights = model.pc.toArray()
     names = [f"{prefix}{i + 1}" for i in range(n)]
     scores = model.transform(assembled).withColumn("_scores", vector_to_array("_scores"))
-    frame = scores.select("_row.*", *[F.col("_scores")[i].alias(c) for i, c in enumerate(names)])
+    frame = scores.withColumns({c: F.col("_scores")[i] for i, c in enumerate(names)}).drop("_centred", "_scores")
     loadings = spark.createDataFrame(
         [(c, names[j], float(weights[i, j])) for j in range(n) for i, c in enumerate(columns)],
         "column_name string, component string, weight double",
@@ -143,8 +144,6 @@ def reduce_features(df: DataFrame, columns: Sequence[str], correlation_limit: fl
 
 def plane_view(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Two scores (pc1, pc2) of the z-scored columns, in the same row as everything else."""
-    from tabulon.operators.clean import scale
-
-    scaled = scale(df.withColumns({f"_z_{c}": F.col(c).cast("double") for c in columns}), [f"_z_{c}" for c in columns])
-    view = project(scaled, [f"_z_{c}" for c in columns], prefix="pc", count=min(2, len(columns)))
-    return view.frame.drop(*[f"_z_{c}" for c in columns])
+    scaled = scale(df, columns, "_z_")
+    names = [f"_z_{c}" for c in columns]
+    return project(scaled, names, prefix="pc", count=min(2, len(names))).frame.drop(*names)

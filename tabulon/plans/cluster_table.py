@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators import clustering as C
-from tabulon.operators.clean import clean_table
+from tabulon.operators.clean import clean_features
 from tabulon.operators.reduce import (CORRELATION_LIMIT, EXPLAINED_VARIANCE, MAX_COMPONENTS, VARIANCE_LIMIT, plane_view,
                                       reduce_features)
 from tabulon.operators.report import report_rows
-from tabulon.operators.rows import drop_all_null_rows, nan_to_null, numeric_columns
 
 
 @dataclass
@@ -34,12 +33,9 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = N
                   plane: bool = False, k_max: int = C.K_MAX, parallelism: int = 5,
                   ignore: tuple[str, ...] = ()) -> ClusterRun:
     spark = df.sparkSession
-    # Rows carry their input columns along, so labels never have to be matched by position.
-    rows = nan_to_null(drop_all_null_rows(df))
-    kept = rows.withColumn("_input", F.struct(*rows.columns))
-    clean, genders = clean_table(kept)
-    reduced = reduce_features(clean, [c for c in numeric_columns(clean) if c not in ignore], correlation_limit, variance_limit, explained_variance,
-                              max_components)
+    clean, features, genders = clean_features(df, "_f_")
+    features = [c for c in features if c.removeprefix("_f_") not in ignore]
+    reduced = reduce_features(clean, features, correlation_limit, variance_limit, explained_variance, max_components)
     scores = reduced.components
 
     slim = reduced.frame.select(*scores).persist()
@@ -51,10 +47,10 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = N
             C.choice_reason(F.col("elbow_k"), F.col("silhouette_k")).alias("reason"),
         ).head()
         k = max(row["k"], 2)
-        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, f"_input.{key}" if key else None, found.models[k])
+        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, key, found.models[k])
         labels = [c for c in (C.KMEANS_COLUMN, C.WARD_COLUMN) if c in labelled.columns]
         rows_of_report = [
-            ("reduction", "columns", ", ".join(reduced.columns)), ("reduction", "info", reduced.info),
+            ("reduction", "columns", ", ".join(c.removeprefix("_f_") for c in reduced.columns)), ("reduction", "info", reduced.info),
             ("clusters", "k", k), ("clusters", "reason", row["reason"]),
         ]
         if genders is not None:
@@ -68,8 +64,9 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = N
     if plane:
         labelled = plane_view(labelled, scores)
     extra = ["pc1", "pc2"][: len(scores)] if plane else []
-    result = labelled.select("_input.*", *labels, *extra)
-    return ClusterRun(result, k, C.elbow_curve(found.curve), C.silhouette_curve(found.curve), reduced.loadings,
+    result = labelled.select(*df.columns, *labels, *extra)
+    loadings = reduced.loadings.withColumn("column_name", F.regexp_replace("column_name", "^_f_", ""))
+    return ClusterRun(result, k, C.elbow_curve(found.curve), C.silhouette_curve(found.curve), loadings,
                       report_rows(spark, rows_of_report))
 
 
