@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where the optimiser moves or merges projections."""
+    return F.get(F.transform(F.array(_column(value)), body), F.lit(0))
+
+
 def array_sum(values: Column | str) -> Column:
     return F.aggregate(_column(values), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -20,14 +27,13 @@ def sigmoid(z: Column | str) -> Column:
 
 def softmax(z: Column | str) -> Column:
     """Shifted by the largest score, so that no exponential overflows."""
-    shifted = F.transform(_column(z), lambda x: F.exp(x - F.array_max(_column(z))))
-    return F.transform(shifted, lambda e: e / array_sum(shifted))
+    powers = let(z, lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
+    return let(powers, lambda e: let(array_sum(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values: Column | str) -> Column:
     """Zero-based place of the largest value, the first one on ties."""
-    values = _column(values)
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def one_hot(index: Column | str, classes: int) -> Column:

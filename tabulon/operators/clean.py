@@ -45,8 +45,12 @@ def scale(df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "")
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         return df
-    stats = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"std_{c}") for c in columns]).head()
-    return df.withColumns({prefix + c: (F.col(c) - stats[f"mean_{c}"]) / F.lit(stats[f"std_{c}"] or 1.0) for c in columns})
+    stats = df.agg(*[
+        F.struct(F.avg(c).alias("mean"), F.when(F.min(c) < F.max(c), F.stddev_pop(c)).alias("std")).alias(c) for c in columns
+    ]).head()
+    return df.withColumns({
+        prefix + c: (F.col(c) - F.lit(stats[c]["mean"])) / F.lit(stats[c]["std"] or 1.0) for c in columns
+    })
 
 
 def standardise_gender(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -15,7 +16,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.vectors import argmax, array_sum, softmax
+from tabulon.functions.vectors import argmax, array_sum, let, softmax
 
 SMALLEST_DEVIATION = 1e-9
 LOG_FLOOR = 1e-9
@@ -43,11 +44,12 @@ def class_scores(values: Column, priors: Sequence[float], means: Sequence[Sequen
     """
     if density not in DENSITIES:
         raise ValueError(f"density must be one of {DENSITIES}")
-    classes = F.array(*[
-        F.struct(F.lit(math.log(p)).alias("prior"), F.lit([float(x) for x in m]).alias("mean"),
-                 F.lit([float(x) for x in s]).alias("std"))
+    table = [
+        {"prior": math.log(p), "stats": [{"mean": float(x), "std": float(y)} for x, y in zip(m, s)]}
         for p, m, s in zip(priors, means, stds)
-    ])
+    ]
+    # One constant for the whole table; the optimiser evaluates it once.
+    classes = F.from_json(F.lit(json.dumps(table)), "array<struct<prior: double, stats: array<struct<mean: double, std: double>>>>")
     root = math.sqrt(2 * math.pi)
 
     def log_density(x: Column, stat: Column) -> Column:
@@ -56,7 +58,7 @@ def class_scores(values: Column, priors: Sequence[float], means: Sequence[Sequen
         return F.log(factor * F.exp(-0.5 * z * z) + LOG_FLOOR)
 
     return F.transform(classes, lambda c: c["prior"] + array_sum(
-        F.zip_with(values, F.arrays_zip(c["mean"].alias("mean"), c["std"].alias("std")), log_density)))
+        F.zip_with(values, c["stats"], log_density)))
 
 
 def with_class_probabilities(df: DataFrame, stats: DataFrame, columns: Sequence[str],
@@ -135,16 +137,16 @@ class GaussianBayesModel(Model, _BayesParams, DefaultParamsReadable, DefaultPara
         rows = [slice(i * width, (i + 1) * width) for i in range(len(classes))]
         means = [self.getOrDefault(self.means)[r] for r in rows]
         stds = [self.getOrDefault(self.stds)[r] for r in rows]
-        scored = dataset.withColumn("_values", vector_to_array(self.getFeaturesCol()))
-        scored = scored.withColumn(
-            "_scores", class_scores(F.col("_values"), priors, means, stds, self.getOrDefault(self.density)))
-        scored = scored.withColumn("_p", softmax("_scores"))
         seen = {int(c): i for i, c in enumerate(classes)}
-        by_label = F.array(*[
-            F.get("_p", F.lit(seen[c])) if c in seen else F.lit(0.0) for c in range(self.getOrDefault(self.classCount))
-        ])
-        scored = scored.withColumn("_p", by_label)
+
+        def by_label(p: Column) -> Column:
+            return F.array(*[
+                F.get(p, F.lit(seen[c])) if c in seen else F.lit(0.0) for c in range(self.getOrDefault(self.classCount))])
+
+        scores = let(vector_to_array(self.getFeaturesCol()), lambda v: class_scores(
+            v, priors, means, stds, self.getOrDefault(self.density)))
+        scored = dataset.withColumn("_p", let(softmax(scores), by_label))
         return scored.withColumns({
             self.getProbabilityCol(): array_to_vector("_p"),
             self.getPredictionCol(): argmax("_p").cast("double"),
-        }).drop("_values", "_scores", "_p")
+        }).drop("_p")

@@ -30,7 +30,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = list(columns)
     if len(columns) > WIDE:
         return _correlation_matrix_pairs(df, columns)
-    spread = {c: F.stddev_pop(c) for c in columns}
+    # Rounding can leave a constant column a tiny deviation, so its bounds tell that it is constant.
+    spread = {c: F.when(F.min(c) < F.max(c), F.stddev_pop(c)) for c in columns}
     pairs = [
         F.struct(
             F.lit(a).alias("col_i"), F.lit(i).alias("pos_i"), F.lit(b).alias("col_j"), F.lit(j).alias("pos_j"),
@@ -44,13 +45,16 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _correlation_matrix_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The matrix has one number per column pair, whatever the number of rows."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(*columns)).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    rows = [
-        (columns[i], i, columns[j], j, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, j in combinations(range(len(columns)), 2)
-    ]
+    """The matrix has one number per column pair, whatever the number of rows. Constant columns, which have no
+    correlation, are found first: inside the matrix they would spoil other columns too."""
+    bounds = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).head()
+    varied = [c for c in columns if bounds[c]]
+    values = {}
+    if len(varied) > 1:
+        vectors = VectorAssembler(inputCols=varied, outputCol="v").transform(df.select(*varied)).select("v")
+        matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+        values = {(a, b): float(matrix[i, j]) for (i, a), (j, b) in combinations(enumerate(varied), 2)}
+    rows = [(a, i, b, j, values.get((a, b))) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
     return df.sparkSession.createDataFrame(rows, "col_i string, pos_i int, col_j string, pos_j int, r double")
 
 
