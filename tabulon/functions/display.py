@@ -18,7 +18,7 @@ def number_text(x: Column) -> Column:
     mantissa = F.regexp_replace(F.substring_index(short, "E", 1), "\\.0$", "")
     power = F.substring_index(short, "E", -1).try_cast("int")
     sign = F.when(power < 0, "-").otherwise("+")
-    exponent = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.concat(mantissa, F.lit("e"), sign, F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     return (
         F.when(F.isnan(x.cast("double")), MISSING)
         .when(short.contains("Infinity"), F.when(x > 0, "inf").otherwise("-inf"))

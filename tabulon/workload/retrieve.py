@@ -27,8 +27,8 @@ def row_documents(spark, d):
 @queries.add("dataset_summary", """
     WITH h AS (SELECT * FROM part ORDER BY p_partkey LIMIT 2),
     c AS (SELECT p_partkey, p_partkey::VARCHAR AS a, p_name AS b, p_brand AS c, p_type AS e, p_size::VARCHAR AS f FROM h),
-    w AS (SELECT greatest(9, max(length(a))) AS wa, greatest(6, max(length(b))) AS wb, greatest(7, max(length(c))) AS wc,
-                 greatest(6, max(length(e))) AS we, greatest(6, max(length(f))) AS wf FROM c)
+    w AS (SELECT greatest(10, max(length(a))) AS wa, greatest(6, max(length(b))) AS wb, greatest(7, max(length(c))) AS wc,
+                 greatest(6, max(length(e))) AS we, greatest(7, max(length(f))) AS wf FROM c)
     SELECT 'This dataset appears to contain structured information.' || chr(10) || 'It has ' || (SELECT count(*) FROM part) ||
            ' rows and 5 columns.' || chr(10) || 'Here are the columns: p_partkey, p_name, p_brand, p_type, p_size' || chr(10) ||
            'Here are a few sample rows:' || chr(10) ||
