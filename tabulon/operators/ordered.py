@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tabulon.session import shuffle_width
+from tabulon.session import cut_lineage, shuffle_width
 
 MAX_BUCKETS = 1024
 SAMPLES_PER_BUCKET = 16
@@ -57,6 +57,8 @@ def with_running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order = list(by), list(order)
     if bucket is None:
+        # Sample, bucket totals and result all read the frame: write it once instead of computing it three times.
+        df = cut_lineage(df)
         bucket = ordered_bucket([*by, *order], split_points(df, [*by, *order], buckets))
     cut = df.withColumn("_bucket", bucket)
     sums = {name: F.sum(value) for name, value in totals.items()}

@@ -9,15 +9,17 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import WHITE_SPACE, normalise, tokens
+from tabulon.functions.text import sql_tokens, tokens
 from tabulon.operators.ordered import with_position
+from tabulon.session import cut_lineage
 
 TOP_FEATURES = 100
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 def document_tokens(df: DataFrame, key: str, text: str, *extra: str) -> DataFrame:
     """(key, tokens) of normalised text; a missing text has no token."""
-    words = tokens(normalise(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    words = tokens(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return df.select(key, *extra, words.alias("tokens"))
 
 
@@ -26,12 +28,12 @@ def bag_of_words(docs: DataFrame, key: str, *extra: str) -> DataFrame:
 
     In the sorted tokens every term is one run; the run starts give the counts.
     """
+    # No filter on empty documents: it would be pushed below the sort and repeat it.
     size = F.size("sorted")
-    ordered = docs.select(key, *extra, F.array_sort("tokens").alias("sorted")).where(size > 0)
+    ordered = docs.select(key, *extra, F.sort_array("tokens").alias("sorted"))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: (i == 0) | (F.get(F.col("sorted"), i - 1) != F.get(F.col("sorted"), i)),
-    )
+        places, lambda i: (i == 0) | (F.get(F.col("sorted"), i - 1) != F.get(F.col("sorted"), i)))
     marked = ordered.withColumn("starts", starts)
     runs = F.transform(
         F.col("starts"),
@@ -46,15 +48,19 @@ def bag_of_words(docs: DataFrame, key: str, *extra: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, key: str) -> DataFrame:
-    """(term, term_index): terms numbered by first appearance, in the order of the key and the position."""
-    places = docs.select(key, F.posexplode("tokens").alias("pos", "term"))
+    """(term, term_index): terms numbered by first appearance, in the order of the key and the position.
+
+    The distinct tokens of a document keep their order, so their places order first appearances as well.
+    """
+    places = docs.select(key, F.posexplode(F.array_distinct("tokens")).alias("pos", "term"))
     first = places.groupBy("term").agg(F.min(F.struct(key, "pos")).alias("first")).select("term", "first.*")
     return with_position(first, [], [key, "pos"], "term_index").select("term", "term_index")
 
 
-def document_frequency(bag: DataFrame) -> DataFrame:
-    """(term, df). The bag has one row per document and term, so a count needs no distinct."""
-    return bag.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(term, df). A document is one row, so its distinct terms are found inside the row."""
+    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def inverse_frequency(df: Column, documents) -> Column:
@@ -62,12 +68,21 @@ def inverse_frequency(df: Column, documents) -> Column:
 
 
 def tfidf(docs: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf, tfidf) with tf = n / tokens and idf = ln((N + 1) / (df + 1)) + 1."""
-    bag = bag_of_words(docs, key)
+    """(key, term, tf, tfidf) with tf = n / tokens and idf = ln((N + 1) / (df + 1)) + 1.
+
+    The document frequencies are written once; their counted size decides how they meet the postings.
+    """
     documents = docs.agg(F.count(F.lit(1))).scalar()
-    frequencies = document_frequency(bag).select("term", inverse_frequency(F.col("df"), documents).alias("idf"))
+    frequencies = cut_lineage(
+        document_frequency(docs).select("term", inverse_frequency(F.col("df"), documents).alias("idf")))
     tf = F.col("n") / F.col("n_tokens")
-    return bag.join(frequencies, "term").select(key, "term", tf.alias("tf"), (tf * F.col("idf")).alias("tfidf"))
+    bag = bag_of_words(docs, key)
+    if frequencies.count() <= MAX_BROADCAST_TERMS:
+        joined = bag.join(F.broadcast(frequencies), "term")
+    else:
+        # A frequent term's postings are split over tasks by the adaptive skew join.
+        joined = bag.hint("merge").join(frequencies, "term")
+    return joined.select(key, "term", tf.alias("tf"), (tf * F.col("idf")).alias("tfidf"))
 
 
 def chi2_scores(docs: DataFrame, key: str, label: str) -> DataFrame:
@@ -121,8 +136,6 @@ def text_feature_stages(df: DataFrame, columns: Sequence[str], key: str, label:
     placeholder slot, so that an L1 norm divides every count by the number of tokens.
     """
     stages, outputs, terms = [], [], {}
-    pattern = f"[^a-z0-9{WHITE_SPACE}]".replace("\\", "\\\\")
-    blanks = f"[{WHITE_SPACE}]+".replace("\\", "\\\\")
     for i, c in enumerate(columns):
         docs = document_tokens(df, key, c, label)
         best = top_features(chi2_scores(docs, key, label), k).select("term", "idf").collect()
@@ -133,12 +146,9 @@ def text_feature_stages(df: DataFrame, columns: Sequence[str], key: str, label:
             f"{prefix}_{i}_{part}" for part in ("words", "counts", "shares", "weights", "tfidf")
         )
         kept = ", ".join(f"'{t}'" for t in terms[c])
-        normal = f"regexp_replace(lower(coalesce(cast(`{c}` AS string), '')), '{pattern}', '')"
+        every = sql_tokens(f"coalesce(cast(`{c}` AS string), '')")
         stages += [
-            SQLTransformer(statement=(
-                f"SELECT *, transform(filter(split({normal}, '{blanks}'), t -> t <> ''), "
-                f"t -> IF(t IN ({kept}), t, '')) AS {words} FROM __THIS__"
-            )),
+            SQLTransformer(statement=f"SELECT *, transform({every}, t -> IF(t IN ({kept}), t, '')) AS {words} FROM __THIS__"),
             CountVectorizerModel.from_vocabulary([*terms[c], ""], inputCol=words, outputCol=counts),
             Normalizer(p=1.0, inputCol=counts, outputCol=shares),
             ElementwiseProduct(inputCol=shares, outputCol=weights,

@@ -48,6 +48,15 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None,
     raise ValueError(f"unsupported file format {fmt!r}")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """For a plain scan that has fewer splits than there are cores, ahead of work that is heavy per row.
+
+    A table of many files is left as it is: no shuffle is added where the scan is wide enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """The result: input columns plus labels, no index column. One file per task."""
     if fmt == "csv":

@@ -121,7 +121,7 @@ FEATURES = ["quantity", "price", "discount", "tax", "net", "neg", "flat"]
 
 
 def _features(spark, d):
-    return table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem", spread=True).select(
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
         F.col("l_tax").alias("tax"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
         (-F.col("l_quantity")).alias("neg"), F.lit(1.0).alias("flat"))
@@ -180,7 +180,7 @@ TWO = "(SELECT l_quantity AS x, l_linenumber * 3.0::DOUBLE AS y, l_orderkey, l_l
 
 
 def _two(spark, d):
-    return table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem", spread=True).select(
         F.col("l_quantity").alias("x"), (F.col("l_linenumber") * 3.0).alias("y"), "l_orderkey", "l_linenumber")
 
 

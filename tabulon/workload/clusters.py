@@ -33,7 +33,7 @@ ORDER_FEATURES = ["price", "day"]
 def _order_points(spark, d):
     """Two comparable numeric columns per order."""
     day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
-    return table(spark, d, "orders").select(
+    return table(spark, d, "orders", spread=True).select(
         "o_orderkey", (F.col("o_totalprice") / 1000).alias("price"), (day / 10.0).alias("day"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.sources.tables import spread_scan
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,8 +31,10 @@ class Registry:
         return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table. Its one row group is one task, so heavy per-row work asks for `spread`."""
+    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(found) if spread else found
 
 
 def r(c: Column | str, digits: int = 6) -> Column:

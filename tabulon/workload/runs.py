@@ -155,12 +155,12 @@ def classification_run(spark, d):
 
 @queries.add("text_classification_run")
 def text_classification_run(spark, d):
-    docs = table(spark, d, "documents").select("text", F.col("lang").alias("label"))
+    docs = table(spark, d, "documents", spread=True).select("text", F.col("lang").alias("label"))
     run = classify_table(docs, "Naive Bayes")
     return run.report.where("section = 'score' OR section = 'model'")
 
 
 @queries.add("regression_run")
 def regression_run(spark, d):
-    orders = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    orders = table(spark, d, "lineitem", spread=True).select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
     return classify_table(orders, "Decision Tree", "l_extendedprice", mode="regression").report

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import normalise, tokens
+from tabulon.functions.text import normalise
 from tabulon.functions.vectors import array_sum
 from tabulon.operators import text_features as X
 from tabulon.workload.common import Registry, r, sql_r, table
@@ -22,13 +22,13 @@ IDF = "ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1"
 
 
 def _docs(spark, d, *extra):
-    return X.document_tokens(table(spark, d, "documents"), "doc_id", "text", *extra)
+    return X.document_tokens(table(spark, d, "documents", spread=True), "doc_id", "text", *extra)
 
 
 @queries.add("text_normalise", f"SELECT doc_id, md5({NORMAL}) AS digest, length({NORMAL}) AS n FROM documents")
 def text_normalise(spark, d):
     clean = normalise(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("long").alias("n"))
 
 
 @queries.add("text_tokens", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, '|')) AS digest FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -49,7 +49,7 @@ def vocabulary(spark, d):
 
 @queries.add("document_frequency", f"SELECT term, count(*) AS df FROM {BAG} GROUP BY term")
 def document_frequency(spark, d):
-    return X.document_frequency(X.bag_of_words(_docs(spark, d), "doc_id"))
+    return X.document_frequency(_docs(spark, d))
 
 
 @queries.add("bag_of_words", f"SELECT doc_id, term, n FROM {BAG}")
@@ -108,7 +108,7 @@ def chi2_columns(spark, d):
         (SELECT doc_id, sum(n / n_tokens * idf) AS w FROM {BAG} JOIN best USING (term) GROUP BY doc_id) USING (doc_id)
 """)
 def text_feature_vectors(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     stages, (out,), _ = X.text_feature_stages(docs, ["text"], "doc_id", "lang")
     found = Pipeline(stages=stages).fit(docs).transform(docs).select("doc_id", vector_to_array(out).alias("v"))
     return found.select("doc_id", r(array_sum("v")).alias("weight"), F.size("v").cast("long").alias("width"))

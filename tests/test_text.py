@@ -9,7 +9,7 @@ from tabulon.operators import text_features as X
 
 def test_normalise_and_tokens(spark):
     df = spark.createDataFrame([("Café  Don't STOP now_1\n",), ("",), ("¡¿",)], "t string")
-    got = [tuple(r) for r in df.select(normalise("t"), tokens(normalise("t")), word_count("t")).collect()]
+    got = [tuple(r) for r in df.select(normalise("t"), tokens("t"), word_count("t")).collect()]
     assert got[0][1] == ["caf", "dont", "stop", "now1"]
     assert got[0][2] == 4
     assert got[1] == ("", [], 0)
@@ -74,3 +74,13 @@ def test_long_document_in_one_row(spark):
     docs = X.document_tokens(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text")
     bag = X.bag_of_words(docs, "id")
     assert bag.agg(F.sum("n"), F.count("*"), F.max("n_tokens")).head()[:] == (20_000, 997, 20_000)
+
+
+def test_normalise_like_the_plain_rule(spark):
+    import re
+
+    texts = ["ÀÉÎ İstanbul K 1\u00a02\u20033", "中文 mixed Ｗide ñandú\tx\x1cy", "emoji 😀 ok", "a\u0301b\u2026c\u2028d", "ſ ß ﬁ"]
+    plain = [re.sub(r"[^a-z0-9\s]", "", t.lower()) for t in texts]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(normalise("t").alias("n"), tokens("t").alias("w")).collect()
+    assert [r["n"] for r in rows] == plain
+    assert [r["w"] for r in rows] == [p.split() for p in plain]
