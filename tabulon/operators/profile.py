@@ -45,11 +45,20 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value, n) for all columns at once; missing values are left out."""
-    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    long = as_text.unpivot([], list(columns), "column_name", "value").where(F.col("value").isNotNull())
-    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
+    """(column_name, value, n) for all columns at once; missing values are left out.
+
+    With `digests`, a SHA-256 digest stands for a long text, so that counting never shuffles whole documents.
+    """
+    def shown(c: str) -> Column:
+        text = F.col(c).cast("string")
+        if digests and column_kind(df.schema[c]) == "string":
+            text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+        return text.alias(c)
+
+    long = df.select(*[shown(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    present = long.where(F.col("value").isNotNull())
+    return present.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -66,10 +75,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
             c: [F.approx_count_distinct(c).alias("n_distinct"), F.lit(None).cast("long").alias("top_count")]
             for c in columns
         })
-    found = value_counts(df, columns).groupBy("column_name").agg(
+    return value_counts(df, columns, digests=True).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("top_count")
     )
-    return found
 
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -36,14 +36,14 @@ def train_test(df: DataFrame, key: str | None = None, test_percent: int = TEST_P
 def with_folds(df: DataFrame, label: str, key: str | None = None, k: int = 5, seed: int = SEED) -> DataFrame:
     """Adds fold 0..k-1, dealt out in hash order inside each label, so folds differ by at most one row per label.
 
-    Hash prefixes cut a frequent label into 4096 even parts. Without a key the hash alone decides,
+    Hash prefixes cut a frequent label into 65,536 even parts. Without a key the hash alone decides,
     which keeps copies of a row together.
     """
     digest = row_digest(key, df.columns, seed)
     if key is None:
         return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
     marked = df.withColumn("_digest", digest)
-    prefix = F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int")
+    prefix = F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int")
     placed = with_position(marked, [label], ["_digest", key], "_place", bucket=prefix)
     return placed.withColumn("fold", (F.col("_place") % k).cast("int")).drop("_digest", "_place")
 

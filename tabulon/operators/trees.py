@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.ordered import with_position
+from tabulon.session import cut_lineage
 
 MANY_VALUES = 50
 QUANTILES = [0.1 + 0.8 * i / 9 for i in range(10)]
@@ -69,8 +70,8 @@ def split_thresholds(values: DataFrame) -> DataFrame:
     wanted = sizes.select("feature", F.inline(F.when(few, every).otherwise(some)))
     wanted = wanted.withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
     ends = wanted.select("feature", "place", "at", "low", F.explode(F.array_distinct(F.array("low", "high"))).alias("rank"))
-    # At most fifty places per feature: the small side, whatever the number of rows.
-    found = ranked.join(ends, ["feature", "rank"]).groupBy("feature", "place").agg(
+    # At most fifty places per feature, whatever the number of rows: this side can always be sent to all tasks.
+    found = ranked.join(F.broadcast(ends), ["feature", "rank"]).groupBy("feature", "place").agg(
         F.min("x").alias("x_low"), F.max("x").alias("x_high"), F.max(F.col("at") - F.col("low")).alias("part"))
     return found.select(
         "feature", "place", (F.col("x_low") + (F.col("x_high") - F.col("x_low")) * F.col("part")).alias("threshold"))
@@ -78,10 +79,10 @@ def split_thresholds(values: DataFrame) -> DataFrame:
 
 def split_gains(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """(feature, position, threshold, gain) for every candidate threshold of every feature."""
-    values = _value_counts(df, columns, label)
+    values = cut_lineage(_value_counts(df, columns, label))
     thresholds = split_thresholds(values)
     steps = thresholds.groupBy("feature").agg(F.array_sort(F.collect_list("threshold")).alias("steps"))
-    present = values.where(F.col("x").isNotNull() & ~F.isnan("x")).join(steps, "feature")
+    present = values.where(F.col("x").isNotNull() & ~F.isnan("x")).join(F.broadcast(steps), "feature")
     slot = F.size(F.filter("steps", lambda t: t < F.col("x")))
     slots = present.groupBy("feature", "label", slot.alias("slot")).agg(F.sum("n").alias("n"))
     # From here on the tables have features x thresholds x classes rows.
