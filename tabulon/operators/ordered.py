@@ -73,10 +73,11 @@ def with_running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str],
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(*_BEFORE)
     for n, s in sums.items():
         cut = cut.withColumn(f"_inside_{n}", F.coalesce(s.over(inside), F.lit(0)))
-    joined = cut.join(offsets, [*by, "_bucket"])
-    return joined.select(
-        *df.columns, *[(F.col(f"_inside_{n}") + F.col(f"_offset_{n}")).alias(n) for n in totals]
-    )
+    # Every bucket has its offset. The left join spares the null test on the bucket, which would compute it again.
+    joined = cut.join(offsets, [*by, "_bucket"], "left")
+    return joined.select(*df.columns, *[
+        (F.col(f"_inside_{n}") + F.coalesce(F.col(f"_offset_{n}"), F.lit(0))).alias(n) for n in totals
+    ])
 
 
 _BEFORE = (Window.unboundedPreceding, -1)

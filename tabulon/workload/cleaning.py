@@ -158,11 +158,11 @@ def correlation_filter(spark, d):
 
 
 @queries.add("variance_filter", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, {sql_r(f'var_pop({c})', 4)} AS variance FROM {FEATURES_SQL} HAVING var_pop({c}) > 0.02"
+    f"SELECT '{c}' AS column_name, {sql_r(f'var_pop({c})', 2)} AS variance FROM {FEATURES_SQL} HAVING var_pop({c}) > 0.02"
     for c in FEATURES))
 def variance_filter(spark, d):
     found = reduce.column_variances(_features(spark, d), FEATURES).where(F.col("variance") > reduce.VARIANCE_LIMIT)
-    return found.select("column_name", r("variance", 4).alias("variance"))
+    return found.select("column_name", r("variance", 2).alias("variance"))
 
 
 # The principal axes of two columns have a closed form, so SQL can state them.
