@@ -20,13 +20,13 @@ NUMBER = r"[-+]?[0-9]*\.[0-9]+|[0-9]+"
 
 
 @queries.add("extract_numbers", f"""
-    SELECT doc_id, len(x) AS n, {sql_r('coalesce(list_sum(x), 0)', 3)} AS total, {sql_r('x[1]')} AS first
+    SELECT doc_id, len(x) AS n, {sql_r('ln(1 + abs(coalesce(list_sum(x), 0)))')} AS size, x[1] AS first
     FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{NUMBER}'), lambda v: v::DOUBLE) AS x FROM documents)
 """)
 def extract_numbers(spark, d):
     found = table(spark, d, "documents").select("doc_id", scoring.extract_numbers("text").alias("x"))
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    return found.select("doc_id", F.size("x").cast("long").alias("n"), r(total, 3).alias("total"), r(F.get("x", F.lit(0))).alias("first"))
+    return found.select("doc_id", F.size("x").cast("long").alias("n"), r(F.log(1 + F.abs(total))).alias("size"), F.get("x", F.lit(0)).alias("first"))
 
 
 @queries.add("has_number", r"SELECT doc_id, regexp_matches(text, '[0-9]+(\.[0-9]+)?') AS has_number FROM documents")
