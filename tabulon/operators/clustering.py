@@ -39,6 +39,19 @@ BANDS = [
 LOWEST_BAND = "Since Silhouette Score is smaller than or eqaul to -0.5, it is Strong evidence of misclassification or poor clustering structure."
 
 
+# The report lines about the choice of k.
+REASONS = {
+    "elbow": "Elbow method suggests ",
+    "silhouette": "Silhouette method suggests ",
+    "clusters": " clusters.\n",
+    "same": "Both methods suggest the same number of clusters: ",
+    "far": "The difference between the two methods is significant.\n"
+           " Choosing the number of clusters based on silhouette method.\n",
+    "near": "The difference between the two methods is not significant."
+            " Choosing the number of clusters based on their average.",
+}
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
@@ -116,16 +129,11 @@ def chosen_k(elbow: Column, silhouette: Column) -> Column:
 
 
 def choice_reason(elbow: Column, silhouette: Column) -> Column:
-    both = F.concat(F.lit("Elbow method suggests "), elbow.cast("string"),
-                    F.lit(" clusters.\nSilhouette method suggests "), silhouette.cast("string"), F.lit(" clusters.\n"))
-    far = ("The difference between the two methods is significant.\n"
-           " Choosing the number of clusters based on silhouette method.\n")
-    near = ("The difference between the two methods is not significant."
-            " Choosing the number of clusters based on their average.")
-    same = F.concat(F.lit("Both methods suggest the same number of clusters: "), elbow.cast("string"), F.lit(".\n"))
-    return (F.when(elbow == silhouette, same)
-            .when(F.abs(elbow - silhouette) > 1, F.concat(both, F.lit(far)))
-            .otherwise(F.concat(both, F.lit(near))))
+    e, s = elbow.cast("string"), silhouette.cast("string")
+    both = F.concat(F.lit(REASONS["elbow"]), e, F.lit(REASONS["clusters"]), F.lit(REASONS["silhouette"]), s, F.lit(REASONS["clusters"]))
+    return (F.when(elbow == silhouette, F.concat(F.lit(REASONS["same"]), e, F.lit(".\n")))
+            .when(F.abs(elbow - silhouette) > 1, F.concat(both, F.lit(REASONS["far"])))
+            .otherwise(F.concat(both, F.lit(REASONS["near"]))))
 
 
 def silhouette_band(score: Column) -> Column:

@@ -15,7 +15,14 @@ from tabulon.operators.splits import row_digest
 from tabulon.operators.text_features import TOP_FEATURES, text_feature_stages
 from tabulon.sources.models import SavedModel
 
+# The choice that means all models, and the report lines.
 FIND_BEST = "Find Best Model"
+MODE_LINES = {
+    "regression": "The Dataset is continuous. Use Regression",
+    "classification": "The Dataset is not continuouse. Use Classification",
+}
+TEXT_LINE = "Text columns in your dataset: "
+NO_TEXT_LINE = "There are no text columns in your dataset"
 
 
 @dataclass
@@ -77,9 +84,8 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
     saved = SavedModel(tuning.full_model(data, fitted), dataset, name, 1, target, mode, fields, data.labels, scores)
     lines = [
         ("model", "name", name), ("model", "target", target),
-        ("data", "mode", "The Dataset is continuous. Use Regression" if mode == "regression"
-         else "The Dataset is not continuouse. Use Classification"),
-        ("data", "text columns", f"Text columns in your dataset: {texts}" if texts else "There are no text columns in your dataset"),
+        ("data", "mode", MODE_LINES[mode]),
+        ("data", "text columns", f"{TEXT_LINE}{texts}" if texts else NO_TEXT_LINE),
         *[("vocabulary", c, " ".join(terms)) for c, terms in vocabulary.items()],
         *[("score", k, v) for k, v in scores.items()],
         *[("models tried", r["model"], r["score"]) for r in table.orderBy("order").collect()],
