@@ -14,7 +14,7 @@ from tabulon.operators.ordered import with_position
 from tabulon.session import cut_lineage
 
 TOP_FEATURES = 100
-MAX_BROADCAST_TERMS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def document_tokens(df: DataFrame, key: str, text: str, *extra: str) -> DataFrame:
@@ -70,14 +70,15 @@ def inverse_frequency(df: Column, documents) -> Column:
 def tfidf(docs: DataFrame, key: str) -> DataFrame:
     """(key, term, tf, tfidf) with tf = n / tokens and idf = ln((N + 1) / (df + 1)) + 1.
 
-    The document frequencies are written once; their counted size decides how they meet the postings.
+    The document frequencies are written once; their measured size decides how they meet the postings.
     """
     documents = docs.agg(F.count(F.lit(1))).scalar()
     frequencies = cut_lineage(
         document_frequency(docs).select("term", inverse_frequency(F.col("df"), documents).alias("idf")))
     tf = F.col("n") / F.col("n_tokens")
     bag = bag_of_words(docs, key)
-    if frequencies.count() <= MAX_BROADCAST_TERMS:
+    size = frequencies.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).head()[0]
+    if size <= MAX_BROADCAST_BYTES:
         joined = bag.join(F.broadcast(frequencies), "term")
     else:
         # A frequent term's postings are split over tasks by the adaptive skew join.

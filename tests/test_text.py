@@ -49,6 +49,13 @@ def test_vocabulary_and_tfidf(spark):
         assert abs(r["tfidf"] - weights[r["id"], got[r["term"]]]) < 1e-12
 
 
+def test_tfidf_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = X.document_tokens(_frame(spark), "id", "text")
+    want = sorted(map(tuple, X.tfidf(docs, "id").collect()))
+    monkeypatch.setattr(X, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, X.tfidf(docs, "id").collect())) == want
+
+
 def _chi2(weights):
     y = np.array([[l == c for c in sorted(set(LABELS))] for l in LABELS], dtype=float)
     observed, expected = y.T @ weights, np.outer(y.mean(axis=0), weights.sum(axis=0))
