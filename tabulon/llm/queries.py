@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tabulon.llm.bpe import decode_ids, encode_texts, read_ranks, token_digests
 from tabulon.llm.chat_repair import repair_roles
 from tabulon.llm.decontaminate import benchmark_hits
+from tabulon.llm.fingerprints import edited_fingerprints, entropy_histogram, rarity_ranks
+from tabulon.llm.jaccard_regions import near_duplicates
+from tabulon.llm.language_crf import fit_languages, label_languages
 from tabulon.llm.line_spread import MIN_SITES, remove_spread_lines
 from tabulon.llm.secret_scan import find_secrets, spans_text
 from tabulon.llm.sharding import shard_by_bytes, text_size
+from tabulon.llm.suffix_repeats import repeated_spans
 from tabulon.workload.common import Registry, table
 
 queries = Registry()
@@ -36,6 +40,21 @@ def op2_randomness_battery(spark, d):
                         F.sha2(spans_text("base_spans"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+@queries.add("op3_improbable_features")
+def op3_improbable_features(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = edited_fingerprints(docs, rarity_ranks(entropy_histogram(docs)))
+    return found.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next")
+
+
+@queries.add("op4_bucket_refinement")
+def op4_bucket_refinement(spark, d):
+    found = repeated_spans(table(spark, d, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
@@ -68,6 +87,37 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def held_out():
+    """Rows that no model may learn from. A null id counts as an empty one."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+@queries.add("op6_chain_field")
+def op6_chain_field(spark, d):
+    docs = table(spark, d, "documents")
+    model = fit_languages(docs.filter(~held_out()))
+    return label_languages(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+_SHINGLES = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+
+@queries.add("op7_metric_regions", f"""
+    WITH RECURSIVE word AS (SELECT doc_id, {_SHINGLES} AS w FROM documents),
+    shingle AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (
+            SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM word WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    pair AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    reach AS (SELECT doc_id, doc_id AS other FROM word UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = other)
+    SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
+""")
+def op7_metric_regions(spark, d):
+    return near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @queries.add("op8_role_repair")
 def op8_role_repair(spark, d):
     return repair_roles(table(spark, d, "conversations"))
