@@ -11,12 +11,14 @@ Q-gram by a hash, so equal strings have equal anchors, whatever stands around th
 - Only runs alone in their bucket, but beside others at the same anchor Q-gram, are refined string by string, together
   with one run of each larger bucket there.
 
-Spark groups identifiers and drops buckets of one; identifiers of the last two steps have 128 bits.
+Spark groups identifiers and drops buckets of one. Identifiers have 64 bits and are only compared inside one Q-gram's
+bucket, whose identifier is another 64.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.buffers import byte_buffer, mixed, pieces
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, shared_path, shuffle_width
 
 LENGTH = 200
 Q = 48
 FILTER_WORDS = 1 << 18
+#: Runs of one Q-gram that meet in one task, some 300 bytes each. Beyond that the strings are counted one by one.
+GROUP_RUNS = 10_000
+#: Runs that the Q-grams of one task bring together on average.
+TASK_RUNS = 5_000
 PIECE = 2_000_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,6 +126,14 @@ def _scan(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.select("_uid", "_text").mapInArrow(run, "uid long, gram long, many boolean")
 
 
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The frame as a table in the shared folder, bucketed by the key, so that later joins on it leave its rows in place."""
+    spark = df.sparkSession
+    name = f"tabulon_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_width(spark), key).option("path", shared_path(spark, "bucketed")).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _near_texts(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     """The texts of the flagged uids, with their bucketed Q-grams. A bitmap of fixed size keeps most other texts out of
     the shuffle; the join makes it exact."""
@@ -149,10 +163,10 @@ def _shared_runs(data: np.ndarray, grams: list[int], length: int, q: int) -> tup
 
 
 def _run_rows(near: DataFrame, length: int, q: int) -> DataFrame:
-    """(uid, first, gram, k1, k2): the identifier of each run as a whole."""
+    """(uid, first, gram, whole): the identifier of each run as a whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", PIECE):
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], []]
             uids, grams = batch.column(batch.schema.get_field_index("uid")), batch.column(batch.schema.get_field_index("grams"))
             for i in range(batch.num_rows):
                 data = byte_buffer(texts.slice(i, 1))[0]
@@ -162,35 +176,78 @@ def _run_rows(near: DataFrame, length: int, q: int) -> DataFrame:
                     cols[0].append(np.full(len(first), uids[i].as_py(), np.int64))
                     cols[1].append(first)
                     cols[2].append(gram.view(np.int64))
-                    for c, salt in ((3, 1), (4, 2)):
-                        cols[c].append(Identifiers(data, salt).strings(first, size).view(np.int64))
-            yield _columns(cols, ["uid", "first", "gram", "k1", "k2"])
+                    cols[3].append(Identifiers(data, 1).strings(first, size).view(np.int64))
+            yield _columns(cols, ["uid", "first", "gram", "whole"])
+
+    return near.select("uid", "text", "grams").mapInArrow(run, "uid long, first long, gram long, whole long")
+
 
-    return near.select("uid", "text", "grams").mapInArrow(run, "uid long, first long, gram long, k1 long, k2 long")
+def _asked_runs(batch: pa.RecordBatch, texts: pa.Array, way: int, length: int, q: int):
+    """For each text of the batch: uid, bytes, and the first and last begins, Q-grams and `single` marks of the runs
+    that are asked for in the given way."""
+    uids, grams, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("uid", "grams", "asked"))
+    for i in range(batch.num_rows):
+        want = {g["first"]: g["single"] for g in asked[i].as_py() if g["way"] == way}
+        if want:
+            data = byte_buffer(texts.slice(i, 1))[0]
+            first, last, gram = _shared_runs(data, grams[i].as_py(), length, q)
+            pick = np.flatnonzero(np.isin(first, np.array(list(want), np.int64)))
+            yield uids[i].as_py(), data, first[pick], last[pick], gram[pick].view(np.int64), np.array([want[f] for f in first[pick].tolist()], bool)
 
 
-def _string_rows(near: DataFrame, length: int, q: int) -> DataFrame:
-    """(uid, begin, single, k1, k2): the identifier of each string of the runs asked for."""
+def _contexts(work: DataFrame, length: int, q: int) -> DataFrame:
+    """(gram, uid, first, single, bytes): the runs of Q-grams with few runs, with the bytes of their strings."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text", PIECE):
+            rows = [(int(g), uid, int(f), bool(s), data[f:x + length].tobytes())
+                    for uid, data, first, last, gram, single in _asked_runs(batch, texts, 1, length, q)
+                    for f, x, g, s in zip(first, last, gram, single)]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "uid", "first", "single", "bytes"])
+
+    return work.mapInArrow(run, "gram long, uid long, first long, single boolean, bytes binary")
+
+
+def _repeated_in_group(length: int):
+    """Begins of the strings that stand more than once among the runs of some Q-grams."""
+    def run(table: pa.Table) -> pa.Table:
+        blobs = pa.array(table.column("bytes").to_pylist(), pa.large_binary())
+        starts = np.frombuffer(blobs.buffers()[1], np.int64, len(blobs) + 1)
+        data = np.frombuffer(blobs.buffers()[2], np.uint8)[:starts[-1]]
+        counts = np.diff(starts) - length + 1
+        row = np.repeat(np.arange(len(blobs)), counts)
+        inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = starts[:-1][row] + inner
+        size = np.full(len(begin), length, np.int64)
+        a, b = (Identifiers(data, salt).strings(begin, size) for salt in (3, 4))
+        order = np.lexsort((b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        twice = np.zeros(len(begin), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        hit = np.flatnonzero(twice & table.column("single").to_numpy()[row])
+        return pa.table({"uid": pa.array(table.column("uid").to_numpy()[row[hit]]),
+                         "begin": pa.array(table.column("first").to_numpy()[row[hit]] + inner[hit])})
+
+    return run
+
+
+def _string_rows(work: DataFrame, length: int, q: int) -> DataFrame:
+    """(gram, string, uid, begin, single): the identifier of each string of the runs of crowded Q-grams, which no task
+    could hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", PIECE):
             cols = [[], [], [], [], []]
-            uids, grams, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("uid", "grams", "asked"))
-            for i in range(batch.num_rows):
-                data = byte_buffer(texts.slice(i, 1))[0]
-                first, last, _ = _shared_runs(data, grams[i].as_py(), length, q)
-                want = {g["first"]: g["single"] for g in asked[i].as_py() if g["emit"]}
-                pick = np.flatnonzero(np.isin(first, np.array(list(want), np.int64)))
-                if len(pick):
-                    size = last[pick] - first[pick] + 1
-                    begin = np.repeat(first[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    cols[0].append(np.full(len(begin), uids[i].as_py(), np.int64))
-                    cols[1].append(begin)
-                    cols[2].append(np.repeat(np.array([want[f] for f in first[pick].tolist()], bool), size))
-                    for c, salt in ((3, 3), (4, 4)):
-                        cols[c].append(Identifiers(data, salt).strings(begin, np.full(len(begin), length, np.int64)).view(np.int64))
-            yield _columns(cols, ["uid", "begin", "single", "k1", "k2"], {2: np.bool_})
+            for uid, data, first, last, gram, single in _asked_runs(batch, texts, 2, length, q):
+                size = last - first + 1
+                begin = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                for c, v in enumerate((np.repeat(gram, size), Identifiers(data, 3).strings(begin, np.full(len(begin), length, np.int64)).view(np.int64),
+                                       np.full(len(begin), uid, np.int64), begin, np.repeat(single, size))):
+                    cols[c].append(v)
+            yield _columns(cols, ["gram", "string", "uid", "begin", "single"], {4: np.bool_})
 
-    return near.select("uid", "text", "grams", "asked").mapInArrow(run, "uid long, begin long, single boolean, k1 long, k2 long")
+    return work.mapInArrow(run, "gram long, string long, uid long, begin long, single boolean")
 
 
 def _columns(cols: list[list[np.ndarray]], names: list[str], kinds: dict | None = None) -> pa.RecordBatch:
@@ -236,7 +293,8 @@ def _kept(near: DataFrame, length: int, q: int) -> DataFrame:
     return near.select("uid", "text", "grams", "asked", "hits").mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = Q,
+                   group_runs: int = GROUP_RUNS) -> DataFrame:
     """(key, n_bytes, spans, kept_sha256): the maximal byte runs of each text covered by strings of `length` bytes that
     also begin anywhere else, in any text, and the digest of the bytes outside them.
 
@@ -252,19 +310,23 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     flagged = cut_lineage(grams.select("uid", "gram").join(shared, "gram").groupBy("uid").agg(F.collect_set("gram").alias("grams")))
     # Rows that are the same in key and text share a uid: one text stands for them, and all its strings are repeated.
     twins = slim.groupBy("_uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_uid").alias("uid"))
-    near = cut_lineage(_near_texts(own, flagged))
+    near = _bucketed(_near_texts(own, flagged), "uid")
     runs = cut_lineage(_run_rows(near, length, q))
-    units = runs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("at"), F.any_value("gram").alias("gram"))
+    units = runs.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("at"))
     units = cut_lineage(units.select("at.uid", "at.first", "gram", (F.col("n") == 1).alias("single")))
-    mixed_grams = units.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("some")).filter("n > 1 and some").select("gram", F.lit(True).alias("emit"))
-    asked = units.join(mixed_grams, "gram", "left").filter("single or emit").groupBy("uid").agg(
-        F.collect_list(F.struct("first", "single", F.coalesce("emit", F.lit(False)).alias("emit"))).alias("asked"))
-    work = cut_lineage(near.join(asked, "uid", "left"))
-    strings = cut_lineage(_string_rows(work.filter(F.exists("asked", lambda g: g.emit)), length, q))
-    # What stands alone here is not repeated: every other string of the same anchor is here or like one that is.
-    twice = strings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2")
-    hits = strings.filter("single").join(twice, ["k1", "k2"], "left_semi").groupBy("uid").agg(F.collect_list("begin").alias("hits"))
-    kept = _kept(work.join(hits, "uid", "left"), length, q)
+    # 1: the runs of the Q-gram meet in one task; 2: too many for that, their strings are counted; else all is known.
+    ways = units.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("some")).filter("n > 1 and some") \
+        .select("gram", F.when(F.col("n") <= group_runs, 1).otherwise(2).alias("way"))
+    asked = cut_lineage(units.join(ways, "gram", "left").filter("single or way is not null").groupBy("uid").agg(
+        F.collect_list(F.struct("first", "single", F.coalesce("way", F.lit(0)).alias("way"))).alias("asked")))
+    work = near.select("uid", "text", "grams").join(asked, "uid")
+    groups = 1 + asked.agg(F.sum(F.size(F.filter("asked", lambda g: g.way == 1)))).first()[0] // TASK_RUNS if not asked.isEmpty() else 1
+    meeting = _contexts(work, length, q).groupBy(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group")).applyInArrow(_repeated_in_group(length), "uid long, begin long")
+    strings = _string_rows(work, length, q)
+    twice = strings.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "string")
+    counted = strings.filter("single").join(twice, ["gram", "string"], "left_semi").select("uid", "begin")
+    hits = cut_lineage(meeting.union(counted).groupBy("uid").agg(F.collect_list("begin").alias("hits")))
+    kept = _kept(near.join(asked.join(hits, "uid", "left"), "uid", "left"), length, q)
     out = slim.join(kept, slim["_uid"] == kept["uid"], "left").join(twins.withColumnRenamed("uid", "_twin"), slim["_uid"] == F.col("_twin"), "left")
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     twin = F.col("_twin").isNotNull() & (F.col("n_bytes") >= length)
