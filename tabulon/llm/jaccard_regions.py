@@ -2,9 +2,9 @@
 
 Jaccard distance is a metric, and links are pairs within distance R. Space is cut in two ways:
 
-1. Two linked sets share one of their first shingles in any fixed order (the prefix whose length follows from R). The
-   order puts shingles from crowded cells of a counting sketch last, so that common passages lead nowhere. Sets that
-   share prefix shingles, directly or through others, form a region; all other sets have no links at all.
+1. Unrelated sets are all at distance 1, where pivots tell nothing apart. A set of which more shingles stand in no other
+   set than a link allows is alone. Of the others, two linked sets share several of their first shingles in any fixed
+   order (the prefix whose length follows from R); sets tied by such shingles, directly or through others, are a region.
 2. In a region, pivots take the sets nearest to them. A set x that is at distance d(x, p) from its own pivot p can
    only be linked with sets of pivot q if d(x, q) <= d(x, p) + 2 R; it is replicated to those cells, and each cell is
    joined again in the same way until it fits one task. There, one set after the other is the pivot: a set whose
@@ -20,9 +20,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +32,13 @@ from tabulon.session import cut_lineage
 SHINGLE = 5
 #: Links need PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
-CELLS = 1 << 18
+#: Prefixes are longer by one shingle for so many of the set, which lets weak ties between sets be dropped.
+EXTRA = 8
 #: Shingle hashes in one task's region, 8 bytes each; larger regions are cut by pivots.
 REGION_SHINGLES = 4_000_000
+#: Shingles of one bucket when lone ones are looked for, 4 bytes each, and the least number of buckets.
+BUCKET_SHINGLES = 8_000_000
+LEAST_BUCKETS = 24
 PIVOTS = 16
 FILTER_WORDS = 1 << 18
 
@@ -78,65 +81,80 @@ def shingle_sets(texts: pa.Array, words: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _prefix(hashes: np.ndarray, load: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 shingles, those of empty cells first."""
-    n = len(hashes)
-    size = n - -(-PERCENT * n // 100) + 1
-    crowd = load[(hashes >> np.uint64(64 - 18)).astype(np.int64)]
-    return hashes[np.lexsort((hashes, crowd))[:size]]
-
-
-def _cell_loads(docs: DataFrame, text: str) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each cell, in steps of a quarter of a power of two above the mean.
-    The steps are the order's first key; any numbers would give the same links. CELLS sums come to the driver."""
-    blocks = 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
-        for _, texts in pieces(batches, text):
-            for hashes in shingle_sets(texts):
-                np.add.at(counts, (hashes >> np.uint64(64 - 18)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in counts.reshape(blocks, -1)], pa.binary())], ["block", "counts"])
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
-
-    rows = docs.select(text).mapInArrow(run, "block int, counts binary").groupBy("block").applyInPandas(added, "block int, counts binary").collect()
-    loads = np.zeros((blocks, CELLS // blocks), np.int64)
-    for r in rows:
-        loads[r.block] = np.frombuffer(r.counts, "<i8")
-    loads = loads.reshape(-1)
-    mean = max(1.0, loads.mean())
-    return np.maximum(0, np.floor(4 * np.log2(np.maximum(loads, 1) / mean))).astype(np.int16)
-
-
 def _node(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, node (a hash of the set; null for empty sets) and the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(_cell_loads(docs, text))
-    schema = T.StructType([docs.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()),
-                           T.StructField("prefix", T.ArrayType(T.LongType()))])
+def _sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n_shingles and node (a hash of the set; null for empty sets)."""
+    schema = T.StructType([docs.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text):
             sets = shingle_sets(texts)
-            prefixes = [_prefix(s, shared.value) if len(s) else s for s in sets]
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            flat = np.concatenate(prefixes).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(batch.schema.get_field_index(key)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema.names)
+                pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def _lone_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """(node, lone): how many shingles of each set are in no other set.
+
+    A task sends, for each bucket of hashes and piece of texts, the piece's distinct shingles once: 32 bits of the hash and
+    the set, or no set if several sets of the piece have it. So a shingle of all documents is one entry a piece, not one
+    a document. Two shingles with the same 32 bits in a bucket only make a set seem less alone than it is."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, text):
+            sets = {_node(s): s for s in shingle_sets(texts) if len(s)}
+            if not sets:
+                continue
+            nodes = np.array(list(sets), np.int64)
+            flat = np.concatenate(list(sets.values()))
+            owner = np.repeat(np.arange(1, len(nodes) + 1, dtype=np.int32), [len(s) for s in sets.values()])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            head = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            many = np.diff(np.concatenate((head, [len(flat)]))) > 1
+            flat, owner = flat[head], np.where(many, 0, owner[head])
+            bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((owner, bucket))
+            bucket, flat, owner = bucket[order], flat[order], owner[order]
+            out = [[], [], [], []]
+            ends = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
+            for a, b in zip(ends[:-1], ends[1:]):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                out[0].append(int(bucket[a]))
+                out[1].append(np.where(own > 0, nodes[own - 1], 0).tobytes())
+                out[2].append((count * np.where(own > 0, 1, -1)).astype("<i4").tobytes())
+                out[3].append((flat[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(o, pa.binary()) for o in out[1:]]], ["bucket", "nodes", "counts", "hashes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        # The part without a set comes first in a piece, with a negative count: its hashes are shared already.
+        nodes = [np.frombuffer(x, "<i8") for x in table.column("nodes").to_pylist()]
+        counts = [np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()]
+        hashes = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()])
+        counts, nodes = np.concatenate(counts), np.concatenate(nodes)
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        twin = np.zeros(len(ranked), bool)
+        same = ranked[1:] == ranked[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        lone = np.empty(len(ranked), bool)
+        lone[order] = ~twin
+        sums = np.add.reduceat(lone, np.cumsum(np.abs(counts)) - np.abs(counts))
+        keep = (counts > 0) & (sums > 0)
+        return pa.table({"node": pa.array(nodes[keep]), "lone": pa.array(sums[keep].astype(np.int64))})
+
+    sent = docs.select(text).mapInArrow(send, "bucket int, nodes binary, counts binary, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+
+
 def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(region, node, set) of the wanted (key, region, node). A bitmap of the wanted keys' hashes, of fixed size, keeps most
+    """(node, set) of the wanted (key, node). A bitmap of the wanted keys' hashes, of fixed size, keeps most
     other texts out of the shuffle."""
     place = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(FILTER_WORDS * 64))
     words = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")) \
@@ -166,10 +184,9 @@ def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
             ends = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
             flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
             keep = pa.array(mine)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("region")).filter(keep), node.filter(keep),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["region", "node", "set"])
+            yield pa.RecordBatch.from_arrays([node.filter(keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "set"])
 
-    return joined.mapInArrow(run, "region long, node long, set array<long>").dropDuplicates(["node"])
+    return joined.mapInArrow(run, "node long, set array<long>")
 
 
 class _Joined:
@@ -318,6 +335,37 @@ def _block_links(sets: DataFrame, limit: int) -> DataFrame:
     return cut_lineage(every.select("region", pair.alias("pair"), "node", "set").groupBy("region", "pair").applyInArrow(_cell_links, "a long, b long"))
 
 
+def _allowed_column(n: str) -> Column:
+    return F.col(n) - F.floor((PERCENT * F.col(n) + 99) / 100)
+
+
+def _required(n: str) -> Column:
+    """Shared shingles that a link's two prefixes have at least, for the smaller of the two numbers."""
+    return 1 + F.floor(F.col(n) / EXTRA)
+
+
+def _first_shingles(sets: DataFrame) -> DataFrame:
+    """(shingle, node, n) of the prefixes, for shingles in more than one of them. Linked sets share, in their first
+    allowed + required shingles by hash, at least the smaller required number."""
+    sized = sets.withColumn("n", F.size("set").cast("long"))
+    entries = sized.select("node", "n", F.explode(F.slice("set", F.lit(1), (_allowed_column("n") + _required("n")).cast("int"))).alias("shingle"))
+    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle")
+    return cut_lineage(entries.join(shared, "shingle"))
+
+
+def _star_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) from each set to the least set that shares a first shingle, but for weak ones.
+
+    Each set drops its weakest links as long as they stand for less than 0.4 * required - 0.5 shingles together. Two
+    linked sets drop fewer than the required number between them, so of the shingles that they share one keeps both its
+    links, and they stay in one region."""
+    heads = members.groupBy("shingle").agg(F.min("node").alias("head"))
+    stars = members.join(heads, "shingle").groupBy("node", "n", "head").agg(F.count(F.lit(1)).alias("weight")).filter("node <> head")
+    lightest = Window.partitionBy("node").orderBy("weight", "head").rowsBetween(Window.unboundedPreceding, 0)
+    return stars.withColumn("dropped", F.sum("weight").over(lightest)) \
+        .filter(F.col("dropped") >= 0.4 * _required("n") - 0.5).select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the size of each document's shingle set and the least key that it reaches by links.
 
@@ -325,18 +373,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are one shingle; null, empty and wordless texts have none, link with nothing and are their own component. Equal
     texts link. Repeated keys each give a row; a null key is never a component's name unless it has no other. Other
     columns are left out. An empty table gives an empty table."""
-    slim = cut_lineage(_slim(docs, key, text))
-    classes = slim.filter("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.any_value("prefix").alias("prefix"))
-    entries = classes.select("node", F.explode("prefix").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    members = cut_lineage(entries.join(shared, "shingle"))
-    first = members.groupBy("shingle").agg(F.min("node").alias("b"))
-    stars = members.join(first, "shingle").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    regions = components(stars)
-    wanted = cut_lineage(regions.select("node", F.col("root").alias("region")).join(slim.groupBy("node").agg(F.min(key).alias(key)), "node"))
-    links = region_links(_sets_of(docs, key, text, wanted))
+    slim = cut_lineage(_sizes(docs, key, text))
+    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
+    lone = _lone_shingles(docs, text, max(LEAST_BUCKETS, total // BUCKET_SHINGLES))
+    sets = slim.filter("node is not null").groupBy("node").agg(F.min(key).alias(key), F.max("n_shingles").alias("n"))
+    wanted = cut_lineage(sets.join(lone, "node", "left").filter(F.coalesce("lone", F.lit(0)) <= _allowed_column("n")).select("node", key, "n"))
+    found = cut_lineage(_sets_of(docs, key, text, wanted.select("node", key)))
+    members = _first_shingles(found)
+    regions = cut_lineage(components(_star_links(members)))
+    links = region_links(found.join(regions.select("node", F.col("root").alias("region")), "node"))
     roots = components(links)
-    named = cut_lineage(slim.select(key, "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut_lineage(slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min(key).alias("least"))
     return named.join(names.filter("root is not null"), "root", "left").select(
         key, "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))
