@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.ordered import with_position
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, shuffle_width
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 1024
+#: Turns of one task on average; blocks are dealt to tasks by hash, roles only.
+TASK_TURNS = 20_000
 #: Costs in whole numbers. A merge is cheapest, an invented turn dearest; an unknown role is free to relabel.
 MERGE, RELABEL, INSERT = 1, 3, 4
 _FAR = 1 << 40
@@ -119,6 +121,14 @@ def _repair_block(pdf: pd.DataFrame) -> pd.DataFrame:
         "after": [list(a) for a in after], "merged": ["merge" in f[1] for f in found], "cost": pdf["cost"].to_numpy()})
 
 
+def _each(step, *keys: str):
+    """The step on each group of a task's rows. One call a task instead of one a conversation."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([step(group) for _, group in pdf.groupby(list(keys), sort=False)], ignore_index=True)
+
+    return run
+
+
 def repair_roles(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                  block: int = BLOCK) -> DataFrame:
     """One row for each input turn, in the order `position` (0 on) inside its conversation, with the input columns and
@@ -146,10 +156,13 @@ def repair_roles(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
         "block", F.floor(F.col("position") / block).cast("long")))
     slim = placed.select("conversation", "block", "position", "role")
     key = "conversation string, block long"
-    costs = slim.groupBy("conversation", "block").applyInPandas(_block_costs, f"{key}, costs array<long>")
-    borders = costs.groupBy("conversation").applyInPandas(_chain, f"{key}, enter int, leave int, last boolean, cost long")
-    repaired = slim.join(cut_lineage(borders), ["conversation", "block"]).groupBy("conversation", "block").applyInPandas(
-        _repair_block, "conversation string, position long, new int, action string, before array<int>, after array<int>, "
+    tasks = max(shuffle_width(turns.sparkSession), placed.count() // TASK_TURNS)
+    deal = lambda *by: F.pmod(F.xxhash64(*by), F.lit(tasks)).alias("task")
+    costs = slim.groupBy(deal("conversation", "block")).applyInPandas(_each(_block_costs, "conversation", "block"), f"{key}, costs array<long>")
+    borders = costs.groupBy(deal("conversation")).applyInPandas(
+        _each(_chain, "conversation"), f"{key}, enter int, leave int, last boolean, cost long")
+    repaired = slim.join(cut_lineage(borders), ["conversation", "block"]).groupBy(deal("conversation", "block")).applyInPandas(
+        _each(_repair_block, "conversation", "block"), "conversation string, position long, new int, action string, before array<int>, after array<int>, "
                        "merged boolean, cost long")
     repaired = cut_lineage(repaired)
     found = placed.join(repaired, ["conversation", "position"])
