@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("csv", "json", "parquet")
+#: What an empty cell is read as before it becomes null; a quoted empty cell stays the empty text.
+_NO_CELL = "\u0000"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0) -> DataFrame:
-    """CSV with a header. Jobs over large files pass a schema, which saves the pass that infers types."""
-    reader = spark.read.option("header", True)
+             sampling_ratio: float = 1.0, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Jobs over large files pass a schema, which saves the pass that infers types, and
+    `multi_line=False` where no cell holds a line break, so that Spark can split the files."""
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', nullValue=_NO_CELL)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("samplingRatio", sampling_ratio).csv(path, inferSchema=True)
@@ -60,7 +63,8 @@ def spread_scan(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """The result: input columns plus labels, no index column. One file per task."""
     if fmt == "csv":
-        df.write.mode(mode).csv(path, header=True)
+        df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                    ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
     elif fmt in FORMATS:
         df.write.mode(mode).format(fmt).save(path)
     else:

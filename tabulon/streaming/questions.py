@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulon.plans.answer_questions import predict_questions
-from tabulon.session import shared_path
 from tabulon.sources.models import SavedModel
 
 
@@ -16,8 +15,9 @@ def predict_stream(questions: DataFrame, model: SavedModel) -> DataFrame:
 
 
 def write_predictions(predicted: DataFrame, path: str) -> StreamingQuery:
-    """Append to parquet; the checkpoint in the shared folder makes every question's row appear once."""
+    """Append to parquet; the checkpoint, which belongs to the sink, makes every question's row appear once, also when
+    the stream is started again."""
     return (
         predicted.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", shared_path(predicted.sparkSession, "question-stream")).start(path)
+        .option("checkpointLocation", f"{path.rstrip('/')}-checkpoint").start(path)
     )

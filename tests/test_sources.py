@@ -63,3 +63,14 @@ def test_cut_lineage_keeps_rows_and_types(spark):
     df = spark.range(10).select("id", F.array(F.col("id") * 0.5).alias("v"))
     back = session.cut_lineage(df)
     assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect())
+
+
+def test_csv_keeps_every_cell(spark, tmp_path):
+    from tabulon.sources.tables import load_table, write_table
+
+    df = spark.createDataFrame([(1, ' "q", x ', None), (2, "line\nbreak", ""), (3, 'back\\slash ""', "\r\n"), (4, None, " ")],
+                               "id long, a string, b string")
+    path = str(tmp_path / "cells.csv")
+    write_table(df, path)
+    got = load_table(spark, path, schema=df.schema)
+    assert sorted(got.collect()) == sorted(df.collect())
