@@ -25,9 +25,8 @@ TOLERANCE = 1e-4
 K_MAX = 10
 KMEANS_COLUMN = "kmeans_cluster"
 WARD_COLUMN = "agglomerative_cluster"
-EXACT_WARD_ROWS = 20_000
 MICRO_CLUSTERS = 500
-FINISH_ROWS = 512
+FINISH_ROWS = 256
 
 # Lower bounds of the silhouette bands and their report lines.
 BANDS = [
@@ -289,25 +288,22 @@ def cut_tree(ids: DataFrame, merges: DataFrame, k: int) -> DataFrame:
     return links.join(roots, "up").select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
-def ward_labels(df: DataFrame, columns: Sequence[str], k: int, key: str | None = None, exact_rows: int = EXACT_WARD_ROWS,
-                micro_clusters: int = MICRO_CLUSTERS, out: str = WARD_COLUMN) -> DataFrame:
-    """Attach Ward labels. Up to `exact_rows` rows the tree starts from single rows (needs a `key`);
-    beyond, k-Means first sums all rows up in micro-clusters and the tree starts from those."""
-    if key is not None and df.limit(exact_rows + 1).count() <= exact_rows:
-        start = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in columns]).alias("mean"))
-        start = with_position(start, [], ["_key"], "id").withColumn("n", F.lit(1.0)).persist()
-        tree = cut_tree(start, ward_merges(start), k)
-        labels = start.join(tree, "id").select("_key", F.col("cluster").alias(out))
-        return df.join(labels, F.col(key) == F.col("_key"), "left").drop("_key")
+def micro_clusters(df: DataFrame, columns: Sequence[str], count: int = MICRO_CLUSTERS) -> tuple[DataFrame, DataFrame]:
+    """The rows with their micro-cluster `_micro`, and the at most `count` micro-clusters (id, n, mean)."""
     featured = assemble(df, columns)
-    model = kmeans_model(featured, max(micro_clusters, k), max_iter=20)
-    placed = model.transform(featured).withColumnRenamed("_cluster", "_micro")
+    placed = kmeans_model(featured, count, max_iter=20).transform(featured).withColumnRenamed("_cluster", "_micro").drop("features")
     micro = placed.groupBy(F.col("_micro").cast("long").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
-    micro = cut_lineage(micro)
-    tree = cut_tree(micro, ward_merges(micro), k).select(F.col("id").cast("int").alias("_micro"), F.col("cluster").alias(out))
-    # `micro_clusters` bounds the lookup, whatever the number of rows.
-    return placed.join(F.broadcast(tree), "_micro", "left").drop("_micro", "features")
+    return placed, cut_lineage(micro)
+
+
+def ward_labels(df: DataFrame, columns: Sequence[str], k: int, micro: int = MICRO_CLUSTERS, out: str = WARD_COLUMN) -> DataFrame:
+    """Attach Ward labels. At every size k-Means first sums all rows up in at most `micro` clusters and the tree
+    starts from those; a row gets the label of its micro-cluster, so keys may repeat or be null."""
+    placed, start = micro_clusters(df, columns, max(micro, k))
+    tree = cut_tree(start, ward_merges(start), k).select(F.col("id").cast("int").alias("_micro"), F.col("cluster").alias(out))
+    # `micro` bounds the lookup, whatever the number of rows.
+    return placed.join(F.broadcast(tree), "_micro", "left").drop("_micro")
 
 
 def kmeans_labels(df: DataFrame, columns: Sequence[str], model: KMeansModel, out: str = KMEANS_COLUMN) -> DataFrame:
@@ -315,8 +311,7 @@ def kmeans_labels(df: DataFrame, columns: Sequence[str], model: KMeansModel, out
     return placed.withColumnRenamed("_cluster", out).drop("features")
 
 
-def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str, key: str | None = None,
-                   model: KMeansModel | None = None) -> DataFrame:
+def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str, model: KMeansModel | None = None) -> DataFrame:
     """One label column for `k-Means` or `Agglomerative`, both for `both`."""
     if algorithm not in ("k-Means", "Agglomerative", "both"):
         raise ValueError(f"unknown clustering algorithm {algorithm!r}")
@@ -326,5 +321,5 @@ def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str
             model = kmeans_model(assemble(df, columns), k, spread=total["wcss"] / max(total["n"], 1) / len(columns))
         df = kmeans_labels(df, columns, model)
     if algorithm != "k-Means":
-        df = ward_labels(df, columns, k, key)
+        df = ward_labels(df, columns, k)
     return df

@@ -27,7 +27,7 @@ class ClusterRun:
     report: DataFrame
 
 
-def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = None,
+def cluster_table(df: DataFrame, algorithm: str = "k-Means",
                   correlation_limit: float = CORRELATION_LIMIT, variance_limit: float = VARIANCE_LIMIT,
                   explained_variance: float = EXPLAINED_VARIANCE, max_components: int = MAX_COMPONENTS,
                   plane: bool = False, k_max: int = C.K_MAX, parallelism: int = 5,
@@ -47,7 +47,7 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means", key: str | None = N
             C.choice_reason(F.col("elbow_k"), F.col("silhouette_k")).alias("reason"),
         ).head()
         k = max(row["k"], 2)
-        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, key, found.models[k])
+        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, found.models[k])
         labels = [c for c in (C.KMEANS_COLUMN, C.WARD_COLUMN) if c in labelled.columns]
         rows_of_report = [
             ("reduction", "columns", ", ".join(c.removeprefix("_f_") for c in reduced.columns)), ("reduction", "info", reduced.info),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulon.operators import clustering as C
 from tabulon.operators.report import combine, report_metrics
 from tabulon.plans.cluster_table import cluster_table
-from tabulon.session import shared_path
+from tabulon.session import cut_lineage, shared_path
 from tabulon.sources.tables import load_table, write_table
 from tabulon.workload.common import Registry, r, sql_r, table
 
@@ -37,11 +37,15 @@ def _order_points(spark, d):
         "o_orderkey", (F.col("o_totalprice") / 1000).alias("price"), (day / 10.0).alias("day"))
 
 
-@queries.add("kmeans_labels")
+@queries.add("kmeans_labels", "SELECT o_orderkey, true AS nearest FROM orders")
 def kmeans_labels(spark, d):
-    points = _order_points(spark, d).persist()
-    labelled = C.cluster_labels(points, ORDER_FEATURES, 5, "k-Means")
-    return labelled.groupBy(C.KMEANS_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+    """Every row's label is the centre that is nearest to it."""
+    points = _order_points(spark, d)
+    model = C.kmeans_model(C.assemble(points, ORDER_FEATURES), 5)
+    labelled = C.cluster_labels(points, ORDER_FEATURES, 5, "k-Means", model)
+    gaps = [sum((F.col(c) - float(v)) ** 2 for c, v in zip(ORDER_FEATURES, centre)) for centre in model.clusterCenters()]
+    own = F.element_at(F.array(*gaps), F.col(C.KMEANS_COLUMN) + 1)
+    return labelled.select("o_orderkey", (own <= F.least(*gaps) * (1 + 1e-9)).alias("nearest"))
 
 
 @queries.add("label_attach", "SELECT o_orderkey, 1::BIGINT AS n, true AS labelled FROM orders")
@@ -60,10 +64,22 @@ def total_spread(spark, d):
     return C.total_spread(_order_points(spark, d), ORDER_FEATURES).select(r("wcss", 1).alias("wcss"))
 
 
-@queries.add("kmeans_sweep")
+ORDER_POINTS = "(SELECT o_totalprice / 1000 AS price, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / 10.0::DOUBLE AS day FROM orders)"
+
+
+@queries.add("kmeans_sweep", f"""
+    SELECT unnest(range(1, 11))::INT AS k, {sql_r('var_pop(price) * count(*) + var_pop(day) * count(*)', 1)} AS single_cost,
+        true AS cost_falls, true AS score_in_range FROM {ORDER_POINTS}
+""")
 def kmeans_sweep(spark, d):
+    """The curve of all k with what must hold for it: one cluster costs the whole spread, more cost less, scores lie in -1 to 1."""
     points = _order_points(spark, d).persist()
-    return C.sweep(points, ORDER_FEATURES).curve
+    curve = C.sweep(points, ORDER_FEATURES).curve
+    points.unpersist()
+    whole = curve.where("k = 1").select("wcss").scalar()
+    scored = F.when(F.col("k") == 1, F.col("silhouette").isNull()).otherwise(F.col("silhouette").between(-1, 1))
+    return curve.select("k", r(whole, 1).alias("single_cost"), F.when(F.col("k") == 1, True).otherwise(F.col("wcss") < whole).alias("cost_falls"),
+                        F.coalesce(scored, F.lit(False)).alias("score_in_range"))
 
 
 # Curves with the shape of a sweep, aggregated from line items: a cost that falls, a score that varies.
@@ -150,30 +166,54 @@ def exact_silhouette(spark, d):
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("silhouette"), 5).alias("silhouette"))
 
 
-@queries.add("ward_labels")
+@queries.add("ward_labels", """
+    SELECT vec_id, true AS labelled, 10::BIGINT AS clusters FROM embeddings, (SELECT 1)
+""")
 def ward_labels(spark, d):
-    found = C.ward_labels(flat_embeddings(spark, d), EMBEDDED, 10, "vec_id")
-    return found.groupBy(C.WARD_COLUMN, "label").agg(F.count(F.lit(1)).alias("n"))
+    """One row per vector, each with one of exactly ten labels."""
+    found = C.ward_labels(flat_embeddings(spark, d), EMBEDDED, 10).select("vec_id", C.WARD_COLUMN)
+    found = cut_lineage(found)
+    clusters = found.agg(F.countDistinct(C.WARD_COLUMN).alias("clusters")).scalar()
+    return found.select("vec_id", F.coalesce(F.col(C.WARD_COLUMN).between(0, 9), F.lit(False)).alias("labelled"), clusters.alias("clusters"))
 
 
-@queries.add("ward_of_micro_clusters")
+@queries.add("ward_tree", f"""
+    SELECT count(*) AS n, 1::BIGINT AS roots, {sql_r('var_pop(price) * count(*) + var_pop(day) * count(*)', 1)} AS spread
+    FROM {ORDER_POINTS}
+""")
+def ward_tree(spark, d):
+    """Sizes add up to the rows, merges are one fewer than starts, and what all merges cost is, with the spread inside
+    the micro-clusters, the whole spread."""
+    placed, start = C.micro_clusters(_order_points(spark, d), ORDER_FEATURES)
+    inside = placed.groupBy("_micro").agg(sum(F.var_pop(c) * F.count(c) for c in ORDER_FEATURES).alias("inside"))
+    merges = C.ward_merges(start).agg(F.count(F.lit(1)).alias("merges"), F.sum("cost").alias("cost"))
+    starts = start.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("starts"))
+    # All three are single rows.
+    one = starts.select("*", merges.select("merges").scalar().alias("merges"), merges.select("cost").scalar().alias("cost"),
+                        inside.agg(F.sum("inside")).scalar().alias("inside"))
+    return one.select("n", (F.col("starts") - F.col("merges")).alias("roots"), r(F.col("cost") + F.col("inside"), 1).alias("spread"))
+
+
+@queries.add("ward_of_micro_clusters", "SELECT o_orderkey, true AS labelled, 5::BIGINT AS clusters FROM orders")
 def ward_of_micro_clusters(spark, d):
-    points = _order_points(spark, d).persist()
-    found = C.ward_labels(points, ORDER_FEATURES, 5, micro_clusters=100)
-    return found.groupBy(C.WARD_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(C.ward_labels(_order_points(spark, d), ORDER_FEATURES, 5).select("o_orderkey", C.WARD_COLUMN))
+    clusters = found.agg(F.countDistinct(C.WARD_COLUMN).alias("clusters")).scalar()
+    return found.select("o_orderkey", F.coalesce(F.col(C.WARD_COLUMN).between(0, 4), F.lit(False)).alias("labelled"), clusters.alias("clusters"))
 
 
-@queries.add("cluster_run")
+@queries.add("cluster_run", "SELECT label, count(*) AS n, count(*) AS by_kmeans, count(*) AS by_ward, count(*) AS placed FROM embeddings GROUP BY label")
 def cluster_run(spark, d):
-    run = cluster_table(flat_embeddings(spark, d), "both", "vec_id", plane=True, ignore=("vec_id", "label"), variance_limit=0.001)
-    return run.labelled.groupBy("label", C.KMEANS_COLUMN, C.WARD_COLUMN).agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("pc1"), 3).alias("pc1"), r(F.avg("pc2"), 3).alias("pc2"))
+    """Both algorithms label every row, and every row has its place in the plane."""
+    run = cluster_table(flat_embeddings(spark, d), "both", plane=True, ignore=("vec_id", "label"), variance_limit=0.001)
+    return run.labelled.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(C.KMEANS_COLUMN).between(0, run.k - 1)).alias("by_kmeans"),
+        F.count_if(F.col(C.WARD_COLUMN).between(0, run.k - 1)).alias("by_ward"), F.count_if(F.col("pc1").isNotNull() & F.col("pc2").isNotNull()).alias("placed"))
 
 
 @queries.add("cluster_report")
 def cluster_report(spark, d):
     points = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    return cluster_table(points, "k-Means", "p_partkey", k_max=6, ignore=("p_partkey",)).report
+    return cluster_table(points, "k-Means", ignore=("p_partkey",)).report
 
 
 @queries.add("report_metrics", """

@@ -48,11 +48,25 @@ def test_ward_equals_greedy_merging(spark, finish_rows):
 
 
 def test_ward_from_micro_clusters_finds_the_groups(spark, blobs):
-    found = C.ward_labels(_frame(spark, blobs), ["x", "y"], 3, micro_clusters=12).collect()
+    found = C.ward_labels(_frame(spark, blobs), ["x", "y"], 3, micro=12).collect()
     assert len(found) == 60
     assert _partition((r["id"], r[C.WARD_COLUMN]) for r in found) == _partition((i, i // 20) for i in range(60))
 
 
+def test_ward_keeps_rows_of_repeated_and_null_keys(spark, blobs):
+    df = _frame(spark, blobs).withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id") % 10))
+    found = C.ward_labels(df, ["x", "y"], 3).collect()
+    assert len(found) == 60
+    assert len({(r["truth"], r[C.WARD_COLUMN]) for r in found}) == 3
+
+
+def test_ward_is_the_same_at_every_size(spark, blobs):
+    one = _frame(spark, blobs)
+    many = one.unionByName(one).unionByName(one)
+    rows = C.ward_labels(many, ["x", "y"], 3, micro=30).collect()
+    assert _partition((r["id"], r[C.WARD_COLUMN]) for r in rows) == _partition((i, i // 20) for i in range(60))
+
+
 def test_sweep_and_choice(spark, blobs):
     df = _frame(spark, blobs).persist()
     found = C.sweep(df, ["x", "y"], 6)
@@ -88,7 +102,7 @@ def test_choice_and_bands(spark):
 def test_cluster_table(spark, blobs):
     df = _frame(spark, blobs).drop("truth").withColumn("gender", F.when(F.col("id") % 2 == 0, "Male").otherwise("girl"))
     df = df.unionByName(spark.createDataFrame([(None, None, None, None)], "id long, x double, y double, gender string"))
-    run = cluster_table(df, "both", "id", plane=True, k_max=5, ignore=("id",))
+    run = cluster_table(df, "both", plane=True, k_max=5, ignore=("id",))
     assert run.k == 3
     assert run.labelled.columns == ["id", "x", "y", "gender", C.KMEANS_COLUMN, C.WARD_COLUMN, "pc1", "pc2"]
     rows = run.labelled.collect()
