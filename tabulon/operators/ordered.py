@@ -52,7 +52,7 @@ def with_running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str],
                         buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add, per entry of `totals`, its sum over all earlier rows of the same `by` group.
 
-    (by, order) must identify a row and must not be null. Where the caller knows an order-preserving,
+    (by, order) must identify a row; `order` must not be null, and null is a group of `by` like any other. Where the caller knows an order-preserving,
     evenly spread bucket of the order key (a hash prefix), it passes `bucket` and no split points are taken.
     """
     by, order = list(by), list(order)
@@ -67,14 +67,15 @@ def with_running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str],
     # With no `by` this window sees one row per bucket, which MAX_BUCKETS bounds.
     group = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(*_BEFORE)
     offsets = per_bucket.select(
-        *by, "_bucket",
+        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_bucket"]],
         *[F.coalesce(F.sum(f"_sum_{n}").over(group), F.lit(0)).alias(f"_offset_{n}") for n in totals],
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(*_BEFORE)
     for n, s in sums.items():
         cut = cut.withColumn(f"_inside_{n}", F.coalesce(s.over(inside), F.lit(0)))
     # Every bucket has its offset. The left join spares the null test on the bucket, which would compute it again.
-    joined = cut.join(offsets, [*by, "_bucket"], "left")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_bucket") == F.col("_of__bucket")]
+    joined = cut.join(offsets, same, "left")
     return joined.select(*df.columns, *[
         (F.col(f"_inside_{n}") + F.coalesce(F.col(f"_offset_{n}"), F.lit(0))).alias(n) for n in totals
     ])

@@ -46,12 +46,15 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
-    """(column_name, value, n) for all columns at once; missing values are left out.
+    """(column_name, value, n) for all columns at once; missing values and NaN are left out, and zero has one sign.
 
     With `digests`, a SHA-256 digest stands for a long text, so that counting never shuffles whole documents.
     """
     def shown(c: str) -> Column:
-        text = F.col(c).cast("string")
+        value = F.col(c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            value = F.when(~F.isnan(c), value + F.lit(0.0).cast(df.schema[c].dataType))
+        text = value.cast("string")
         if digests and column_kind(df.schema[c]) == "string":
             text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
         return text.alias(c)

@@ -13,7 +13,7 @@ TEST_PERCENT = 20
 
 def row_digest(key: str | None, columns: list[str], seed: int) -> Column:
     """A hex digest per row: of its key, or of all its values where the table has no key."""
-    source = F.col(key).cast("string") if key else F.to_json(F.struct(*columns))
+    source = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.to_json(F.struct(*columns))
     return F.md5(F.concat(F.lit(f"{seed}:"), source))
 
 
@@ -33,19 +33,24 @@ def train_test(df: DataFrame, key: str | None = None, test_percent: int = TEST_P
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
-def with_folds(df: DataFrame, label: str, key: str | None = None, k: int = 5, seed: int = SEED) -> DataFrame:
+def with_folds(df: DataFrame, label: str | None, key: str | None = None, k: int = 5, seed: int = SEED) -> DataFrame:
     """Adds fold 0..k-1, dealt out in hash order inside each label, so folds differ by at most one row per label.
 
-    Hash prefixes cut a frequent label into 65,536 even parts. Without a key the hash alone decides,
-    which keeps copies of a row together.
+    Hash prefixes cut a frequent label into 65,536 even parts. Without a key, rows with the same values are dealt as one,
+    so copies stay together. Without a label (a continuous target) the hash alone decides.
     """
     digest = row_digest(key, df.columns, seed)
-    if key is None:
+    if label is None:
         return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
     marked = df.withColumn("_digest", digest)
     prefix = F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int")
-    placed = with_position(marked, [label], ["_digest", key], "_place", bucket=prefix)
-    return placed.withColumn("fold", (F.col("_place") % k).cast("int")).drop("_digest", "_place")
+    if key is None:
+        # The digest covers the label, so it identifies a distinct row.
+        dealt = with_position(marked.select(label, "_digest").distinct(), [label], ["_digest"], "_place", bucket=prefix)
+        placed = marked.join(dealt.select("_digest", "_place"), "_digest")
+    else:
+        placed = with_position(marked, [label], ["_digest", key], "_place", bucket=prefix)
+    return placed.withColumn("fold", (F.col("_place") % k).cast("int")).select(*df.columns, "fold")
 
 
 def bootstrap(df: DataFrame, seed: int = SEED) -> DataFrame:

@@ -95,11 +95,12 @@ def chi2_scores(docs: DataFrame, key: str, label: str) -> DataFrame:
     """
     classes = docs.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
     documents = classes.agg(F.sum("class_n")).scalar()
+    # One row per class.
     shares = classes.select(label, (F.col("class_n") / documents).alias("share"))
     per_class = bag_of_words(docs, key, label).groupBy("term", label).agg(
         F.sum(F.col("n") / F.col("n_tokens")).alias("tf_sum"), F.count(F.lit(1)).alias("df_part")
     )
-    per_term = per_class.join(shares, label).groupBy("term").agg(
+    per_term = per_class.join(F.broadcast(shares), label).groupBy("term").agg(
         F.sum("df_part").alias("df"),
         F.sum("tf_sum").alias("total"),
         F.sum(F.col("tf_sum") * F.col("tf_sum") / F.col("share")).alias("weighted"),

@@ -18,6 +18,8 @@ from tabulon.session import cut_lineage
 MANY_VALUES = 50
 QUANTILES = [0.1 + 0.8 * i / 9 for i in range(10)]
 MIN_GAIN = 0.01
+LEAF_ROWS = 10
+LEAF_SHARE = 0.0005
 MAX_DEPTH = 30
 FOREST_DEPTH = 25
 DEFAULT_TREES = 100
@@ -121,13 +123,15 @@ def best_split(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 # Node ids are kept with the rows instead of walking every row down ever deeper trees, and more nodes fit one pass.
-TREE_SETTINGS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED}
+# Every leaf has at least LEAF_ROWS rows and a LEAF_SHARE of all rows, so a tree has at most 1 / LEAF_SHARE leaves at any size.
+TREE_SETTINGS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED, "minInfoGain": MIN_GAIN,
+                 "minInstancesPerNode": LEAF_ROWS, "minWeightFractionPerNode": LEAF_SHARE}
 
 
 def decision_tree(mode: str = "classification", max_depth: int = MAX_DEPTH):
     if mode == "classification":
-        return DecisionTreeClassifier(impurity="entropy", minInfoGain=MIN_GAIN, maxDepth=max_depth, **TREE_SETTINGS)
-    return DecisionTreeRegressor(minInfoGain=MIN_GAIN, maxDepth=max_depth, **TREE_SETTINGS)
+        return DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, **TREE_SETTINGS)
+    return DecisionTreeRegressor(maxDepth=max_depth, **TREE_SETTINGS)
 
 
 def random_forest(mode: str = "classification", trees: int = DEFAULT_TREES, max_depth: int = FOREST_DEPTH):

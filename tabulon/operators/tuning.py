@@ -27,6 +27,8 @@ from tabulon.operators.trees import decision_tree, random_forest
 FOLDS = 5
 SEARCH_DRAWS = 50
 SEARCH_FOLDS = 3
+#: The most classes that a target may have.
+MAX_CLASSES = 1000
 SEED = 42
 
 # Names of the candidate models.
@@ -62,7 +64,7 @@ def prepare(df: DataFrame, target: str, numbers: Sequence[str], mode: str = "cla
     stages.append(VectorAssembler(inputCols=[*filled, *text_outputs], outputCol="features", handleInvalid="keep"))
     cast = df.withColumns({c: F.col(c).cast("double") for c in numbers}).where(F.col(target).isNotNull())
     fitted = Pipeline(stages=stages).fit(cast)
-    marked = with_split(with_folds(cast.withColumn("_target", F.col(target)), "_target", key, folds), key)
+    marked = with_folds(with_split(cast.withColumn("_target", F.col(target)), key), "_target" if mode == "classification" else None, key, folds)
     made = fitted.transform(marked).select("features", "fold", "is_test", "_target")
     if mode == "classification":
         labels = sorted_labels(df, target)
@@ -76,10 +78,14 @@ def prepare(df: DataFrame, target: str, numbers: Sequence[str], mode: str = "cla
 
 
 def sorted_labels(df: DataFrame, target: str) -> list[str]:
-    """The distinct labels in the order of their own type, as text. A model holds one entry per class anyway."""
+    """The distinct labels in the order of their own type, as text; an error above MAX_CLASSES of them, as a model
+    holds an entry per class."""
     order = F.col(target).cast("double") if is_numeric(df.schema[target]) else F.col(target).cast("string")
     found = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("label"), order.alias("o"))
-    return [r["label"] for r in found.distinct().orderBy("o").collect()]
+    labels = [r["label"] for r in found.distinct().orderBy("o").limit(MAX_CLASSES + 1).collect()]
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+    return labels
 
 
 def scaled(estimator: Estimator) -> Pipeline:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.operators import tuning
 from tabulon.operators.profile import choose_mode, column_profile, detect_target, id_columns, text_dataset
@@ -15,6 +17,9 @@ from tabulon.operators.splits import row_digest
 from tabulon.operators.text_features import TOP_FEATURES, text_feature_stages
 from tabulon.sources.models import SavedModel
 
+#: A text-valued column with more distinct values than this is no category; the report names it as unused.
+MAX_WORD_VALUES = 50
+
 # The choice that means all models, and the report lines.
 FIND_BEST = "Find Best Model"
 MODE_LINES = {
@@ -46,11 +51,15 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         raise ValueError("no clear target column found")
     ids = {r["column_name"] for r in id_columns(profile).collect()}
     found = text_dataset(profile, target).head()
-    profile.unpersist()
+    few_valued = profile.where((F.col("kind") == "string") & (F.col("n_distinct") <= MAX_WORD_VALUES)).select("column_name")
     texts = [c for c in found["text_columns"] if c not in ids and c != target] if found["is_text_data"] else []
     mode = mode or choose_mode(df, target)
-    skipped = {target, *ignore}
+    skipped = {target, key, *ignore}
     numbers = [c for c in numeric_columns(df) if c not in skipped]
+    # Words of few values become one input per value.
+    words = {r["column_name"] for r in few_valued.collect()} - {*skipped, *texts, *ids}
+    words = [f.name for f in df.schema if f.name in words and isinstance(f.dataType, T.StringType)]
+    unused = [c for c in df.columns if c not in {target, *numbers, *texts, *words}]
 
     stages, outputs, vocabulary = [], [], {}
     if texts:
@@ -59,6 +68,12 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         keyed = df if key else df.withColumn("_key", row_digest(None, df.columns, 0))
         stages, outputs, vocabulary = text_feature_stages(
             keyed.where(F.col(target).isNotNull()), texts, key or "_key", target, top_features)
+    profile.unpersist()
+    if words:
+        places, flags = [f"_place_{i}" for i in range(len(words))], [f"_word_{i}" for i in range(len(words))]
+        stages += [StringIndexer(inputCols=words, outputCols=places, stringOrderType="alphabetAsc", handleInvalid="keep"),
+                   OneHotEncoder(inputCols=places, outputCols=flags, dropLast=False)]
+        outputs += flags
     if not numbers and not outputs:
         raise ValueError("no numeric or text feature is left")
     data = tuning.prepare(df, target, numbers, mode, key, stages, outputs)
@@ -80,11 +95,12 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
                 "order int, model string, protocol string, score double, seconds double")
     finally:
         data.frame.unpersist()
-    fields = [f for f in df.schema if f.name in [*numbers, *texts]]
+    fields = [f for f in df.schema if f.name in [*numbers, *texts, *words]]
     saved = SavedModel(tuning.full_model(data, fitted), dataset, name, 1, target, mode, fields, data.labels, scores)
     lines = [
         ("model", "name", name), ("model", "target", target),
         ("data", "mode", MODE_LINES[mode]),
+        ("data", "unused columns", ", ".join(unused)),
         ("data", "text columns", f"{TEXT_LINE}{texts}" if texts else NO_TEXT_LINE),
         *[("vocabulary", c, " ".join(terms)) for c, terms in vocabulary.items()],
         *[("score", k, v) for k, v in scores.items()],

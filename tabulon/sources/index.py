@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_index(docs: DataFrame, path: str, dataset_id: str, mode: str = "append") -> None:
-    """(doc_id, kind, text, embedding) below dataset_id=…; a dataset is as many files as there are tasks."""
-    docs.withColumn("dataset_id", F.lit(dataset_id)).write.mode(mode).partitionBy("dataset_id").parquet(path)
+def write_index(docs: DataFrame, path: str, dataset_id: str) -> None:
+    """(doc_id, kind, text, embedding) below dataset_id=…; a dataset is as many files as there are tasks.
+
+    A dataset that is written again is replaced, and the others stay."""
+    docs.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("dataset_id").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, dataset_id: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabulon.functions import vectors as V
@@ -111,6 +112,12 @@ def test_folds_and_split(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 10 < 7, "hot").otherwise("cold").alias("y"))
     counts = S.with_folds(df, "y", "id").groupBy("y", "fold").count().collect()
     assert len(counts) == 10 and {r["count"] for r in counts if r["y"] == "hot"} == {140} and {r["count"] for r in counts if r["y"] == "cold"} == {60}
+    nulls = S.with_folds(df.withColumn("y", F.lit(None).cast("string")), "y", "id").groupBy("fold").count().collect()
+    assert {r["count"] for r in nulls} == {200}
+    bare = S.with_folds(df.withColumn("id", F.col("id") + 1), "y").groupBy("y", "fold").count().collect()
+    assert {r["count"] for r in bare} == {140, 60}
+    spread = S.with_folds(df, None, "id").groupBy("fold").count().collect()
+    assert len(spread) == 5 and all(150 < r["count"] < 250 for r in spread)
     train, test = S.train_test(df, "id")
     assert train.count() + test.count() == 1000 and 150 < test.count() < 250
     assert sorted(r["id"] for r in test.collect()) == sorted(r["id"] for r in S.train_test(df.repartition(7), "id")[1].collect())
@@ -184,3 +191,26 @@ def test_forest_search_and_tree_dump(flowers):
     assert T.search_scores(found, data.frame).count() == 2
     dump = T.tree_dump(T.decision_tree().fit(data.frame), data.frame).orderBy("node").collect()
     assert dump[0]["depth"] == 0 and any("Predict" in r["rule"] for r in dump) and dump[1]["depth"] == 1
+
+
+def test_words_are_features_and_the_key_is_not(spark):
+    rows = [(i, ("red", "green", "blue")[i % 3], float(i * 7919 % 101), f"note {i} {i * i}", ("x", "y", "z")[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, color string, noise double, remark string, kind string")
+    run = classify_table(df, "Decision Tree", target="kind", key="id", mode="classification")
+    assert [f.name for f in run.model.fields] == ["color", "noise"]
+    report = {r["key"]: r["value"] for r in run.report.collect()}
+    assert float(report["accuracy"]) == 1.0 if "accuracy" in report else float(report["score"]) > 0.99
+    assert report["unused columns"] == "id, remark"
+
+
+def test_trees_stay_within_their_bound(spark):
+    data = spark.range(4000).select(F.rand(1).alias("x"), (F.rand(2) < 0.5).cast("double").alias("label"))
+    featured = VectorAssembler(inputCols=["x"], outputCol="features").transform(data)
+    forest = T.random_forest(trees=3).fit(featured)
+    assert all(t.numNodes <= 2 * 4000 / T.LEAF_ROWS for t in forest.trees)
+
+
+def test_too_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(tuning, "MAX_CLASSES", 10)
+    with pytest.raises(ValueError, match="more than 10 classes"):
+        tuning.sorted_labels(spark.range(11).select(F.col("id").cast("string").alias("y")), "y")

@@ -73,3 +73,8 @@ def test_text_columns_and_mode(spark):
 def test_approximate_profile_runs_without_value_counts(spark):
     found = P.column_profile(spark.range(100), approximate=True).head()
     assert abs(found["n_distinct"] - 100) <= 10 and found["top_count"] is None
+
+
+def test_floats_count_once(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (1.0,), (None,)], "x double")
+    assert [(r["n_distinct"], r["top_count"]) for r in P.distinct_counts(df, ["x"]).collect()] == [(2, 2)]

@@ -40,7 +40,7 @@ def test_log(spark):
 
 def test_index_reads_one_dataset(spark, tmp_path):
     path = str(tmp_path / "index")
-    for name in ("a", "b"):
+    for name in ("a", "b", "b"):
         docs = spark.createDataFrame([("1", "row", name, [1.0])], "doc_id string, kind string, text string, embedding array<float>")
         write_index(docs, path, name)
     found = read_index(spark, path, "b")
