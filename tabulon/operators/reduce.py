@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.clean import scale
@@ -19,43 +18,61 @@ CORRELATION_LIMIT = 0.85
 VARIANCE_LIMIT = 0.02
 EXPLAINED_VARIANCE = 0.95
 MAX_COMPONENTS = 10
-WIDE = 40
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_i, pos_i, col_j, pos_j, r) for all pairs i < j, r null where a column is constant.
+    """(col_i, pos_i, col_j, pos_j, r) for all pairs i < j, over the rows in which both values are present; NaN counts
+    as missing. r is null where a column is constant in those rows, or where there are none.
 
-    One pass over the rows: as SQL aggregates for usual tables, as one matrix for wide ones.
+    Two passes: the means, then the sums of all pairs around them, whatever the width. Each task adds up its own rows
+    and sends one line for each pair of columns.
     """
     columns = list(columns)
-    if len(columns) > WIDE:
-        return _correlation_matrix_pairs(df, columns)
-    # Rounding can leave a constant column a tiny deviation, so its bounds tell that it is constant.
-    spread = {c: F.when(F.min(c) < F.max(c), F.stddev_pop(c)) for c in columns}
-    pairs = [
-        F.struct(
-            F.lit(a).alias("col_i"), F.lit(i).alias("pos_i"), F.lit(b).alias("col_j"), F.lit(j).alias("pos_j"),
-            F.try_divide(F.covar_pop(a, b), spread[a] * spread[b]).alias("r"),
-        )
-        for (i, a), (j, b) in combinations(enumerate(columns), 2)
-    ]
-    if not pairs:
+    d = len(columns)
+    if d < 2:
         raise ValueError("a correlation needs two columns")
-    return df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
-
-
-def _correlation_matrix_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The matrix has one number per column pair, whatever the number of rows. Constant columns, which have no
-    correlation, are found first: inside the matrix they would spoil other columns too."""
-    bounds = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).head()
-    varied = [c for c in columns if bounds[c]]
-    values = {}
-    if len(varied) > 1:
-        vectors = VectorAssembler(inputCols=varied, outputCol="v").transform(df.select(*varied)).select("v")
-        matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-        values = {(a, b): float(matrix[i, j]) for (i, a), (j, b) in combinations(enumerate(varied), 2)}
-    rows = [(a, i, b, j, values.get((a, b))) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
-    return df.sparkSession.createDataFrame(rows, "col_i string, pos_i int, col_j string, pos_j int, r double")
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).head()
+    centre = np.array([0.0 if m is None else m for m in means])
+    first, second = np.triu_indices(d, 1)
+    sums = ["n", "si", "sj", "qi", "qj", "p"]
+    bounds = ["low_i", "high_i", "low_j", "high_j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        low, high = np.full((d, d), np.inf), np.full((d, d), -np.inf)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre
+            there = ~np.isnan(x)
+            y, m = np.where(there, x, 0.0), there.astype(float)
+            total += (m.T @ m, y.T @ m, (y * y).T @ m, y.T @ y)
+            for j in range(d):
+                own = x[there[:, j]]
+                if len(own):
+                    low[:, j] = np.fmin(low[:, j], np.fmin.reduce(own, axis=0))
+                    high[:, j] = np.fmax(high[:, j], np.fmax.reduce(own, axis=0))
+        n, s, q, p = total
+        values = [n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], p[first, second],
+                  low[first, second], high[first, second], low[second, first], high[second, first]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (first.astype(np.int32), second.astype(np.int32), *values)],
+                                         ["pos_i", "pos_j", *sums, *bounds])
+
+    schema = ", ".join(["pos_i int", "pos_j int", *[f"{c} double" for c in sums + bounds]])
+    added = numbers.mapInArrow(run, schema).groupBy("pos_i", "pos_j").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in bounds])
+    names = F.array(*[F.lit(c) for c in columns])
+    # Rounding can leave a constant column a tiny deviation, so its bounds tell that it is constant.
+    varied = (F.col("low_i") < F.col("high_i")) & (F.col("low_j") < F.col("high_j"))
+    def around(square: str, one: str, other: str) -> Column:
+        return F.col(square) - F.try_divide(F.col(one) * F.col(other), F.col("n"))
+
+    spread = F.sqrt(around("qi", "si", "si") * around("qj", "sj", "sj"))
+    r = F.when(varied, F.try_divide(around("p", "si", "sj"), spread))
+    every = df.sparkSession.range(d).select(F.col("id").cast("int").alias("pos_i"))
+    every = every.select("pos_i", F.explode(F.sequence(F.col("pos_i") + 1, F.lit(d))).alias("pos_j")).where(F.col("pos_j") < d)
+    return every.join(added, ["pos_i", "pos_j"], "left").select(
+        F.get(names, "pos_i").alias("col_i"), "pos_i", F.get(names, "pos_j").alias("col_j"), "pos_j", r.alias("r"))
 
 
 def correlated_columns(pairs: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFrame:

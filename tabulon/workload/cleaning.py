@@ -146,6 +146,26 @@ def correlation_pairs(spark, d):
     return found.select("col_i", "pos_i", "col_j", "pos_j", r("r").alias("r"))
 
 
+@queries.add("correlation_of_gaps", f"""
+    SELECT {sql_r('r')} AS r FROM ({pairs_sql(["quantity", "tax"], GAPPY_LINEITEM)})
+""")
+def correlation_of_gaps(spark, d):
+    return reduce.correlation_pairs(_gappy_lineitem(spark, d), ["quantity", "tax"]).select(r("r").alias("r"))
+
+
+DIMENSIONS = 64
+
+
+@queries.add("correlation_wide", f"""
+    WITH cells AS (SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, {DIMENSIONS + 1}) AS t(i))
+    SELECT a.pos::INTEGER AS pos_i, b.pos::INTEGER AS pos_j, {sql_r('corr(a.v, b.v)')} AS r
+    FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.pos < b.pos GROUP BY 1, 2
+""")
+def correlation_wide(spark, d):
+    cells = table(spark, d, "embeddings", spread=True).select(*[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(DIMENSIONS)])
+    return reduce.correlation_pairs(cells, cells.columns).select("pos_i", "pos_j", r("r").alias("r"))
+
+
 @queries.add("correlation_filter", f"""
     SELECT column_name FROM (VALUES {', '.join(f"('{c}')" for c in FEATURES)}) AS c(column_name)
     WHERE column_name NOT IN (SELECT col_j FROM ({pairs_sql(FEATURES, FEATURES_SQL)}) WHERE r > 0.85)

@@ -46,12 +46,34 @@ def test_correlated_frame(spark):
     assert R.drop_low_variance(df, ["a", "d", "e"]) == ["a", "e"]
     with pytest.raises(ValueError):
         R.drop_low_variance(df, ["d"])
-    wide = {(r["col_i"], r["col_j"]): r["r"] for r in R._correlation_matrix_pairs(df, df.columns).collect()}
-    narrow = {(r["col_i"], r["col_j"]): r["r"] for r in R.correlation_pairs(df, df.columns).collect()}
-    assert wide.keys() == narrow.keys()
-    for pair, value in narrow.items():
-        assert (value is None) == (wide[pair] is None)
-        assert value is None or abs(value - wide[pair]) < 1e-9
+    found = {(r["col_i"], r["col_j"]): r["r"] for r in R.correlation_pairs(df, df.columns).collect()}
+    assert len(found) == 10
+    assert all(found[p] is None for p in found if "d" in p)
+    assert abs(found["a", "b"] - 1) < 1e-12 and abs(found["a", "c"] + 1) < 1e-12
+    assert abs(found["a", "e"] - np.corrcoef(a, e)[0, 1]) < 1e-12
+
+
+def test_correlation_takes_rows_with_both_values(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 45)) + 1e6
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 40] = np.where(rng.random(150) < 0.5, -0.0, 0.0)
+    x[:, 41] = np.nan
+    x[:, 42] = np.where(np.isnan(x[:, 0]), x[:, 42], 0.1)
+    names = [f"x{i}" for i in range(45)]
+    rows = [tuple(None if np.isnan(v) and (i + j) % 2 else float(v) for j, v in enumerate(row)) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
+    found = {(r["pos_i"], r["pos_j"]): r["r"] for r in R.correlation_pairs(df, names).collect()}
+    assert len(found) == 45 * 44 // 2
+    for (i, j), value in found.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i], x[both, j]
+        if len(a) and a.min() < a.max() and b.min() < b.max():
+            assert abs(value - np.corrcoef(a, b)[0, 1]) < 1e-8
+        else:
+            assert value is None
+    empty = R.correlation_pairs(df.where("false"), names[:3]).collect()
+    assert len(empty) == 3 and all(r["r"] is None for r in empty)
 
 
 def test_component_count():
