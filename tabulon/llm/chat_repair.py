@@ -50,6 +50,10 @@ def _steps(state: int, old: int) -> list[tuple[int, int, str, tuple[int, ...]]]:
     return out
 
 
+#: The steps of every state and role number, worked out once.
+_STEPS = {(state, old): _steps(state, old) for state in range(4) for old in range(-1, 3)}
+
+
 def _forward(roles: list[int], entry: int) -> list[list[int]]:
     """Least cost of each state after each turn, from one entry state."""
     best = [_FAR] * 4
@@ -59,7 +63,7 @@ def _forward(roles: list[int], entry: int) -> list[list[int]]:
         now = [_FAR] * 4
         for state in range(4):
             if rows[-1][state] < _FAR:
-                for cost, role, _, _ in _steps(state, old):
+                for cost, role, _, _ in _STEPS[state, old]:
                     now[role] = min(now[role], rows[-1][state] + cost)
         rows.append(now)
     return rows
@@ -71,7 +75,7 @@ def _trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, str, tup
     rows, out, state = _forward(roles, entry), [], leave
     for i in range(len(roles), 0, -1):
         for before in range(4):
-            step = next((s for s in _steps(before, roles[i - 1])
+            step = next((s for s in _STEPS[before, roles[i - 1]]
                          if s[1] == state and rows[i - 1][before] + s[0] == rows[i][state]), None)
             if rows[i - 1][before] < _FAR and step:
                 out.append((state, step[2], step[3], before))
