@@ -2,8 +2,8 @@
 
 Every window of WINDOW bytes gets its entropy, in whole steps of a fixed scale. A histogram of the entropies of all
 windows of the corpus ranks them: the rarer the entropy, the better the rank. In every run of WINDOW neighbouring windows
-the best rank wins, and windows that win often enough are the features of the text. Distinct features go, in order, into
-a chain of Bloom filters, a fixed number to each. Two digests are compared filter by filter: the bits they share, less
+the best rank wins, and windows that win often enough are the features of the text; where none does (short, or with the
+same entropy throughout), all winners are. Distinct features go, in order, into a chain of Bloom filters, a fixed number to each. Two digests are compared filter by filter: the bits they share, less
 what chance would give, as a share of the most they could have.
 """
 
@@ -125,8 +125,14 @@ def _features(data: np.ndarray, starts: np.ndarray, ranks: np.ndarray) -> tuple[
     valid = _inside(starts, len(entropy))
     keys = np.where(valid, ranks[entropy], np.iinfo(np.int32).max)
     wins = np.bincount(_winners(keys)[valid], minlength=len(entropy)) if valid.any() else np.zeros(len(entropy), np.int64)
-    at = np.flatnonzero((wins >= WINS) & valid)
+    at = np.flatnonzero((wins > 0) & valid)
     text = np.searchsorted(starts, at, "right") - 1
+    often = wins[at] >= WINS
+    served = np.zeros(len(starts) - 1, bool)
+    served[text[often]] = True
+    # A text in which no window wins often enough keeps all winners.
+    kept = often | ~served[text]
+    at, text = at[kept], text[kept]
     hashes = _hash_windows(data, at) if len(at) else np.zeros(0, np.uint64)
     # Texts too short for a window are one feature as a whole.
     sizes = np.diff(starts) - 1
@@ -172,6 +178,18 @@ def digests(texts: pa.Array, ranks: np.ndarray) -> list[bytes]:
 
 
 def _long_digest(data: np.ndarray, ranks: np.ndarray) -> bytes:
+    hashes = _long_features(data, ranks, WINS)
+    if not len(hashes):
+        hashes = _long_features(data, ranks, 1)
+    rows = np.arange(len(hashes)) // FILTER_FEATURES
+    bits = np.zeros((-(-len(hashes) // FILTER_FEATURES), FILTER_BYTES * 8), bool)
+    for i in range(HASHES):
+        bits[rows, ((hashes >> np.uint64(11 * i)) & np.uint64(FILTER_BYTES * 8 - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).tobytes()
+
+
+def _long_features(data: np.ndarray, ranks: np.ndarray, least: int) -> np.ndarray:
+    """Distinct hashes, in order, of the windows that win at least so many runs."""
     seen: dict[int, None] = {}
     for at in range(0, len(data), PIECE):
         # A window's wins depend on the WINDOW - 1 runs before it and the windows of the run that begins at it.
@@ -180,16 +198,11 @@ def _long_digest(data: np.ndarray, ranks: np.ndarray) -> bytes:
         entropy = window_entropies(part)
         keys = ranks[entropy]
         wins = np.bincount(_winners(keys), minlength=len(keys))
-        own = np.flatnonzero(wins >= WINS)
+        own = np.flatnonzero(wins >= least)
         own = own[(own + low >= at) & (own + low < at + PIECE)]
         for h in _hash_windows(part, own).tolist() if len(own) else ():
             seen.setdefault(h)
-    hashes = np.array(list(seen), np.uint64)
-    rows = np.arange(len(hashes)) // FILTER_FEATURES
-    bits = np.zeros((-(-len(hashes) // FILTER_FEATURES), FILTER_BYTES * 8), bool)
-    for i in range(HASHES):
-        bits[rows, ((hashes >> np.uint64(11 * i)) & np.uint64(FILTER_BYTES * 8 - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).tobytes()
+    return np.array(list(seen), np.uint64)
 
 
 def likeness(a: bytes, b: bytes) -> float:

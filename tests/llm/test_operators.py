@@ -126,6 +126,20 @@ def test_fingerprints_of_edited_texts(spark, docs, rows, empty):
     assert fingerprints.edited_fingerprints(empty, ranks).count() == 0
 
 
+def test_every_text_has_a_feature(spark, docs, monkeypatch):
+    ranks = fingerprints.rarity_ranks(fingerprints.entropy_histogram(docs))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in range(64, 131) for _ in range(3)] + ["a" * 3000, "ab" * 40]
+    found = fingerprints.digests(pa.array(texts, pa.large_string()), ranks)
+    assert all(found) and len(set(found)) == len(texts)
+    table = spark.createDataFrame(list(enumerate(["", *texts, None])), "doc_id long, text string")
+    got = fingerprints.edited_fingerprints(table, ranks).collect()
+    # The null text comes first and is followed by a text, the empty one is followed by the null one.
+    assert [r.doc_id for r in got if r.near_next == 1] == [0]
+    monkeypatch.setattr(fingerprints, "PIECE", 200)
+    assert fingerprints.digests(pa.array(["a" * 3000], pa.large_string()), ranks) == [found[-2]]
+
+
 def test_window_entropy_and_long_texts(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 105, 700_00).astype(np.uint8)
