@@ -105,6 +105,29 @@ def test_random_strings_are_added_and_prose_is_not(spark, docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [16, 20, 24, 32, 48, 96])
+def test_random_strings_are_found_by_band_and_encoding(length):
+    rng, least = random.Random(length), secret_scan.least_bits(0.01)
+    for name, alphabet in secret_scan.ENCODINGS.items():
+        keys = []
+        while len(keys) < 300:
+            key = "".join(rng.choice(alphabet) for _ in range(length))
+            if re.search("[0-9]", key) and re.search("[A-Za-z]", key) and key.strip("-_/") == key:
+                keys.append(key)
+        assert sum(secret_scan.is_random(k, least) for k in keys) >= 0.96 * len(keys), name
+    decoys = [secret_scan.decoy(rng, secret_scan.WORDS[1::2], length) for _ in range(1000)]
+    assert sum(secret_scan.is_random(s, least) for s in decoys) <= 20
+    assert not any(secret_scan.is_random(s, least) for s in ("abcdefghijklmnop0123456789", "a1" * 20, "src/main/java/App2/index_2024", "order-2024-01-31-report"))
+
+
+def test_a_key_is_found_in_a_table_of_any_size(spark, docs):
+    key = "kX9vQ2mZr7LpW4tBn8Yd"
+    one = spark.createDataFrame([(30_000, f"see {key} here", "en", "s", None)], SCHEMA)
+    for table in (one, docs.union(one)):
+        found = secret_scan.find_secrets(table).where("doc_id = 30000").head()
+        assert [(s.start, s.kind, s.end) for s in found.spans] == [(4, 3, 24)]
+
+
 def test_fingerprints_of_edited_texts(spark, docs, rows, empty):
     ranks = fingerprints.rarity_ranks(fingerprints.entropy_histogram(docs))
     got = fingerprints.edited_fingerprints(docs, ranks).collect()
