@@ -101,13 +101,14 @@ def _bayes_model(spark, d):
 
 @queries.add("question_run")
 def question_run(spark, d):
-    """Opening user turns as questions over the documents, with hashed TF-IDF vectors on both sides."""
+    """Every user turn as a question over the documents, with hashed TF-IDF vectors on both sides."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     encoder = retrieval.text_encoder(docs, size=256)
-    asked = table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.min_by("text", "turn").alias("question")).withColumn("task", F.lit("clustering"))
+    asked = table(spark, d, "conversations").where("role = 'user'").select(
+        F.concat("conv_id", F.lit(":"), "turn").alias("query_id"), F.col("text").alias("question"), F.lit("clustering").alias("task"))
     found = answer_questions(retrieval.encode_text(encoder, asked, "question"), retrieval.encode_text(encoder, docs))
-    return found.select("query_id", "route", F.length("prompt").alias("n"))
+    conv_id, turn = (F.split_part("query_id", F.lit(":"), F.lit(i)).cast("long") for i in (1, 2))
+    return found.select(conv_id.alias("conv_id"), turn.alias("turn"), "route", F.length("prompt").alias("n"))
 
 
 # --- selection -----------------------------------------------------------------------------------
