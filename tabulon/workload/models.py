@@ -226,7 +226,7 @@ def tree_dump(spark, d):
 def forest_size_search(spark, d):
     data = _prepared(spark, d)
     data.frame.persist()
-    found = T.search_forest(data.frame, trees=(10, 20), depths=(3, 5))
+    found = T.search_forest(data.frame)
     return T.search_scores(found, data.frame)
 
 

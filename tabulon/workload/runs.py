@@ -127,7 +127,7 @@ def cross_validated_auc(spark, d):
 
 @queries.add("random_search")
 def random_search(spark, d):
-    return tuning.random_search(_data(spark, d), draws=4, max_iter=20).trials
+    return tuning.random_search(_data(spark, d)).trials
 
 
 @queries.add("model_selection")

@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -16,6 +17,8 @@ from tabulon.operators import tuning
 from tabulon.plans.classify_table import classify_table
 from tabulon.session import shared_path
 from tabulon.sources.models import load_model, save_model
+from tabulon.workload.models import queries as model_queries
+from tabulon.workload.runs import queries as run_queries
 
 
 @pytest.fixture(scope="module")
@@ -185,6 +188,25 @@ def test_text_run(spark):
     assert run.model.scores["accuracy"] == 1.0
 
 
+def test_first_trees_are_a_forest(flowers):
+    for mode, target in (("classification", "species"), ("regression", "petal_length")):
+        data = tuning.prepare(flowers, target, ["sepal_length", "petal_width"], mode, key="id")
+        model = T.random_forest(mode, 6, 4).fit(data.frame)
+        all_, three = T.first_trees(model, 6), T.first_trees(model, 3)
+        assert three.getNumTrees == 3 and [t.toDebugString for t in three.trees] == [t.toDebugString for t in model.trees[:3]]
+        both = [[r["prediction"] for r in m.transform(data.frame.orderBy("features")).collect()] for m in (model, all_)]
+        assert both[0] == both[1]
+
+
+def test_search_queries_try_the_declared_grid(spark, monkeypatch):
+    tried = {}
+    monkeypatch.setattr(T, "search_forest", lambda df, **sizes: T.ForestSearch(tried.setdefault("forest", sizes), [(1, 1, 1.0)]))
+    monkeypatch.setattr(tuning, "random_search", lambda data, **sizes: SimpleNamespace(trials=tried.setdefault("search", sizes)))
+    model_queries.queries["forest_size_search"](spark, "/root/testdata/sf0.001")
+    run_queries.queries["random_search"](spark, "/root/testdata/sf0.001")
+    assert tried == {"forest": {}, "search": {}}
+
+
 def test_forest_search_and_tree_dump(flowers):
     data = tuning.prepare(flowers, "species", NUMBERS, key="id")
     found = T.search_forest(data.frame, trees=(2, 4), depths=(3,))
