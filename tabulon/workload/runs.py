@@ -133,7 +133,7 @@ def random_search(spark, d):
 @queries.add("model_selection")
 def model_selection(spark, d):
     data = _data(spark, d)
-    models = tuning.candidates("classification", trees=10, forest_depth=8)
+    models = tuning.candidates("classification", tuning.random_search(data).estimator)
     return tuning.select_model(data, models).table.select("order", "model", "protocol", "score")
 
 
@@ -154,6 +154,12 @@ def classification_run(spark, d):
     return run.report
 
 
+@queries.add("best_model_run")
+def best_model_run(spark, d):
+    """All candidates at the declared sizes; the best one is fitted on all rows."""
+    return classify_table(flat_embeddings(spark, d), target="label", key="vec_id", ignore=("vec_id",), dataset="embeddings").report
+
+
 @queries.add("text_classification_run")
 def text_classification_run(spark, d):
     docs = table(spark, d, "documents", spread=True).select("text", F.col("lang").alias("label"))

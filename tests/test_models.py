@@ -207,6 +207,23 @@ def test_search_queries_try_the_declared_grid(spark, monkeypatch):
     assert tried == {"forest": {}, "search": {}}
 
 
+def test_selection_queries_try_every_candidate(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(tuning, "random_search", lambda data, *draws, **_: SimpleNamespace(estimator=L.logistic_regression(0.5)))
+
+    def select(data, models, **_):
+        forest = models["Random Forest classification"].getStages()[-1]
+        tried.append((list(models), forest.getNumTrees(), forest.getMaxDepth()))
+        table = spark.createDataFrame([(0, tuning.NAIVE_BAYES, "5-fold", 0.5, 0.0)], "order int, model string, protocol string, score double, seconds double")
+        return tuning.Selection(tuning.NAIVE_BAYES, 0.5, table, models[tuning.NAIVE_BAYES])
+
+    monkeypatch.setattr(tuning, "select_model", select)
+    for name in ("model_selection", "best_model_run"):
+        run_queries.queries[name](spark, "/root/testdata/sf0.001").collect()
+    every = [tuning.NAIVE_BAYES, "Decision Tree classification", "Random Forest classification", tuning.LOGISTIC, tuning.TUNED]
+    assert tried == [(every, 100, 25)] * 2
+
+
 def test_forest_search_and_tree_dump(flowers):
     data = tuning.prepare(flowers, "species", NUMBERS, key="id")
     found = T.search_forest(data.frame, trees=(2, 4), depths=(3,))
