@@ -210,7 +210,7 @@ def tree_regression(spark, d):
     lineitem = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     data = tuning.prepare(lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "regression")
-    model = T.decision_tree("regression", 8)
+    model = T.decision_tree("regression")
     _, found = tuning.held_out_score(tuning.single(model), data)
     return tuning.score(found, "regression", 0)
 
@@ -218,7 +218,7 @@ def tree_regression(spark, d):
 @queries.add("tree_dump")
 def tree_dump(spark, d):
     data = _prepared(spark, d)
-    model = T.decision_tree(max_depth=5).fit(data.frame)
+    model = T.decision_tree().fit(data.frame)
     return T.tree_dump(model, data.frame)
 
 
@@ -233,7 +233,7 @@ def forest_size_search(spark, d):
 @queries.add("scaled_model")
 def scaled_model(spark, d):
     data = _prepared(spark, d)
-    model, found = tuning.held_out_score(tuning.scaled(L.logistic_regression(max_iter=50)), data)
+    model, found = tuning.held_out_score(tuning.scaled(L.logistic_regression()), data)
     return found.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 

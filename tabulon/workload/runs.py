@@ -103,7 +103,7 @@ def _bayes_model(spark, d):
 def question_run(spark, d):
     """Every user turn as a question over the documents, with hashed TF-IDF vectors on both sides."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    encoder = retrieval.text_encoder(docs, size=256)
+    encoder = retrieval.text_encoder(docs)
     asked = table(spark, d, "conversations").where("role = 'user'").select(
         F.concat("conv_id", F.lit(":"), "turn").alias("query_id"), F.col("text").alias("question"), F.lit("clustering").alias("task"))
     found = answer_questions(retrieval.encode_text(encoder, asked, "question"), retrieval.encode_text(encoder, docs))
@@ -122,7 +122,7 @@ def _data(spark, d):
 
 @queries.add("cross_validated_auc")
 def cross_validated_auc(spark, d):
-    return tuning.cross_validated_score(tuning.scaled(L.logistic_regression(max_iter=20)), _data(spark, d), folds=3)
+    return tuning.cross_validated_score(tuning.scaled(L.logistic_regression()), _data(spark, d))
 
 
 @queries.add("random_search")

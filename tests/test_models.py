@@ -11,6 +11,7 @@ from tabulon.functions import vectors as V
 from tabulon.operators import logistic as L
 from tabulon.operators import metrics as M
 from tabulon.operators import naive_bayes as B
+from tabulon.operators import retrieval as R
 from tabulon.operators import splits as S
 from tabulon.operators import trees as T
 from tabulon.operators import tuning
@@ -224,6 +225,29 @@ def test_selection_queries_try_every_candidate(spark, monkeypatch):
     assert tried == [(every, 100, 25)] * 2
 
 
+def test_model_queries_run_at_declared_sizes(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def recorded(name, module):
+        def run(*args, **sizes):
+            seen.append((name, args, sizes))
+            raise Stop
+        monkeypatch.setattr(module, name, run)
+
+    recorded("logistic_regression", L)
+    recorded("decision_tree", T)
+    recorded("text_encoder", R)
+    for queries, name in ((run_queries, "cross_validated_auc"), (model_queries, "scaled_model"), (model_queries, "tree_dump"),
+                          (model_queries, "tree_regression"), (run_queries, "question_run")):
+        with pytest.raises(Stop):
+            queries.queries[name](spark, "/root/testdata/sf0.001")
+    assert [(n, a) for n, a, _ in seen[:4]] == [("logistic_regression", ())] * 2 + [("decision_tree", ()), ("decision_tree", ("regression",))]
+    assert seen[4][0] == "text_encoder" and not any(sizes for _, _, sizes in seen)
+
+
 def test_forest_search_and_tree_dump(flowers):
     data = tuning.prepare(flowers, "species", NUMBERS, key="id")
     found = T.search_forest(data.frame, trees=(2, 4), depths=(3,))
