@@ -14,6 +14,7 @@ from tabulon.llm.language_crf import fit_languages, label_languages
 from tabulon.llm.line_spread import MIN_SITES, remove_spread_lines
 from tabulon.llm.secret_scan import find_secrets, spans_text
 from tabulon.llm.sharding import shard_by_bytes, text_size
+from tabulon.llm.source_audit import source_divergence
 from tabulon.llm.suffix_repeats import repeated_spans
 from tabulon.workload.common import Registry, table
 
@@ -147,3 +148,36 @@ def op9_backtracking_bpe(spark, d):
 def op10_site_spread(spark, d):
     kept = remove_spread_lines(table(spark, d, "documents").select("doc_id", "text", "source"))
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+_TERMS = r"""regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@queries.add("op11_count_cells", f"""
+    WITH doc AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    word AS (SELECT id, lang, source, unnest({_TERMS}) AS term FROM doc),
+    kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+    size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    own AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+    total AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+    grp AS (SELECT DISTINCT lang, source FROM doc),
+    share AS (
+        SELECT lang, source, term, coalesce(own.n, 0) AS n,
+               1 + 1000000000::HUGEINT * (coalesce(own.n, 0) + 2) // (coalesce(total.total, 0) + 2 * v) AS p,
+               1 + 1000000000::HUGEINT * (kept.n + 2) // (size.total + 2 * v) AS q
+        FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN own USING (lang, source, term) LEFT JOIN total USING (lang, source)),
+    pair AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM (
+        SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source)
+    UNION ALL
+    SELECT * FROM (
+        SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term)::INTEGER AS rank
+        FROM share WHERE n > 0 AND p > q) WHERE rank <= 10
+""")
+def op11_count_cells(spark, d):
+    return source_divergence(table(spark, d, "documents").select("text", "lang", "source"))
