@@ -11,9 +11,11 @@ from tabulon.llm.decontaminate import benchmark_hits
 from tabulon.llm.fingerprints import edited_fingerprints, entropy_histogram, rarity_ranks
 from tabulon.llm.jaccard_regions import near_duplicates
 from tabulon.llm.language_crf import fit_languages, label_languages
+from tabulon.llm.lexical_search import ranked_search
 from tabulon.llm.line_spread import MIN_SITES, remove_spread_lines
 from tabulon.llm.secret_scan import find_secrets, spans_text
 from tabulon.llm.sharding import shard_by_bytes, text_size
+from tabulon.llm.simhash_pivots import simhash_groups
 from tabulon.llm.source_audit import source_divergence
 from tabulon.llm.suffix_repeats import repeated_spans
 from tabulon.workload.common import Registry, table
@@ -181,3 +183,29 @@ _TERMS = r"""regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 """)
 def op11_count_cells(spark, d):
     return source_divergence(table(spark, d, "documents").select("text", "lang", "source"))
+
+
+@queries.add("op12_pivot_tables")
+def op12_pivot_tables(spark, d):
+    return simhash_groups(table(spark, d, "documents").select("doc_id", "text"))
+
+
+_SEARCH_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@queries.add("op13_block_max", f"""
+    WITH word AS (SELECT doc_id, row, unnest(w) AS term FROM (SELECT doc_id, row_number() OVER () AS row, {_SEARCH_TERMS} AS w FROM documents)),
+    size AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM word GROUP BY row),
+    whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM size),
+    posting AS (SELECT row, term, count(*) AS tf FROM word GROUP BY ALL),
+    query AS (SELECT DISTINCT item, item_id, term FROM (
+        SELECT item, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_SEARCH_TERMS} AS w FROM benchmark))),
+    weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, whole GROUP BY term),
+    scored AS (
+        SELECT item, item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+        FROM query JOIN weight USING (term) JOIN posting USING (term) JOIN size USING (row), whole GROUP BY ALL)
+    SELECT item_id, rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+""")
+def op13_block_max(spark, d):
+    return ranked_search(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
