@@ -3,21 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.sources.csv_blocks import header_names, parse_records, record_lines
+
 FORMATS = ("csv", "json", "parquet")
 #: What an empty cell is read as before it becomes null; a quoted empty cell stays the empty text.
 _NO_CELL = "\u0000"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0, multi_line: bool = True) -> DataFrame:
-    """CSV with a header. Jobs over large files pass a schema, which saves the pass that infers types, and
-    `multi_line=False` where no cell holds a line break, so that Spark can split the files."""
-    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', nullValue=_NO_CELL)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sampling_ratio: float = 1.0,
+             multi_line: bool | None = None, block_bytes: int | None = None) -> DataFrame:
+    """CSV with a header, cells in quotes where they need it, quotes in them doubled. A schema saves the pass that infers
+    types.
+
+    Files are read in blocks by many tasks, also where cells hold line breaks: a pass over the blocks tells where records
+    end, and only files with such cells are rewritten as records. `block_bytes` is the size of a block, for this pass alone.
+    `multi_line=True` takes each file as one task, which also reads quotes in the middle of cells that have none around them
+    and folders that stand for columns; `multi_line=False` ends records at every line break without looking."""
+    reader = spark.read.options(header=True, multiLine=bool(multi_line), quote='"', escape='"', nullValue=_NO_CELL)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("samplingRatio", sampling_ratio).csv(path, inferSchema=True)
+        reader = reader.schema(schema)
+    else:
+        reader = reader.option("samplingRatio", sampling_ratio).option("inferSchema", True)
+    if multi_line is not None:
+        return reader.csv(path)
+    plain, records = record_lines(path, spark, block_bytes)
+    if plain:
+        return reader.csv(path)
+    names = None
+    if schema is None:
+        header = records.filter("first").agg(F.min_by("record", "file")).head()[0]
+        names = header_names(header or "")
+    return parse_records(records, reader.option("header", False).option("multiLine", True), names)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
