@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from tabulon.operators.ordered import with_position
 
 SEED = 42
 TEST_PERCENT = 20
+#: The chance of at most 0, 1, 2, ... draws, up to where a double holds no larger value below 1.
+DRAW_BOUNDS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
 
 
-def row_digest(key: str | None, columns: list[str], seed: int) -> Column:
+def row_digest(key: str | None, columns: list[str], seed: int | str) -> Column:
     """A hex digest per row: of its key, or of all its values where the table has no key."""
     source = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.to_json(F.struct(*columns))
     return F.md5(F.concat(F.lit(f"{seed}:"), source))
@@ -53,6 +57,24 @@ def with_folds(df: DataFrame, label: str | None, key: str | None = None, k: int
     return placed.withColumn("fold", (F.col("_place") % k).cast("int")).select(*df.columns, "fold")
 
 
-def bootstrap(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """About as many rows as the table, drawn with replacement."""
-    return df.sample(withReplacement=True, fraction=1.0, seed=seed)
+def draw_counts(uniform: Column) -> Column:
+    """How often a row is drawn: the inverse of Poisson's distribution with mean 1, which the counts of draws with replacement
+    have in a large table. `uniform` is a number from 0 to 1 (exclusive)."""
+    table = F.array(*[F.lit(p) for p in DRAW_BOUNDS])
+    return F.size(F.filter(table, lambda p: p <= uniform))
+
+
+def bootstrap(df: DataFrame, key: str | None = None, draw: int = 0, seed: int = SEED) -> DataFrame:
+    """About as many rows as the table, drawn with replacement; `draw` numbers independent samples.
+
+    A hash of the row's key (or of all its values, so that equal rows are drawn alike) decides how often it is drawn:
+    partitions, retried tasks and other clusters make no difference, and nothing is shuffled."""
+    clash = {"_drawn"} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns exist: {sorted(clash)}")
+    source = row_digest(key, df.columns, f"{seed}/{draw}")
+    # 48 bits of the digest: whole numbers that a double holds exactly.
+    uniform = F.conv(F.substring(source, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    times = F.sequence(F.lit(1), draw_counts(uniform))
+    drawn = df.withColumn("_drawn", F.when(draw_counts(uniform) > 0, times).otherwise(F.array().cast("array<int>")))
+    return drawn.select(*[F.col(f"`{c}`") for c in df.columns], F.explode("_drawn").alias("_drawn")).drop("_drawn")

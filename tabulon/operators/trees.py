@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,13 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.ordered import with_position
+from tabulon.operators.tree_table import node_table, rules
 from tabulon.session import cut_lineage
 
 MANY_VALUES = 50
 QUANTILES = [0.1 + 0.8 * i / 9 for i in range(10)]
 MIN_GAIN = 0.01
 LEAF_ROWS = 10
-LEAF_SHARE = 0.0005
 MAX_DEPTH = 30
 FOREST_DEPTH = 25
 DEFAULT_TREES = 100
@@ -125,21 +124,23 @@ def best_split(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 # Node ids are kept with the rows instead of walking every row down ever deeper trees, and more nodes fit one pass.
-# Every leaf has at least LEAF_ROWS rows and a LEAF_SHARE of all rows, so a tree has at most 1 / LEAF_SHARE leaves at any size.
 TREE_SETTINGS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED, "minInfoGain": MIN_GAIN,
-                 "minInstancesPerNode": LEAF_ROWS, "minWeightFractionPerNode": LEAF_SHARE}
+                 "minInstancesPerNode": LEAF_ROWS}
 
 
-def decision_tree(mode: str = "classification", max_depth: int = MAX_DEPTH):
+def decision_tree(mode: str = "classification", max_depth: int = MAX_DEPTH, leaf_share: float = 0.0):
+    """A leaf has LEAF_ROWS rows at least, whatever the table's size. A model of a very large table grows with it;
+    `leaf_share`, the least share of all rows in a leaf, bounds it to 1 / leaf_share leaves."""
     if mode == "classification":
-        return DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, **TREE_SETTINGS)
-    return DecisionTreeRegressor(maxDepth=max_depth, **TREE_SETTINGS)
+        return DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
+    return DecisionTreeRegressor(maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
 
 
-def random_forest(mode: str = "classification", trees: int = DEFAULT_TREES, max_depth: int = FOREST_DEPTH):
+def random_forest(mode: str = "classification", trees: int = DEFAULT_TREES, max_depth: int = FOREST_DEPTH, leaf_share: float = 0.0):
+    """`leaf_share` as for a tree."""
     if mode == "classification":
-        return RandomForestClassifier(impurity="entropy", numTrees=trees, maxDepth=max_depth, **TREE_SETTINGS)
-    return RandomForestRegressor(numTrees=trees, maxDepth=max_depth, **TREE_SETTINGS)
+        return RandomForestClassifier(impurity="entropy", numTrees=trees, maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
+    return RandomForestRegressor(numTrees=trees, maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
 
 
 @dataclass
@@ -199,8 +200,4 @@ def search_scores(found: ForestSearch, df: DataFrame) -> DataFrame:
 
 def tree_dump(model, df: DataFrame) -> DataFrame:
     """(node, depth, rule): the fitted tree as a table, in the order of a walk."""
-    rows = []
-    for line in model.toDebugString.splitlines()[1:]:
-        if line.strip():
-            rows.append((len(rows), (len(line) - len(line.lstrip()) - 2) // 1, re.sub(r"\s+", " ", line.strip())))
-    return df.sparkSession.createDataFrame(rows, "node int, depth int, rule string")
+    return rules(node_table(model, df.sparkSession)).select("node", "depth", "rule")

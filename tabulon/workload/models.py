@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabulon.functions import vectors as V
 from tabulon.operators import logistic as L
 from tabulon.operators import naive_bayes as B
+from tabulon.operators import tree_table as TT
 from tabulon.operators import trees as T
 from tabulon.operators import tuning
 from tabulon.operators.clean import encode, label_codes
-from tabulon.session import shared_path
+from tabulon.session import cut_lineage, shared_path
 from tabulon.sources.models import SavedModel, load_model, save_model
 from tabulon.workload.clusters import EMBEDDED, flat_embeddings
 from tabulon.workload.common import Registry, r, sql_r, table
@@ -222,6 +224,103 @@ def tree_dump(spark, d):
     return T.tree_dump(model, data.frame)
 
 
+# A tree over three columns of few values, which SQL can grow level by level.
+PIECE_FEATURES = ["discount", "tax", "line"]
+PIECES = """(SELECT discount, tax, line, CASE WHEN l_orderkey % 7 = 0 THEN l_orderkey % 3 WHEN discount + line > 9 THEN 2 WHEN tax > line THEN 1 ELSE 0 END AS y
+    FROM (SELECT l_orderkey, round(l_discount * 100) AS discount, round(l_tax * 100) AS tax, l_linenumber::DOUBLE AS line FROM lineitem))"""
+TREE_DEPTH = 3
+
+
+def _pieces(spark, d):
+    line = table(spark, d, "lineitem").select(
+        "l_orderkey", F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"), F.col("l_linenumber").cast("double").alias("line"))
+    y = F.when(F.col("l_orderkey") % 7 == 0, F.col("l_orderkey") % 3).when(F.col("discount") + F.col("line") > 9, 2).when(F.col("tax") > F.col("line"), 1).otherwise(0)
+    return line.select(F.array(*PIECE_FEATURES).alias("values"), array_to_vector(F.array(*PIECE_FEATURES)).alias("features"), y.cast("double").alias("label"))
+
+
+def _grown_tree() -> str:
+    """CTEs that grow the tree: level by level the best cut of every node, then from below the nodes whose two leaves agree."""
+    h = lambda n, t: f"-sum(CASE WHEN {n} > 0 THEN {n} / {t} * log2({n} / {t}) ELSE 0 END)"
+    value = "CASE f " + " ".join(f"WHEN '{c}' THEN {c}" for c in PIECE_FEATURES) + " END"
+    parts = [
+        f"cell0 AS (SELECT '' AS path, discount, tax, line, y, count(*) AS n FROM {PIECES} GROUP BY ALL)",
+        "cut AS (SELECT * FROM (SELECT f, pos, (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2 AS t FROM ("
+        + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS f, {i} AS pos, {c} AS x FROM cell0" for i, c in enumerate(PIECE_FEATURES)) + ")) WHERE t IS NOT NULL)"]
+    for i in range(TREE_DEPTH + 1):
+        parts.append(f"""node{i} AS (SELECT path, sum(n) AS n, arg_max(y, (n, -y)) AS prediction, {h('n', 't')} AS impurity
+            FROM (SELECT *, sum(n) OVER (PARTITION BY path) AS t FROM (SELECT path, y, sum(n) AS n FROM cell{i} GROUP BY ALL)) GROUP BY path)""")
+        if i == TREE_DEPTH:
+            break
+        long = " UNION ALL ".join(f"SELECT path, '{c}' AS f, {c} AS x, y, n FROM cell{i}" for c in PIECE_FEATURES)
+        parts += [
+            f"side{i} AS (SELECT path, f, pos, t, y, sum(n) AS a, sum(CASE WHEN x <= t THEN n ELSE 0 END) AS l FROM ({long}) JOIN cut USING (f) GROUP BY ALL)",
+            f"sums{i} AS (SELECT *, a - l AS r, sum(a) OVER w AS ta, sum(l) OVER w AS tl, sum(a - l) OVER w AS tr FROM side{i} WINDOW w AS (PARTITION BY path, f, t))",
+            f"""gain{i} AS (SELECT path, f, pos, t, max(tl) AS nl, max(tr) AS nr,
+                {h('a', 'ta')} - max(tl) / max(ta) * ({h('l', 'tl')}) - max(tr) / max(ta) * ({h('r', 'tr')}) AS gain FROM sums{i} GROUP BY ALL)""",
+            f"""best{i} AS (SELECT path, f, t, gain FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gain DESC, pos, t) AS place FROM gain{i}
+                WHERE nl >= {T.LEAF_ROWS} AND nr >= {T.LEAF_ROWS} AND gain >= {T.MIN_GAIN}) WHERE place = 1)""",
+            f"cell{i + 1} AS (SELECT path || CASE WHEN {value} <= t THEN 'L' ELSE 'R' END AS path, discount, tax, line, y, n FROM cell{i} JOIN best{i} USING (path))"]
+    parts.append(f"state{TREE_DEPTH} AS (SELECT path, prediction, false AS inner_node FROM node{TREE_DEPTH})")
+    for i in reversed(range(TREE_DEPTH)):
+        parts.append(f"""state{i} AS (SELECT n.path, n.prediction, b.path IS NOT NULL AND NOT (NOT l.inner_node AND NOT r.inner_node AND l.prediction = r.prediction) AS inner_node
+            FROM node{i} n LEFT JOIN best{i} b USING (path) LEFT JOIN state{i + 1} l ON l.path = n.path || 'L' LEFT JOIN state{i + 1} r ON r.path = n.path || 'R')""")
+    for i in range(TREE_DEPTH + 1):
+        above = f"JOIN state{i - 1} p ON p.path = s.path[:{i - 1}] AND p.inner_node" if i else ""
+        parts.append(f"kept{i} AS (SELECT s.* FROM state{i} s {above})")
+    return ",\n".join(parts)
+
+
+@queries.add("tree_nodes", f"WITH {_grown_tree()} " + " UNION ALL ".join(f"""
+    SELECT k.path, CASE WHEN k.inner_node THEN f END AS feature, CASE WHEN k.inner_node THEN t END AS threshold, n::BIGINT AS n, k.prediction::DOUBLE AS prediction,
+           {sql_r('impurity')} AS impurity, CASE WHEN k.inner_node THEN {sql_r('gain')} END AS gain
+    FROM kept{i} k JOIN node{i} USING (path) LEFT JOIN {f'best{i}' if i < TREE_DEPTH else "(SELECT '' AS path, '' AS f, 0.0::DOUBLE AS t, 0.0::DOUBLE AS gain WHERE false)"} USING (path)"""
+    for i in range(TREE_DEPTH + 1)))
+def tree_nodes(spark, d):
+    """The fitted tree as a table of nodes."""
+    nodes = TT.feature_names(TT.node_table(T.decision_tree(max_depth=TREE_DEPTH).fit(_pieces(spark, d)), spark), PIECE_FEATURES)
+    return nodes.select("path", "feature", "threshold", "n", "prediction", r("impurity").alias("impurity"), r("gain").alias("gain"))
+
+
+@queries.add("tree_leaves", f"WITH {_grown_tree()} SELECT path, y::DOUBLE AS label, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
+    f"SELECT path, y, n FROM cell{i} JOIN kept{i} USING (path) WHERE NOT inner_node" for i in range(TREE_DEPTH + 1)) + ") GROUP BY ALL")
+def tree_leaves(spark, d):
+    """Where the rows end when they walk the table of nodes."""
+    rows = _pieces(spark, d)
+    nodes = cut_lineage(TT.node_table(T.decision_tree(max_depth=TREE_DEPTH).fit(rows), spark))
+    found = TT.with_leaves(rows.select("values", "label"), nodes, "values").select(F.get("leaves", F.lit(0)).alias("node"), "label")
+    return found.join(nodes.select("node", "path"), "node").groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+TEST_ROWS = "(SELECT count(*) FROM embeddings WHERE ('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 100 >= 80)"
+
+
+def _walked(spark, d, estimator):
+    """Over the held-out rows: trees, rows, rows for which the walk and the model agree, and nodes whose children do not add
+    up to them or whose leaves are too small."""
+    data = _prepared(spark, d)
+    data.frame.persist()
+    model = estimator.fit(data.frame.where(~F.col("is_test")))
+    nodes = cut_lineage(TT.node_table(model, spark))
+    found = TT.with_votes(model.transform(data.frame.where("is_test")), nodes)
+    gap = F.aggregate(F.zip_with("walked_shares", vector_to_array("probability"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, v: F.greatest(a, v))
+    same = (F.col("walked") == F.col("prediction")) & (gap < 1e-12)
+    children = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.sum("n").alias("below"), F.min("n").alias("least"))
+    broken = nodes.join(children, ["tree", "node"], "left").where(
+        (F.col("left") >= 0) & (F.coalesce("below", F.lit(0)) != F.col("n")) | (F.col("least") < T.LEAF_ROWS) | (F.col("depth") > T.MAX_DEPTH)).count()
+    trees = nodes.agg(F.countDistinct("tree")).scalar()
+    return found.agg(trees.alias("trees"), F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_same"), F.lit(broken).cast("long").alias("n_broken"))
+
+
+@queries.add("tree_walk", f"SELECT 1::BIGINT AS trees, {TEST_ROWS} AS n_rows, {TEST_ROWS} AS n_same, 0::BIGINT AS n_broken")
+def tree_walk(spark, d):
+    return _walked(spark, d, T.decision_tree())
+
+
+@queries.add("forest_walk", f"SELECT {T.DEFAULT_TREES}::BIGINT AS trees, {TEST_ROWS} AS n_rows, {TEST_ROWS} AS n_same, 0::BIGINT AS n_broken")
+def forest_walk(spark, d):
+    return _walked(spark, d, T.random_forest())
+
+
 @queries.add("forest_size_search")
 def forest_size_search(spark, d):
     data = _prepared(spark, d)

@@ -27,9 +27,25 @@ def stratified_folds(spark, d):
     return S.with_folds(table(spark, d, "orders"), "o_orderstatus", "o_orderkey").select("o_orderkey", "fold")
 
 
-@queries.add("bootstrap_sample")
+def drawn_sql(draw: int) -> str:
+    bounds = ", ".join(f"{p!r}e0" for p in S.DRAW_BOUNDS)
+    return f"""(SELECT o_orderkey, o_orderstatus, len(list_filter([{bounds}], lambda p: p <= u))::BIGINT AS n FROM (
+        SELECT o_orderkey, o_orderstatus, ('0x' || substr(md5('42/{draw}:' || o_orderkey::VARCHAR), 1, 12))::BIGINT / 281474976710656e0 AS u FROM orders))"""
+
+
+@queries.add("bootstrap_sample", f"SELECT o_orderstatus, sum(n)::BIGINT AS n FROM {drawn_sql(0)} GROUP BY 1")
 def bootstrap_sample(spark, d):
-    return S.bootstrap(table(spark, d, "orders")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return S.bootstrap(table(spark, d, "orders"), "o_orderkey").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@queries.add("bootstrap_rows", f"""
+    SELECT 0 AS draw, o_orderkey, n FROM {drawn_sql(0)} WHERE n > 0 UNION ALL SELECT 1, o_orderkey, n FROM {drawn_sql(1)} WHERE n > 0
+""")
+def bootstrap_rows(spark, d):
+    """How often each order is drawn in two samples; the rows are dealt anew before each one."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    parts = [S.bootstrap(orders.repartition(3 + 4 * i), "o_orderkey", i).withColumn("draw", F.lit(i)) for i in range(2)]
+    return parts[0].union(parts[1]).groupBy("draw", "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Labels and predictions with all kinds of hits and misses, from the events.
