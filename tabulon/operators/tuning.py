@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StandardScalerModel, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.operators import metrics
+from tabulon.operators.batch_logistic import fit_many, fold_accuracies, pack
 from tabulon.operators.logistic import logistic_regression
 from tabulon.operators.naive_bayes import GaussianBayes
 from tabulon.operators.rows import is_numeric
@@ -88,10 +92,25 @@ def sorted_labels(df: DataFrame, target: str) -> list[str]:
     return labels
 
 
+class PopulationScaler(Estimator):
+    """Z-scores with the population deviation, as everywhere in the library; the fitted stage is Spark's own."""
+
+    def _fit(self, df: DataFrame):
+        found = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(df)
+        rows = df.count()
+        if rows < 2:
+            return found
+        context = SparkContext._active_spark_context
+        std = _py2java(context, Vectors.dense(found.std.toArray() * math.sqrt((rows - 1) / rows)))
+        made = context._jvm.org.apache.spark.ml.feature.StandardScalerModel(found._java_obj.uid(), std, found._java_obj.mean())
+        for param, value in (("inputCol", "features"), ("outputCol", "scaled"), ("withMean", True), ("withStd", True)):
+            made.set(made.getParam(param), value)
+        return StandardScalerModel(made)
+
+
 def scaled(estimator: Estimator) -> Pipeline:
     """Z-score, then the model."""
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled")
-    return Pipeline(stages=[scaler, estimator.copy().setFeaturesCol("scaled")])
+    return Pipeline(stages=[PopulationScaler(), estimator.copy().setFeaturesCol("scaled")])
 
 
 def single(estimator: Estimator) -> Pipeline:
@@ -151,27 +170,25 @@ class Search:
     scores: dict[str, float | None]
     trials: DataFrame
     estimator: LogisticRegression
+    passes: int
 
 
 def random_search(data: Prepared, draws: int = SEARCH_DRAWS, folds: int = SEARCH_FOLDS, seed: int = SEED,
-                  max_iter: int = 100, parallelism: int = 4) -> Search:
-    """Seeded draws of the L2 strength from U(0.01, 10.01), scored by accuracy over folds of the training part."""
+                  max_iter: int = 100) -> Search:
+    """Seeded draws of the L2 strength from U(0.01, 10.01), scored by accuracy over folds of the training part. All draws on
+    all folds are fitted in the same passes over the rows."""
     rng = random.Random(seed)
     strengths = [rng.uniform(0.01, 10.01) for _ in range(draws)]
-    model = logistic_regression(max_iter=max_iter)
-    pipeline = scaled(model)
-    inner = pipeline.getStages()[-1]
-    train = data.frame.where(~F.col("is_test")).withColumn("search_fold", (F.xxhash64("features", "label", "fold") % folds + folds) % folds)
-    train = train.withColumn("search_fold", F.col("search_fold").cast("int"))
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=[{inner.regParam: s} for s in strengths],
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, foldCol="search_fold",
-        parallelism=parallelism, seed=seed,
-    ).fit(train)
+    train = data.frame.where(~F.col("is_test"))
+    blocks = pack(train.withColumn("search_fold", F.pmod(F.xxhash64("features", "label", "fold"), F.lit(folds)).cast("int")), fold="search_fold")
+    fits = fit_many(blocks, data.classes, strengths, folds, max_iter)
+    # A fold without rows has no say.
+    means = [float(np.nanmean(a)) if np.isfinite(a).any() else 0.0 for a in fold_accuracies(blocks, fits).T]
     trials = data.frame.sparkSession.createDataFrame(
-        [(i, s, float(a)) for i, (s, a) in enumerate(zip(strengths, search.avgMetrics))], "draw int, l2 double, accuracy double")
-    best = max(range(draws), key=lambda i: (search.avgMetrics[i], -i))
-    found = predictions(search.bestModel, data.frame.where("is_test")).persist()
+        [(i, s, a) for i, (s, a) in enumerate(zip(strengths, means))], "draw int, l2 double, accuracy double")
+    best = max(range(draws), key=lambda i: (round(means[i], 12), -i))
+    chosen = logistic_regression(strengths[best], max_iter)
+    found = predictions(scaled(chosen).fit(train), data.frame.where("is_test")).persist()
     counts = metrics.one_vs_rest(metrics.confusion(found))
     scores = {
         "Accuracy": metrics.accuracy(found).head()[0],
@@ -179,7 +196,7 @@ def random_search(data: Prepared, draws: int = SEARCH_DRAWS, folds: int = SEARCH
         "ROC AUC": score(found, "classification", data.classes).head()["score"],
     }
     found.unpersist()
-    return Search({"L2": strengths[best]}, scores, trials, logistic_regression(strengths[best], max_iter))
+    return Search({"L2": strengths[best]}, scores, trials, chosen, fits.passes)
 
 
 @dataclass

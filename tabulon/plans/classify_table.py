@@ -82,7 +82,7 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         if model == FIND_BEST:
             tuned = None
             if mode == "classification" and search_draws:
-                tuned = tuning.random_search(data, search_draws, parallelism=parallelism).estimator
+                tuned = tuning.random_search(data, search_draws).estimator
             chosen = tuning.select_model(
                 data, tuning.candidates(mode, tuned, trees, forest_depth), parallelism=parallelism)
             name, table, scores = chosen.best, chosen.table, {"score": chosen.score}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tabulon.operators import naive_bayes as B
 from tabulon.operators import tree_table as TT
 from tabulon.operators import trees as T
 from tabulon.operators import tuning
+from tabulon.operators.batch_logistic import gradient_at, pack
 from tabulon.operators.clean import encode, label_codes
 from tabulon.session import cut_lineage, shared_path
 from tabulon.sources.models import SavedModel, load_model, save_model
@@ -336,6 +338,17 @@ def scaled_model(spark, d):
     return found.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+@queries.add("logistic_optimum", "SELECT 10::BIGINT AS classes, true AS at_optimum")
+def logistic_optimum(spark, d):
+    """The loss is convex, so weights are right if and only if its gradient vanishes there."""
+    data = _prepared(spark, d)
+    scaler, model = tuning.scaled(L.logistic_regression()).fit(data.frame).stages
+    rows = scaler.transform(data.frame).withColumn("fold", F.lit(0))
+    weights = np.hstack((model.coefficientMatrix.toArray(), model.interceptVector.toArray()[:, None]))
+    gradient = gradient_at(pack(rows, "scaled"), weights, L.L2)
+    return spark.createDataFrame([(len(weights), bool(abs(gradient).max() < 1e-4))], "classes long, at_optimum boolean")
+
+
 @queries.add("model_store", f"""
     SELECT predicted AS predicted_label, count(*) AS n, 'event_type' AS target, 'Naive Bayes' AS model FROM {PREDICTED} GROUP BY 1
 """)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import retrieval, scoring, tuning
 from tabulon.operators import logistic as L
+from tabulon.operators.batch_logistic import fit_many, pack
 from tabulon.operators.naive_bayes import GaussianBayes
 from tabulon.plans.answer_questions import answer_questions, predict_questions, route_questions
 from tabulon.plans.classify_table import classify_table
@@ -130,6 +131,18 @@ def random_search(spark, d):
     return tuning.random_search(_data(spark, d)).trials
 
 
+@queries.add("search_optimum", f"SELECT {tuning.SEARCH_DRAWS * tuning.SEARCH_FOLDS}::BIGINT AS models, {tuning.SEARCH_DRAWS * tuning.SEARCH_FOLDS}::BIGINT AS at_optimum, true AS few_passes")
+def search_optimum(spark, d):
+    """All strengths on all folds, fitted together: each one's gradient vanishes, in fewer passes than there are models."""
+    data = _data(spark, d)
+    rows = data.frame.where(~F.col("is_test")).withColumn("fold", F.col("fold") % tuning.SEARCH_FOLDS)
+    strengths = [0.01 + 10.0 * i / tuning.SEARCH_DRAWS for i in range(tuning.SEARCH_DRAWS)]
+    fits = fit_many(pack(rows), data.classes, strengths, tuning.SEARCH_FOLDS)
+    largest = abs(fits.gradients).max(axis=(2, 3))
+    return spark.createDataFrame([(largest.size, int((largest < 1e-4).sum()), fits.passes < largest.size)],
+                                 "models long, at_optimum long, few_passes boolean")
+
+
 @queries.add("model_selection")
 def model_selection(spark, d):
     data = _data(spark, d)
