@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,27 +265,32 @@ def edited_fingerprints(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id",
     n_ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Sampled cuts, at most 64 for each range; which rows are drawn only balances the ranges.
     sample = slim.orderBy(F.xxhash64("_key", "_hash", F.lit(3)), "_key", "_hash").limit(n_ranges * 64).orderBy(*order).collect()
-    if not sample:
-        cuts = []
-    else:
-        step = len(sample) / n_ranges
-        cuts = sorted({(r._key is None, -r._key if r._key is not None else 0, r._hash) for r in (sample[int(i * step)] for i in range(1, n_ranges))})
-    place = F.struct(F.col("_key").isNull().alias("a"), (-F.coalesce(F.col("_key"), F.lit(0))).cast("long").alias("b"), F.col("_hash").alias("c"))
+    step = len(sample) / n_ranges
+    cuts = list(dict.fromkeys((r._key, r._hash) for r in (sample[int(i * step)] for i in range(1, n_ranges)))) if sample else []
+    key_type = slim.schema["_key"].dataType
     if cuts:
-        table = F.from_json(F.lit(json.dumps([{"a": a, "b": b, "c": c} for a, b, c in cuts])), "array<struct<a:boolean,b:bigint,c:bigint>>")
+        kinds = T.ArrayType(T.StructType([T.StructField("k", key_type), T.StructField("h", T.LongType())]))
+        table = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in cuts], default=str)), kinds)
+
+        def reached(cut: Column) -> Column:
+            """The cut is at this row or before it: a larger key, or the same one (nulls come last) and a hash that is not larger."""
+            larger = F.coalesce(cut["k"] > F.col("_key"), cut["k"].isNotNull() & F.col("_key").isNull())
+            return larger | (cut["k"].eqNullSafe(F.col("_key")) & (cut["h"] <= F.col("_hash")))
+
         ranged = F.aggregate(F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))]), F.lit(0),
-                             lambda pos, w: F.when(F.get(table, pos + w - 1) <= place, pos + w).otherwise(pos))
+                             lambda pos, w: F.when(F.coalesce(reached(F.get(table, pos + w - 1)), F.lit(False)), pos + w).otherwise(pos))
     else:
         ranged = F.lit(0)
     placed = ordered.withColumn("_range", ranged)
     # The head of each range: one row a range. An empty range passes the head of the next one on.
-    heads = slim.withColumn("_range", ranged).groupBy("_range").agg(F.min(place).alias("head")).collect()
-    heads = sorted((r._range, tuple(r.head)) for r in heads)
-    after = [{"_to": heads[i][0], "a": heads[(i + 1) % len(heads)][1][0], "b": heads[(i + 1) % len(heads)][1][1],
-              "c": heads[(i + 1) % len(heads)][1][2]} for i in range(len(heads))]
-    kind = T.StructType([T.StructField("_to", T.IntegerType()), T.StructField("a", T.BooleanType()), T.StructField("b", T.LongType()), T.StructField("c", T.LongType())])
-    follow = F.broadcast(spark.createDataFrame([tuple(x.values()) for x in after], kind))
-    copies = placed.withColumn("_at", place).join(follow, F.col("_at") == F.struct("a", "b", "c")) \
+    # The largest key, and the least hash that it has: the complement of a hash falls as the hash grows.
+    first = F.max(F.struct("_key", F.bitwise_not("_hash").alias("h")))
+    heads = sorted(((r._range, r["head"]["_key"], ~r["head"]["h"]) for r in slim.withColumn("_range", ranged).groupBy("_range").agg(first.alias("head")).collect()),
+                   key=lambda r: r[0])
+    after = [(heads[i][0], *heads[(i + 1) % len(heads)][1:]) for i in range(len(heads))]
+    kind = T.StructType([T.StructField("_to", T.IntegerType()), T.StructField("_k", key_type), T.StructField("_h", T.LongType())])
+    follow = F.broadcast(spark.createDataFrame(after, kind))
+    copies = placed.join(follow, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))) \
         .groupBy(F.col("_to").alias("_range"), "_key", "_hash").agg(F.first("_text").alias("_text")).withColumn("_copy", F.lit(1))
     every = placed.withColumn("_copy", F.lit(0)).unionByName(copies)
     parts = every.repartition(n_ranges, "_range").sortWithinPartitions("_range", "_copy", *order, "_text")

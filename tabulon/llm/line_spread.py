@@ -80,6 +80,10 @@ def remove_spread_lines(docs: DataFrame, text: str = "text", site: str = "source
     clash = {"n_lines", "n_removed"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
+    # The caller's columns go by other names meanwhile, so that none can meet a helper's.
+    names = docs.columns
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    text, site, key = (f"in_{names.index(c)}" for c in (text, site, key))
     spread = cut_lineage(spread_lines(docs, text, site, key, min_sites))
     hits = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_row"), F.posexplode(lines_of(text)).alias("number", "raw")) \
         .withColumn("raw", F.trim("raw")).filter("raw <> ''") \
@@ -94,6 +98,6 @@ def remove_spread_lines(docs: DataFrame, text: str = "text", site: str = "source
     # Only texts that lose lines go to Python, where the work is linear in the number of lines.
     kept = F.when(some, _without_lines(F.when(some, F.col(text)), out)).otherwise(F.col(text))
     return joined.select(
-        *[F.col(c) if c != text else kept.alias(text) for c in docs.columns],
+        *[(F.col(f"in_{i}") if f"in_{i}" != text else kept).alias(c) for i, c in enumerate(names)],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(text))).cast("long").alias("n_lines"),
         F.size(out).cast("long").alias("n_removed"))

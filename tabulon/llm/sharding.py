@@ -3,8 +3,9 @@
 Records are ordered by a hash of their group (equal texts stand together), then by their key. A sample whose chance
 grows with the record's size gives quantile boundaries, which cut the order into fine ranges; ranges that turn out
 overfull are cut again with samples of their own. Range totals then say where each range begins in the whole order, a
-window inside each range where each record begins, and the shard follows from that byte position: sizes differ by less
-than one record, whatever the sample was.
+window inside each range where each record begins. A record belongs to the shard in which its middle byte lies, so a shard
+has at most half of the record at each of its two ends more or less than the mean: less than the largest record, whatever
+the sample was.
 """
 
 from __future__ import annotations
@@ -51,14 +52,18 @@ def shard_by_bytes(records: DataFrame, shards: int, size: str, group: Column, ke
     `size` must be positive; `group` decides which records stand together, `key` orders them inside a group (nulls
     first). Repeated rows and ties are kept, each with a slot of its own. An empty table gives an empty table. The
     records are written to the shared folder without recomputing them; select only what is needed."""
-    clash = {"shard", "slot", *_ORDER, "_range"} & set(records.columns)
+    clash = {"shard", "slot"} & set(records.columns)
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    names = records.columns
-    rows = cut_lineage(records.withColumns({
-        "_group": F.xxhash64(group), "_key": F.coalesce(F.col(key).cast("string"), F.lit("")),
+    # The caller's columns go by other names meanwhile, so that none can meet a helper's.
+    given = records.columns
+    names = [f"in_{i}" for i in range(len(given))]
+    rows = cut_lineage(records.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)], F.xxhash64(group).alias("_group"),
+        F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("_key"),
         # Tells rows apart that are the same in all else. It is fixed by being written.
-        "_row": F.monotonically_increasing_id()}))
+        F.monotonically_increasing_id().alias("_row")))
+    size = names[given.index(size)]
     ranges = shards * ranges_per_shard
     points = _cuts(_weighted_sample(rows, size, ranges * SAMPLES_PER_RANGE), ranges)
     for _ in range(ROUNDS):
@@ -88,10 +93,11 @@ def shard_by_bytes(records: DataFrame, shards: int, size: str, group: Column, ke
         "_rows_in": F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)),
     }).join(F.broadcast(offsets), "_range").select(
         *names, (F.col("_rows_before") + F.col("_rows_in")).alias("_place"),
-        F.expr(f"cast(((_bytes_before + _bytes_in) * {shards}) div _total as int)").alias("shard"))
+        F.expr(f"cast(((_bytes_before + _bytes_in) * 2 + {size}) * {shards} div (2 * _total) as int)").alias("shard"))
     placed = cut_lineage(placed)
     first = placed.groupBy("shard").agg(F.min("_place").alias("_first"))
-    return placed.join(F.broadcast(first), "shard").select(*names, "shard", (F.col("_place") - F.col("_first")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select(
+        *[F.col(n).alias(c) for c, n in zip(given, names)], "shard", (F.col("_place") - F.col("_first")).alias("slot"))
 
 
 def _bucket(points: list) -> Column:

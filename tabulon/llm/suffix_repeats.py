@@ -127,11 +127,14 @@ def _scan(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The frame as a table in the shared folder, bucketed by the key, so that later joins on it leave its rows in place."""
+    """The frame as a table in the shared folder, bucketed by the key, so that later joins on it leave its rows in place.
+    The catalog forgets the table at once; the frame that is returned goes on reading its files."""
     spark = df.sparkSession
     name = f"tabulon_{uuid.uuid4().hex}"
     df.write.bucketBy(shuffle_width(spark), key).option("path", shared_path(spark, "bucketed")).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def _near_texts(docs: DataFrame, flagged: DataFrame) -> DataFrame:
