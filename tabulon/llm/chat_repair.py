@@ -11,6 +11,7 @@ chained, and each block is traced back alone between its two fixed states. No bl
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,53 +85,61 @@ def _trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, str, tup
     return out[::-1]
 
 
+def _sorted_groups(pdf: pd.DataFrame, keys: list[str], order: str) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    """The rows by group and place, and where each group begins and ends."""
+    pdf = pdf.sort_values([*keys, order], kind="stable", ignore_index=True)
+    fresh = np.zeros(len(pdf), bool)
+    fresh[:1] = True
+    for key in keys:
+        values = pdf[key].to_numpy()
+        fresh[1:] |= values[1:] != values[:-1]
+    heads = np.flatnonzero(fresh).tolist()
+    return pdf, list(zip(heads, [*heads[1:], len(pdf)]))
+
+
 def _block_costs(pdf: pd.DataFrame) -> pd.DataFrame:
-    roles = pdf.sort_values("position")["role"].tolist()
-    costs = [c for entry in range(4) for c in _forward(roles, entry)[-1]]
-    return pd.DataFrame({"conversation": [pdf["conversation"].iloc[0]], "block": [pdf["block"].iloc[0]], "costs": [costs]})
+    """For each block, the least cost from each state to each state, row by row."""
+    pdf, groups = _sorted_groups(pdf, ["conversation", "block"], "position")
+    roles = pdf["role"].tolist()
+    heads = [a for a, _ in groups]
+    return pd.DataFrame({
+        "conversation": pdf["conversation"].to_numpy()[heads], "block": pdf["block"].to_numpy()[heads],
+        "costs": [[c for entry in range(4) for c in _forward(roles[a:z], entry)[-1]] for a, z in groups]})
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """States at the borders of a conversation's blocks: one small matrix for each block goes in."""
-    pdf = pdf.sort_values("block")
-    rows = [[_FAR, _FAR, _FAR, 0]]
-    for costs in pdf["costs"]:
-        rows.append([min(min(rows[-1][a] + costs[4 * a + b] for a in range(4)), _FAR) for b in range(4)])
-    # An open user turn or a lone system turn gets the empty turns that close the conversation.
-    closing = {0: 2 * INSERT, 1: INSERT, 2: 0, 3: _FAR}
-    state = min(range(4), key=lambda s: (rows[-1][s] + closing[s], s))
-    total = rows[-1][state] + closing[state]
-    leave, enter = [], []
-    for i in range(len(pdf), 0, -1):
-        costs = pdf["costs"].iloc[i - 1]
-        before = min(range(4), key=lambda a: (rows[i - 1][a] + costs[4 * a + state], a))
-        leave.append(state)
-        enter.append(before)
-        state = before
-    n = len(pdf)
-    return pd.DataFrame({"conversation": pdf["conversation"].to_numpy(), "block": pdf["block"].to_numpy(), "enter": enter[::-1],
-                         "leave": leave[::-1], "last": [i == n - 1 for i in range(n)], "cost": [total] * n})
-
-
-def _repair_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("position")
-    enter, leave = int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0])
-    found = _trace(pdf["role"].tolist(), enter, leave)
-    after: list[tuple[int, ...]] = [()] * len(found)
-    if pdf["last"].iloc[0]:
-        after[-1] = {0: (1, 2), 1: (2,), 2: ()}[leave]
+    pdf, groups = _sorted_groups(pdf, ["conversation"], "block")
+    matrices = pdf["costs"].tolist()
+    enter, leave, last, cost = ([None] * len(pdf) for _ in range(4))
+    for a, z in groups:
+        rows = [[_FAR, _FAR, _FAR, 0]]
+        for costs in matrices[a:z]:
+            rows.append([min(min(rows[-1][x] + costs[4 * x + y] for x in range(4)), _FAR) for y in range(4)])
+        # An open user turn or a lone system turn gets the empty turns that close the conversation.
+        closing = {0: 2 * INSERT, 1: INSERT, 2: 0, 3: _FAR}
+        state = min(range(4), key=lambda s: (rows[-1][s] + closing[s], s))
+        total = rows[-1][state] + closing[state]
+        for i in range(z - 1, a - 1, -1):
+            before = min(range(4), key=lambda x: (rows[i - a][x] + matrices[i][4 * x + state], x))
+            enter[i], leave[i], last[i], cost[i] = before, state, i == z - 1, total
+            state = before
+    return pd.DataFrame({"conversation": pdf["conversation"], "block": pdf["block"], "enter": enter, "leave": leave, "last": last, "cost": cost})
+
+
+def _repair_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, groups = _sorted_groups(pdf, ["conversation", "block"], "position")
+    roles, enter, leave, last = (pdf[c].tolist() for c in ("role", "enter", "leave", "last"))
+    new, action, before, after = [], [], [], []
+    for a, z in groups:
+        found = _trace(roles[a:z], int(enter[a]), int(leave[a]))
+        new += [f[0] for f in found]
+        action += [f[1] for f in found]
+        before += [list(f[2]) for f in found]
+        after += [[]] * (len(found) - 1) + [list({0: (1, 2), 1: (2,), 2: ()}[int(leave[a])] if last[a] else ())]
     return pd.DataFrame({
-        "conversation": pdf["conversation"].to_numpy(), "position": pdf["position"].to_numpy(),
-        "new": [f[0] for f in found], "action": [f[1] for f in found], "before": [list(f[2]) for f in found],
-        "after": [list(a) for a in after], "merged": ["merge" in f[1] for f in found], "cost": pdf["cost"].to_numpy()})
-
-
-def _each(step, *keys: str):
-    """The step on each group of a task's rows. One call a task instead of one a conversation."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([step(group) for _, group in pdf.groupby(list(keys), sort=False)], ignore_index=True)
-
-    return run
+        "conversation": pdf["conversation"], "position": pdf["position"], "new": new, "action": action, "before": before,
+        "after": after, "merged": ["merge" in x for x in action], "cost": pdf["cost"]})
 
 
 def repair_roles(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
@@ -161,13 +170,16 @@ def repair_roles(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     slim = placed.select("conversation", "block", "position", "role")
     key = "conversation string, block long"
     tasks = max(shuffle_width(turns.sparkSession), placed.count() // TASK_TURNS)
-    deal = lambda *by: F.pmod(F.xxhash64(*by), F.lit(tasks)).alias("task")
-    costs = slim.groupBy(deal("conversation", "block")).applyInPandas(_each(_block_costs, "conversation", "block"), f"{key}, costs array<long>")
-    borders = costs.groupBy(deal("conversation")).applyInPandas(
-        _each(_chain, "conversation"), f"{key}, enter int, leave int, last boolean, cost long")
-    repaired = slim.join(cut_lineage(borders), ["conversation", "block"]).groupBy(deal("conversation", "block")).applyInPandas(
-        _each(_repair_block, "conversation", "block"), "conversation string, position long, new int, action string, before array<int>, after array<int>, "
-                       "merged boolean, cost long")
+
+    def dealt(df: DataFrame, *by: str):
+        """Groups that are one task each: a number of partitions that is asked for stays, however few bytes they hold."""
+        return df.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks))).repartition(tasks, "task").groupBy("task")
+
+    costs = dealt(slim, "conversation", "block").applyInPandas(_block_costs, f"{key}, costs array<long>")
+    borders = dealt(costs, "conversation").applyInPandas(_chain, f"{key}, enter int, leave int, last boolean, cost long")
+    repaired = dealt(slim.join(cut_lineage(borders), ["conversation", "block"]), "conversation", "block").applyInPandas(
+        _repair_blocks, "conversation string, position long, new int, action string, before array<int>, after array<int>, "
+                        "merged boolean, cost long")
     repaired = cut_lineage(repaired)
     found = placed.join(repaired, ["conversation", "position"])
     role_name = F.array(*[F.lit(r) for r in ROLES])
