@@ -25,6 +25,8 @@ WINDOW = 13
 #: Items of one search table. More items mean more passes over the documents, never a larger table in a task.
 ITEMS_PER_PASS = 20_000
 MAX_ITEM_BYTES = 64 << 20
+#: Bytes of text searched at once.
+PIECE = 1_000_000
 
 _words = re.compile(WORD).findall
 
@@ -103,6 +105,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     clash = {"n_words", "n_hit", "items"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
+    # The caller's columns go by other names meanwhile, so that none can meet a helper's.
+    names = docs.columns
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    text = f"in_{names.index(text)}"
     marked = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
     parts = max(1, -(-marked.count() // items_per_pass))
     marked = marked.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
@@ -114,7 +120,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
         search = Search([(i, t) for i, (_, t) in enumerate(rows)], window)
         shared = docs.sparkSession.sparkContext.broadcast((search, [r[0] for r in rows]))
         out = out.mapInArrow(_marker(shared, text, part == 0, schema.names), schema)
-    return out.drop("_hits")
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_hit", "items")
 
 
 def _collected(items: DataFrame) -> list[tuple[str | None, str | None]]:
@@ -129,7 +135,7 @@ def _marker(search, text: str, first: bool, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids = search.value
-        for batch, texts in pieces(batches, text):
+        for batch, texts in pieces(batches, text, PIECE):
             kept = batch.columns if first else batch.columns[:-4]
             before = [None] * batch.num_rows if first else list(zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist()))
             n_words, n_hit, found, hits = [], [], [], []
