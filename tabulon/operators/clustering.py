@@ -297,9 +297,26 @@ def micro_clusters(df: DataFrame, columns: Sequence[str], count: int = MICRO_CLU
     return placed, cut_lineage(micro)
 
 
-def ward_labels(df: DataFrame, columns: Sequence[str], k: int, micro: int = MICRO_CLUSTERS, out: str = WARD_COLUMN) -> DataFrame:
+def distinct_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(id, n, mean) of the distinct points, and their columns: what the exact tree starts from."""
+    points = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    # Numbers differ from run to run until they are written.
+    return cut_lineage(points.select(F.monotonically_increasing_id().alias("id"), "n", F.array(*[F.col(c).cast("double") for c in columns]).alias("mean"), *columns))
+
+
+def ward_labels(df: DataFrame, columns: Sequence[str], k: int, micro: int | None = MICRO_CLUSTERS, out: str = WARD_COLUMN) -> DataFrame:
     """Attach Ward labels. At every size k-Means first sums all rows up in at most `micro` clusters and the tree
-    starts from those; a row gets the label of its micro-cluster, so keys may repeat or be null."""
+    starts from those; a row gets the label of its micro-cluster, so keys may repeat or be null.
+
+    `micro=None` is the exact tree over all rows (equal rows are one point from the start): every round compares all
+    clusters that are left with each other, so its cost grows with the square of the distinct rows."""
+    if micro is None:
+        points = distinct_points(df, columns)
+        tree = cut_tree(points, ward_merges(points.select("id", "n", "mean")), k)
+        own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(columns)]
+        named = points.select("id", *own).join(tree, "id").drop("id").withColumnRenamed("cluster", "_ward")
+        same = [df[c].eqNullSafe(F.col(f"_own_{i}")) for i, c in enumerate(columns)]
+        return df.join(named, same, "left").select(*df.columns, F.col("_ward").alias(out))
     placed, start = micro_clusters(df, columns, max(micro, k))
     tree = cut_tree(start, ward_merges(start), k).select(F.col("id").cast("int").alias("_micro"), F.col("cluster").alias(out))
     # `micro` bounds the lookup, whatever the number of rows.
@@ -311,8 +328,9 @@ def kmeans_labels(df: DataFrame, columns: Sequence[str], model: KMeansModel, out
     return placed.withColumnRenamed("_cluster", out).drop("features")
 
 
-def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str, model: KMeansModel | None = None) -> DataFrame:
-    """One label column for `k-Means` or `Agglomerative`, both for `both`."""
+def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str, model: KMeansModel | None = None,
+                   micro: int | None = MICRO_CLUSTERS) -> DataFrame:
+    """One label column for `k-Means` or `Agglomerative`, both for `both`; `micro` as in `ward_labels`."""
     if algorithm not in ("k-Means", "Agglomerative", "both"):
         raise ValueError(f"unknown clustering algorithm {algorithm!r}")
     if algorithm != "Agglomerative":
@@ -321,5 +339,5 @@ def cluster_labels(df: DataFrame, columns: Sequence[str], k: int, algorithm: str
             model = kmeans_model(assemble(df, columns), k, spread=total["wcss"] / max(total["n"], 1) / len(columns))
         df = kmeans_labels(df, columns, model)
     if algorithm != "k-Means":
-        df = ward_labels(df, columns, k)
+        df = ward_labels(df, columns, k, micro)
     return df

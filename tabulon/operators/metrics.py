@@ -20,6 +20,20 @@ def r2(df: DataFrame, label: str = "label", prediction: str = "prediction", by:
     return df.groupBy(*by).agg((1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
+def adjusted_rand(df: DataFrame, first: str, second: str) -> DataFrame:
+    """One row (adjusted_rand): how far two labellings agree on which rows belong together, 1 for the same partition, about 0
+    for unrelated ones. Rows without one of the labels are left out; without any pair of rows the partitions are the same."""
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2.0
+    cells = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(F.col(first).alias("a"), F.col(second).alias("b")) \
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = lambda by: F.coalesce(cells.groupBy(by).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n"))).scalar(), F.lit(0.0))
+    found = cells.agg(F.sum("n").alias("n"), F.coalesce(F.sum(pairs("n")), F.lit(0.0)).alias("both")).select(
+        "both", F.coalesce(pairs("n"), F.lit(0.0)).alias("all"), sums("a").alias("in_a"), sums("b").alias("in_b"))
+    expected = F.coalesce(F.try_divide(F.col("in_a") * F.col("in_b"), F.col("all")), F.lit(0.0))
+    most = (F.col("in_a") + F.col("in_b")) / 2
+    return found.select(F.coalesce(F.try_divide(F.col("both") - expected, most - expected), F.lit(1.0)).alias("adjusted_rand"))
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n): the only pass over the rows; all rates come from this small table."""
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))

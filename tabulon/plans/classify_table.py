@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +17,9 @@ from tabulon.operators.splits import row_digest
 from tabulon.operators.text_features import TOP_FEATURES, text_feature_stages
 from tabulon.sources.models import SavedModel
 
-#: A text-valued column with more distinct values than this is no category; the report names it as unused.
+#: A text-valued column with more distinct values than this has its values hashed to WORD_SLOTS inputs instead of one each.
 MAX_WORD_VALUES = 50
+WORD_SLOTS = 256
 
 # The choice that means all models, and the report lines.
 FIND_BEST = "Find Best Model"
@@ -51,15 +52,17 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         raise ValueError("no clear target column found")
     ids = {r["column_name"] for r in id_columns(profile).collect()}
     found = text_dataset(profile, target).head()
-    few_valued = profile.where((F.col("kind") == "string") & (F.col("n_distinct") <= MAX_WORD_VALUES)).select("column_name")
+    word_columns = profile.where(F.col("kind") == "string").select("column_name", (F.col("n_distinct") <= MAX_WORD_VALUES).alias("few")).collect()
     texts = [c for c in found["text_columns"] if c not in ids and c != target] if found["is_text_data"] else []
     mode = mode or choose_mode(df, target)
     skipped = {target, key, *ignore}
     numbers = [c for c in numeric_columns(df) if c not in skipped]
-    # Words of few values become one input per value.
-    words = {r["column_name"] for r in few_valued.collect()} - {*skipped, *texts, *ids}
-    words = [f.name for f in df.schema if f.name in words and isinstance(f.dataType, T.StringType)]
-    unused = [c for c in df.columns if c not in {target, *numbers, *texts, *words}]
+    # Words of few values become one input per value, others share hashed inputs: no column leaves the model by its size.
+    usable = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in {*skipped, *texts, *ids}]
+    few = {r["column_name"]: r["few"] for r in word_columns}
+    words = [c for c in usable if few.get(c)]
+    wide = [c for c in usable if few.get(c) is False]
+    unused = [c for c in df.columns if c not in {target, *numbers, *texts, *words, *wide}]
 
     stages, outputs, vocabulary = [], [], {}
     if texts:
@@ -74,6 +77,9 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         stages += [StringIndexer(inputCols=words, outputCols=places, stringOrderType="alphabetAsc", handleInvalid="keep"),
                    OneHotEncoder(inputCols=places, outputCols=flags, dropLast=False)]
         outputs += flags
+    for i, column in enumerate(wide):
+        stages.append(FeatureHasher(inputCols=[column], outputCol=f"_hashed_{i}", numFeatures=WORD_SLOTS))
+        outputs.append(f"_hashed_{i}")
     if not numbers and not outputs:
         raise ValueError("no numeric or text feature is left")
     data = tuning.prepare(df, target, numbers, mode, key, stages, outputs)
@@ -95,12 +101,13 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
                 "order int, model string, protocol string, score double, seconds double")
     finally:
         data.frame.unpersist()
-    fields = [f for f in df.schema if f.name in [*numbers, *texts, *words]]
+    fields = [f for f in df.schema if f.name in [*numbers, *texts, *words, *wide]]
     saved = SavedModel(tuning.full_model(data, fitted), dataset, name, 1, target, mode, fields, data.labels, scores)
     lines = [
         ("model", "name", name), ("model", "target", target),
         ("data", "mode", MODE_LINES[mode]),
         ("data", "unused columns", ", ".join(unused)),
+        ("data", "hashed columns", ", ".join(wide)),
         ("data", "text columns", f"{TEXT_LINE}{texts}" if texts else NO_TEXT_LINE),
         *[("vocabulary", c, " ".join(terms)) for c, terms in vocabulary.items()],
         *[("score", k, v) for k, v in scores.items()],

@@ -31,7 +31,8 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means",
                   correlation_limit: float = CORRELATION_LIMIT, variance_limit: float = VARIANCE_LIMIT,
                   explained_variance: float = EXPLAINED_VARIANCE, max_components: int = MAX_COMPONENTS,
                   plane: bool = False, k_max: int = C.K_MAX, parallelism: int = 5,
-                  ignore: tuple[str, ...] = ()) -> ClusterRun:
+                  ignore: tuple[str, ...] = (), micro: int | None = C.MICRO_CLUSTERS) -> ClusterRun:
+    """`micro` bounds what Ward's tree starts from; None is the exact tree over all rows."""
     spark = df.sparkSession
     clean, features, genders = clean_features(df, "_f_")
     features = [c for c in features if c.removeprefix("_f_") not in ignore]
@@ -47,7 +48,7 @@ def cluster_table(df: DataFrame, algorithm: str = "k-Means",
             C.choice_reason(F.col("elbow_k"), F.col("silhouette_k")).alias("reason"),
         ).head()
         k = max(row["k"], 2)
-        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, found.models[k])
+        labelled = C.cluster_labels(reduced.frame, scores, k, algorithm, found.models[k], micro)
         labels = [c for c in (C.KMEANS_COLUMN, C.WARD_COLUMN) if c in labelled.columns]
         rows_of_report = [
             ("reduction", "columns", ", ".join(c.removeprefix("_f_") for c in reduced.columns)), ("reduction", "info", reduced.info),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.operators import clustering as C
+from tabulon.operators import metrics as M
 from tabulon.operators.report import combine, report_metrics
 from tabulon.plans.cluster_table import cluster_table
 from tabulon.session import cut_lineage, shared_path
@@ -177,6 +178,29 @@ def ward_labels(spark, d):
     return found.select("vec_id", F.coalesce(F.col(C.WARD_COLUMN).between(0, 9), F.lit(False)).alias("labelled"), clusters.alias("clusters"))
 
 
+@queries.add("ward_exact", "SELECT 10::BIGINT AS clusters, count(*) AS n, true AS as_tight_as_the_groups, true AS tree_sums_up FROM embeddings")
+def ward_exact(spark, d):
+    """Ward's tree over all vectors. Ten clusters are at most a twentieth wider than the ten groups that the vectors were made
+    of, which no other labels would be; all merges together cost the whole spread."""
+    flat = flat_embeddings(spark, d)
+    labelled = cut_lineage(C.ward_labels(flat, EMBEDDED, 10, micro=None))
+    inside = lambda by: labelled.groupBy(by).agg(sum(F.var_pop(c) * F.count(c) for c in EMBEDDED).alias("s")).agg(F.sum("s")).head()[0]
+    points = C.distinct_points(flat, EMBEDDED).select("id", "n", "mean")
+    cost, whole = C.ward_merges(points).agg(F.sum("cost")).head()[0], C.total_spread(flat, EMBEDDED).head()["wcss"]
+    return labelled.agg(F.countDistinct(C.WARD_COLUMN).alias("clusters"), F.count(F.lit(1)).alias("n")).select(
+        "clusters", "n", F.lit(inside(C.WARD_COLUMN) <= 1.05 * inside("label")).alias("as_tight_as_the_groups"), F.lit(abs(cost - whole) <= 1e-6 * whole).alias("tree_sums_up"))
+
+
+@queries.add("ward_agreement", "SELECT count(*) AS n, true AS nine_tenths FROM embeddings")
+def ward_agreement(spark, d):
+    """The adjusted Rand index between the tree from a tenth as many micro-clusters as there are vectors, and the exact one."""
+    flat = flat_embeddings(spark, d)
+    rows = flat.count()
+    both = C.ward_labels(C.ward_labels(flat, EMBEDDED, 10, micro=None, out="exact"), EMBEDDED, 10, micro=max(20, rows // 10), out="summed")
+    index = M.adjusted_rand(cut_lineage(both.select("exact", "summed")), "exact", "summed")
+    return index.select(F.lit(rows).cast("long").alias("n"), (F.col("adjusted_rand") >= 0.9).alias("nine_tenths"))
+
+
 @queries.add("ward_tree", f"""
     SELECT count(*) AS n, 1::BIGINT AS roots, {sql_r('var_pop(price) * count(*) + var_pop(day) * count(*)', 1)} AS spread
     FROM {ORDER_POINTS}

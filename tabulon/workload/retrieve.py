@@ -114,6 +114,64 @@ def vector_index(spark, d):
     return read_index(spark, path, "customer").select("dataset_id", "doc_id", F.size("embedding").alias("width"))
 
 
+@queries.add("index_snapshots", """
+    SELECT 'before' AS seen, c_custkey::VARCHAR AS doc_id, 1024 AS width FROM customer
+    UNION ALL SELECT 'after', s_suppkey::VARCHAR, 1024 FROM supplier
+    UNION ALL SELECT 'beside', s_suppkey::VARCHAR, 1024 FROM supplier
+""")
+def index_snapshots(spark, d):
+    """A dataset is written anew while a reader holds it: the reader keeps what it saw, the next one sees the new rows."""
+    path = shared_path(spark, "index")
+    docs = {name: R.row_documents(table(spark, d, name), key) for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"))}
+    vectors = {name: R.encode_text(R.text_encoder(rows), rows) for name, rows in docs.items()}
+    write_index(vectors["customer"], path, "people")
+    write_index(vectors["supplier"], path, "others")
+    before = read_index(spark, path, "people")
+    write_index(vectors["supplier"], path, "people")
+    parts = {"before": before, "after": read_index(spark, path, "people"), "beside": read_index(spark, path, "others")}
+    shown = [found.select(F.lit(name).alias("seen"), "doc_id", F.size("embedding").alias("width")) for name, found in parts.items()]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
+@queries.add("encoded_batches", """
+    SELECT doc_id, length(text)::FLOAT AS characters, length(regexp_replace(text, '[^ ]', '', 'g'))::FLOAT AS blanks, (length(text) - length(replace(text, 'e', '')))::FLOAT AS es
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+""")
+def encoded_batches(spark, d):
+    """Any encoder of batches of texts; this one counts."""
+    import numpy as np
+
+    def encoder(texts):
+        return np.array([[len(t), t.count(" "), t.count("e")] for t in texts])
+
+    found = R.encode_with(table(spark, d, "documents").select("doc_id", "text"), encoder)
+    return found.select("doc_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(("characters", "blanks", "es"))])
+
+
+def prompt_sql(context: str, question: str) -> str:
+    before, rest = R.PROMPT.replace("'", "''").split("{context}")
+    between, after = rest.split("{question}")
+    return f"'{before}' || {context} || '{between}' || {question} || '{after}'"
+
+
+TURNS = "(SELECT conv_id, turn, text, (conv_id * 31 + turn) % 700 AS vec FROM (SELECT conv_id, turn, coalesce(text, '') AS text, role FROM conversations) WHERE role = 'user')"
+
+
+@queries.add("prompt_every_turn", f"""
+    SELECT conv_id, turn, md5({prompt_sql("coalesce(context, '')", "text")}) AS digest, context IS NOT NULL AS has_context
+    FROM {TURNS} t LEFT JOIN {CONTEXT} c ON c.query_id = t.vec
+""")
+def prompt_every_turn(spark, d):
+    """A prompt for every user turn. Turns take the hits of a vector by number; some numbers have none, and their prompts no context."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select(
+        F.concat("conv_id", F.lit(":"), "turn").alias("query_id"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"),
+        ((F.col("conv_id") * 31 + F.col("turn")) % 700).alias("vec"))
+    found = asked.select("query_id", "vec").join(_contexts(spark, d).withColumnRenamed("query_id", "vec"), "vec").select("query_id", "context")
+    written = R.prompts(asked, found)
+    return asked.join(written, "query_id").join(found.select("query_id", F.lit(True).alias("_has")), "query_id", "left").select(
+        "conv_id", "turn", F.md5("prompt").alias("digest"), F.coalesce("_has", F.lit(False)).alias("has_context"))
+
+
 @queries.add("prompt_corpus", """
     SELECT 0 AS copy, event_id AS row_key, 'user_id: ' || user_id || chr(10) || 'event_type: ' || event_type AS text FROM events
 """)

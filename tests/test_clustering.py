@@ -117,3 +117,37 @@ def test_cluster_table(spark, blobs):
 def test_unknown_algorithm(spark, blobs):
     with pytest.raises(ValueError):
         C.cluster_labels(_frame(spark, blobs), ["x"], 2, "other")
+
+
+def test_exact_ward_and_agreement(spark):
+    import numpy as np
+    from tabulon.operators import metrics as M
+    draw = np.random.default_rng(4)
+    middle = draw.normal(size=(6, 3)) * 4
+    x = np.round(middle[np.arange(500) % 6] + draw.normal(size=(500, 3)), 4)
+    x[400:450] = x[0]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double")
+    both = C.ward_labels(C.ward_labels(df, ["a", "b", "c"], 6, micro=None, out="exact"), ["a", "b", "c"], 6, micro=60, out="summed").collect()
+    assert len(both) == 500
+    # The exact tree by the textbook: the cheapest merge of all, again and again.
+    points, n = np.unique(x, axis=0, return_counts=True)
+    own = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    means, size, group = points.copy(), n.astype(float), [[i] for i in range(len(points))]
+    while len(group) > 6:
+        cost = size[:, None] * size / (size[:, None] + size) * ((means[:, None] - means[None]) ** 2).sum(axis=2)
+        cost[np.tril_indices(len(group))] = np.inf
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        means[i] = (means[i] * size[i] + means[j] * size[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        group[i] += group[j]
+        means, size = np.delete(means, j, axis=0), np.delete(size, j)
+        del group[j]
+    want = {p: g for g, members in enumerate(group) for p in members}
+    pairs = {(want[int(own[r.id])], r.exact) for r in both}
+    assert len(pairs) == 6
+    frame = spark.createDataFrame([(want[int(own[r.id])], r.exact, r.summed) for r in both], "want int, exact int, summed int")
+    assert M.adjusted_rand(frame, "want", "exact").head()[0] == 1.0
+    assert M.adjusted_rand(frame, "exact", "summed").head()[0] >= 0.9
+    mixed = frame.withColumn("none", (F.monotonically_increasing_id() * 7919 % 6).cast("int"))
+    assert abs(M.adjusted_rand(mixed, "exact", "none").head()[0]) < 0.1
+    assert M.adjusted_rand(frame.limit(1), "exact", "summed").head()[0] == 1.0

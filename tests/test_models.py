@@ -277,3 +277,26 @@ def test_too_many_classes(spark, monkeypatch):
     monkeypatch.setattr(tuning, "MAX_CLASSES", 10)
     with pytest.raises(ValueError, match="more than 10 classes"):
         tuning.sorted_labels(spark.range(11).select(F.col("id").cast("string").alias("y")), "y")
+
+
+@pytest.mark.parametrize("values", [45, 60])
+def test_word_columns_stay_in_the_model_when_the_table_grows(spark, values):
+    rows = [(f"w{i * 7919 % values}", float(i * 31 % 17), "yes" if (i * 7919 % values) % 2 else "no") for i in range(900)]
+    df = spark.createDataFrame(rows, "word string, x double, answer string")
+    run = classify_table(df, "Logistic Regression", "answer")
+    report = {(r["section"], r["key"]): r["value"] for r in run.report.collect()}
+    assert "word" in [f.name for f in run.model.fields] and report["data", "unused columns"] == ""
+    assert report["data", "hashed columns"] == ("word" if values > 50 else "")
+    # The word decides the answer, so a model without it could not know.
+    assert run.model.scores["accuracy"] > 0.95
+    assert run.model.pipeline.transform(df).where("predicted_label = answer").count() > 0.95 * 900
+
+
+def test_every_row_of_questions_is_answered_once(spark):
+    from tabulon.plans.answer_questions import answer_questions
+    docs = spark.createDataFrame([(i, f"text {i}", [float(i), 0.0]) for i in range(6)], "doc_id long, text string, embedding array<double>")
+    asked = [("q", "clustering", "why", [1.0, 0.0])] * 3 + [("q", "clustering", "other", [4.0, 0.0]), (None, "clustering", "null id", [2.0, 0.0]), ("v", "clustering", "no vector", None)]
+    questions = spark.createDataFrame(asked, "query_id string, task string, question string, embedding array<double>")
+    got = answer_questions(questions, docs, k=2).collect()
+    assert sorted(r.query_id or "" for r in got) == ["", "q", "q", "q", "q", "v"]
+    assert sum("text 1\ntext" in r.prompt for r in got) == 3 and all(r.prompt for r in got)

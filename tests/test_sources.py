@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon import session
 from tabulon.operators import report
-from tabulon.sources.index import read_index, write_index
+from tabulon.sources.index import current_snapshots, drop_old_snapshots, read_index, write_index
 from tabulon.sources.logs import parse_log
 from tabulon.sources.tables import format_of, load_table, read_json, write_table
 
@@ -74,3 +74,20 @@ def test_csv_keeps_every_cell(spark, tmp_path):
     write_table(df, path)
     got = load_table(spark, path, schema=df.schema)
     assert sorted(got.collect()) == sorted(df.collect())
+
+
+def test_readers_of_an_index_see_one_snapshot(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = lambda texts: spark.createDataFrame([(t, "row", t, [1.0]) for t in texts], "doc_id string, kind string, text string, embedding array<float>")
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+    first = write_index(docs("abc"), path, "a")
+    held = read_index(spark, path, "a")
+    second = write_index(docs("xy"), path, "a")
+    write_index(docs("q"), path, "b")
+    assert texts(held) == ["a", "b", "c"] and texts(read_index(spark, path, "a")) == ["x", "y"]
+    assert texts(read_index(spark, path)) == ["q", "x", "y"] and read_index(spark, path, "none").count() == 0
+    # A write that did not end is not in the list, so no reader sees it.
+    docs("z").withColumns({"dataset_id": F.lit("a"), "snapshot": F.lit("half")}).write.mode("append").partitionBy("dataset_id", "snapshot").parquet(f"{path}/vectors")
+    assert texts(read_index(spark, path, "a")) == ["x", "y"]
+    assert drop_old_snapshots(spark, path) == [] and drop_old_snapshots(spark, path, 0) == [first]
+    assert texts(read_index(spark, path, "a")) == ["x", "y"] and current_snapshots(spark, path)["a"] == second
