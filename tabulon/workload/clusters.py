@@ -191,14 +191,32 @@ def ward_exact(spark, d):
         "clusters", "n", F.lit(inside(C.WARD_COLUMN) <= 1.05 * inside("label")).alias("as_tight_as_the_groups"), F.lit(abs(cost - whole) <= 1e-6 * whole).alias("tree_sums_up"))
 
 
-@queries.add("ward_agreement", "SELECT count(*) AS n, true AS nine_tenths FROM embeddings")
+LINE_COLUMNS = ["place", "row"]
+
+
+def _line_points(spark, d):
+    """Line items in the plane: seven groups, by their number, of which discount and tax make small grids."""
+    number = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        "l_linenumber", (number * 5 + F.col("l_discount") * 10).alias("place"), (number % 3 * 5 + F.col("l_tax") * 10).alias("row"))
+
+
+@queries.add("ward_groups", "SELECT l_linenumber, count(*) AS n, 1::BIGINT AS clusters, 1::BIGINT AS numbers FROM lineitem GROUP BY l_linenumber")
+def ward_groups(spark, d):
+    """The exact tree over all line items, cut at seven, has the seven groups: each has one label, which no other group has."""
+    found = cut_lineage(C.ward_labels(_line_points(spark, d), LINE_COLUMNS, 7, micro=None).select("l_linenumber", C.WARD_COLUMN))
+    shared = found.groupBy(C.WARD_COLUMN).agg(F.countDistinct("l_linenumber").alias("numbers"))
+    return found.join(shared, C.WARD_COLUMN).groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(C.WARD_COLUMN).alias("clusters"), F.max("numbers").alias("numbers"))
+
+
+@queries.add("ward_agreement", "SELECT count(*) AS n, true AS nine_tenths FROM lineitem")
 def ward_agreement(spark, d):
-    """The adjusted Rand index between the tree from a tenth as many micro-clusters as there are vectors, and the exact one."""
-    flat = flat_embeddings(spark, d)
-    rows = flat.count()
-    both = C.ward_labels(C.ward_labels(flat, EMBEDDED, 10, micro=None, out="exact"), EMBEDDED, 10, micro=max(20, rows // 10), out="summed")
-    index = M.adjusted_rand(cut_lineage(both.select("exact", "summed")), "exact", "summed")
-    return index.select(F.lit(rows).cast("long").alias("n"), (F.col("adjusted_rand") >= 0.9).alias("nine_tenths"))
+    """The adjusted Rand index between the tree of 100 micro-clusters and the exact one over all line items."""
+    exact = C.ward_labels(_line_points(spark, d), LINE_COLUMNS, 7, micro=None, out="exact")
+    both = cut_lineage(C.ward_labels(exact, LINE_COLUMNS, 7, micro=100, out="summed").select("exact", "summed"))
+    index = M.adjusted_rand(both, "exact", "summed")
+    return index.select(F.lit(both.count()).cast("long").alias("n"), (F.col("adjusted_rand") >= 0.9).alias("nine_tenths"))
 
 
 @queries.add("ward_tree", f"""

@@ -50,9 +50,9 @@ def bootstrap_rows(spark, d):
 
 @queries.add("adjusted_rand", f"""
     WITH c AS (SELECT o_orderstatus AS a, o_totalprice > 100000 AS b, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
-    s AS (SELECT sum(n * (n - 1) / 2) AS both, sum(n) * (sum(n) - 1) / 2 AS total,
+    s AS (SELECT sum(n * (n - 1) / 2) AS in_both, sum(n) * (sum(n) - 1) / 2 AS total,
         (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS in_a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS in_b FROM c)
-    SELECT {sql_r('(both - in_a * in_b / total) / ((in_a + in_b) / 2 - in_a * in_b / total)')} AS adjusted_rand FROM s
+    SELECT {sql_r('(in_both - in_a * in_b / total) / ((in_a + in_b) / 2 - in_a * in_b / total)')} AS adjusted_rand FROM s
 """)
 def adjusted_rand(spark, d):
     orders = table(spark, d, "orders").select("o_orderstatus", (F.col("o_totalprice") > 100000).alias("dear"))

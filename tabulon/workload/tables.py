@@ -26,6 +26,19 @@ def csv_round_trip(spark, d):
                         F.col("c_acctbal").cast("double"), "c_mktsegment")
 
 
+@queries.add("csv_of_many_blocks", """
+    SELECT doc_id, source, md5(text) AS digest, length(text) AS n FROM (
+        SELECT doc_id, source, text || chr(10) || '"quoted", ' || chr(13) || chr(10) || lang || chr(10) AS text FROM documents)
+""")
+def csv_of_many_blocks(spark, d):
+    """Texts with line breaks, quotes and commas, written as one file and read in blocks that end anywhere in them."""
+    text = F.concat("text", F.lit('\n"quoted", \r\n'), "lang", F.lit("\n"))
+    path = shared_path(spark, "texts") + ".csv"
+    write_table(table(spark, d, "documents").select("doc_id", "source", text.alias("text")), path)
+    found = read_csv(spark, path, block_bytes=1 << 18)
+    return found.select(F.col("doc_id").cast("long"), "source", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
 @queries.add("json_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def json_round_trip(spark, d):
     supplier = table(spark, d, "supplier")
