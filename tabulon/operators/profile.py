@@ -28,6 +28,10 @@ LONG_TEXT = 100
 TEXT_WORDS = 2
 TEXT_COLUMN_SHARE = 0.6
 MAX_CLASSES = 20
+#: Relative error of a sketch, how many of them are taken as safe, and up to how many values a column is counted anyway.
+SKETCH_ERROR = 0.01
+SAFE_ERRORS = 6
+COUNTED_VALUES = 60
 
 
 def column_kind(field: T.StructField) -> str:
@@ -45,16 +49,21 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
+def _counted_value(field: T.StructField) -> Column:
+    """The value as it counts: NaN is missing, and zero has one sign."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), value + F.lit(0.0).cast(field.dataType))
+    return value
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
     """(column_name, value, n) for all columns at once; missing values and NaN are left out, and zero has one sign.
 
     With `digests`, a SHA-256 digest stands for a long text, so that counting never shuffles whole documents.
     """
     def shown(c: str) -> Column:
-        value = F.col(c)
-        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            value = F.when(~F.isnan(c), value + F.lit(0.0).cast(df.schema[c].dataType))
-        text = value.cast("string")
+        text = _counted_value(df.schema[c]).cast("string")
         if digests and column_kind(df.schema[c]) == "string":
             text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
         return text.alias(c)
@@ -85,19 +94,60 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column with everything the role rules need."""
-    kinds = {f.name: column_kind(f) for f in df.schema}
-    stats = _one_row_each(df, {
-        c: [
-            F.lit(pos).alias("position"),
-            F.lit(kinds[c]).alias("kind"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count(c).alias("n_present"),
-            *_text_statistics(c, kinds[c]),
-        ]
-        for pos, c in enumerate(df.columns)
-    })
+    stats = _one_row_each(df, {f.name: _column_statistics(pos, f) for pos, f in enumerate(df.schema)})
     counts = distinct_counts(df, df.columns, approximate)
-    joined = stats.join(counts, "column_name", "left").na.fill({"n_distinct": 0})
+    return _with_roles(stats.join(counts, "column_name", "left").na.fill({"n_distinct": 0}))
+
+
+def _column_statistics(position: int, field: T.StructField) -> list[Column]:
+    kind = column_kind(field)
+    return [F.lit(position).alias("position"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
+            F.count(field.name).alias("n_present"), *_text_statistics(field.name, kind)]
+
+
+def role_profile(df: DataFrame) -> DataFrame:
+    """The columns of `column_profile`, and `counted`, with the same roles, without a shuffle of all values.
+
+    One pass sketches every column: a HyperLogLog of its values, and the values at the quartiles of their hashes. A value in
+    more than half of the rows covers more than half of the hash order, so one of the three quartiles lies well inside it; a
+    second pass counts those values, which decides the rule on the most frequent value. Only columns whose estimate is so near
+    to the border of a rule that the sketch could mislead, or which have few values, are counted exactly (`counted`); of the
+    others, `n_distinct` is the estimate, and `top_count` the largest count among the three values."""
+    if not df.columns:
+        return column_profile(df)
+    # Quantiles are taken of doubles, which hold 52 bits of a hash exactly.
+    hashed = {f.name: F.shiftrightunsigned(F.xxhash64(_counted_value(f).cast("string")), 12) for f in df.schema}
+    value = {f.name: _counted_value(f) for f in df.schema}
+    here = lambda c: F.when(value[c].isNotNull(), hashed[c])
+    sketched = _one_row_each(df, {
+        f.name: [*_column_statistics(pos, f), F.approx_count_distinct(here(f.name), SKETCH_ERROR).alias("n_distinct"),
+                 F.percentile_approx(here(f.name), [0.25, 0.5, 0.75], 1000).alias("likely")]
+        for pos, f in enumerate(df.schema)}).collect()
+    # One row a column from here on.
+    likely = {r.column_name: list(dict.fromkeys(r.likely or [])) for r in sketched}
+    tops = _one_row_each(df, {c: [F.array(*[F.count_if(here(c) == F.lit(h)) for h in likely[c]] or [F.lit(0).cast("long")]).alias("counts")] for c in df.columns})
+    top = {r.column_name: max(r.counts) for r in tops.collect()}
+
+    def near(r) -> bool:
+        margin = SAFE_ERRORS * SKETCH_ERROR
+        borders = (r.n_rows * ID_SHARE, r.n_rows * LOW_CARDINALITY_SHARE)
+        return r.n_distinct <= COUNTED_VALUES or any(b * (1 - margin) <= r.n_distinct <= b * (1 + margin) + 1 for b in borders)
+
+    border = [r.column_name for r in sketched if near(r)]
+    exact = {r.column_name: (r.n_distinct, r.top_count) for r in distinct_counts(df, border).collect()} if border else {}
+    spark = df.sparkSession
+    shape = "column_name string, n_distinct long, top_count long, counted boolean"
+    counts = spark.createDataFrame([
+        (r.column_name, *exact.get(r.column_name, (0, None)), True) if r.column_name in border
+        else (r.column_name, r.n_distinct, top[r.column_name], False) for r in sketched], shape)
+    kept = [c for c in sketched[0].__fields__ if c not in ("n_distinct", "likely")]
+    kinds = ("column_name string, position int, kind string, n_rows long, n_present long, mean_length double, has_address_mark boolean, "
+             "has_sentiment boolean, mean_words double")
+    stats = spark.createDataFrame([tuple(r[c] for c in kept) for r in sketched], kinds)
+    return _with_roles(stats.join(F.broadcast(counts), "column_name"))
+
+
+def _with_roles(joined: DataFrame) -> DataFrame:
     enough = F.col("n_distinct") > F.col("n_rows") * ID_SHARE
     return joined.withColumns({
         "top_share": F.col("top_count") / F.col("n_present"),

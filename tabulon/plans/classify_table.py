@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.operators import tuning
-from tabulon.operators.profile import choose_mode, column_profile, detect_target, id_columns, text_dataset
+from tabulon.operators.profile import choose_mode, detect_target, id_columns, role_profile, text_dataset
 from tabulon.operators.report import report_rows
 from tabulon.operators.rows import drop_any_null_rows, nan_to_null, numeric_columns
 from tabulon.operators.splits import row_digest
@@ -46,7 +46,7 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
                    forest_depth: int = 25, parallelism: int = 4, ignore: tuple[str, ...] = ()) -> ClassificationRun:
     spark = df.sparkSession
     df = drop_any_null_rows(nan_to_null(df), drop_any_null)
-    profile = column_profile(df).persist()
+    profile = role_profile(df).persist()
     target = target or detect_target(profile)
     if target is None:
         raise ValueError("no clear target column found")

@@ -9,6 +9,36 @@ from tabulon.workload.common import Registry, r, sql_r, table
 
 queries = Registry()
 
+
+def _roles_sql(source: str, columns: dict[str, str]) -> str:
+    """Roles of the columns by exact counts; the columns' kinds are given."""
+    parts = []
+    for c, kind in columns.items():
+        long = f"avg(length({c})) <= 100 AND NOT bool_or(regexp_matches({c}, 'http|www|#|@'))" if kind == "string" else "true"
+        parts.append(f"""SELECT '{source}' AS source, '{c}' AS column_name, count(DISTINCT {c}) > 0.8 * count(*) AND {long} AS is_id,
+            count(DISTINCT {c}) < 0.05 * count(*) AS is_low_cardinality, (SELECT max(n) FROM (SELECT count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY {c})) > 0.5 * count({c}) AS has_majority
+            FROM {source}""")
+    return " UNION ALL ".join(parts)
+
+
+ROLE_TABLES = {
+    "customer": {"c_custkey": "number", "c_name": "string", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "string"},
+    "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "string", "o_totalprice": "number", "o_orderpriority": "string"},
+    "events": {"event_id": "number", "user_id": "number", "event_type": "string", "value": "number", "props": "string"},
+    "documents": {"doc_id": "number", "text": "string", "lang": "string", "source": "string", "n_chars": "number"},
+}
+
+
+@queries.add("roles_by_sketch", " UNION ALL ".join(_roles_sql(t, c) for t, c in ROLE_TABLES.items()))
+def roles_by_sketch(spark, d):
+    """Roles from sketches, with exact counts only where a rule's border is near."""
+    out = None
+    for name, columns in ROLE_TABLES.items():
+        found = P.role_profile(table(spark, d, name).select(*columns)).select(
+            F.lit(name).alias("source"), "column_name", "is_id", "is_low_cardinality", (F.col("top_share") > P.TOP_SHARE).alias("has_majority"))
+        out = found if out is None else out.union(found)
+    return out
+
 MARKS = "http|www|#|@"
 
 
