@@ -1,12 +1,16 @@
-"""Secrets in texts: fixed patterns, and strings that a battery of randomness tests cannot tell from random ones.
-
-A candidate is a long run of key characters that mixes digits with letters. Its encoding is inferred from its alphabet,
-and three tests ask whether it is uniform random in that alphabet: chi-squared over equal parts of the alphabet, runs
-above and below the middle, and the serial correlation of neighbours; Fisher's rule joins the three p-values. A fourth
-test weighs the string as an identifier (words, case and digits follow each other as in names, slugs and paths) against
-the string as a random one. Its bound, per length band, lets at most the wanted share of decoys pass: identifiers, slugs
-and paths with digits, made from words that the test was not fitted on. Nothing of the rule depends on the table, so a
-string has the same answer in every table.
+"""Secrets in texts: fixed patterns, and strings that a battery of randomness tests finds to be random ones.
+
+A candidate is a long run of key characters. Its encoding is inferred from its alphabet, and the battery asks whether it
+is uniform random in that alphabet: chi-squared over character classes, over frequent and rare letters and over equal parts
+of the alphabet; runs of classes, of vowels and consonants and of the alphabet's two halves; the number of vowels; and the
+serial correlation of neighbours. Each test gives a p-value.
+
+What a p-value is worth depends on the length: short strings pass most tests by chance. So every length band, apart for
+strings with digits and without, has reference distributions of each test's p-values among random strings and among decoys
+(identifiers, slugs and paths). The log of their ratio, summed over the battery, ranks a candidate. A band accepts from the
+highest bound on that keeps nearly all random strings, but never from one at which, with random strings as rare as PRIOR
+says, more than the wanted share of what it accepts would be decoys. Bounds rise with the length of a band. Nothing of the
+rule depends on the table, so a string has the same answer in every table.
 """
 
 from __future__ import annotations
@@ -14,8 +18,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,11 +54,20 @@ ENCODINGS = {
 }
 #: Least length of each band; a candidate is compared with decoys of its band.
 BANDS = (16, 24, 32, 48, 96)
-#: The battery rejects a string as not random below this p-value.
+#: Strings that the plain tests reject at this p-value are not random, whatever else they look like.
 LEVEL = 0.0001
-#: Decoys of each band.
-DECOYS = 2000
-# Words of names, slugs and paths: every second one fits the spelling test, the others make decoys.
+#: Strings of each kind in a reference distribution, and as many again for the bounds.
+REFERENCE = 1000
+#: The share of random strings that a bound keeps, and how many random strings there are for each decoy.
+KEPT = 0.99
+PRIOR = 0.05
+#: Borders between the bins of p-values.
+BINS = (1e-8, 1e-6, 1e-5, 1e-4, 1e-3, 3e-3, 0.01, 0.03, 0.1, 0.3, 0.6)
+# Letters by how often European languages use them, the rest being rare; and the vowels.
+FREQUENT = "etaoinsr"
+MIDDLE = "lhdcumfpg"
+VOWELS = "aeiou"
+# Words of names, slugs and paths, of which decoys are made: every second one for the reference, the others for tests.
 WORDS = """
     account action active address admin album amount answer archive array article asset author average backup balance
     banner batch benutzer bericht binary block board body book branch bridge browser buffer build button cache calendar
@@ -90,13 +105,16 @@ _candidate = re.compile(rf"[A-Za-z0-9+/_-]{{{BANDS[0]},}}").finditer
 _digit = re.compile("[0-9]").search
 _letter = re.compile("[A-Za-z]").search
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
-_sets = {name: (frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS.items()}
+#: Strings without digits are letters alone, or with the signs of paths.
+LETTERS = {"lower": LOWER, "upper": UPPER, "letters": UPPER + LOWER}
+_sets = {name: (frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in {**LETTERS, **ENCODINGS}.items()}
 
 
 def infer_encoding(s: str) -> str:
-    """The narrowest encoding whose alphabet holds every character."""
+    """The narrowest encoding whose alphabet holds every character; one of letters only if there is no digit."""
     used = set(s)
-    return next(name for name, (alphabet, _) in _sets.items() if used <= alphabet)
+    plain = () if _digit(s) else LETTERS
+    return next(name for name in (*plain, *ENCODINGS) if used <= _sets[name][0])
 
 
 def _normal_tail(z: float) -> float:
@@ -160,15 +178,15 @@ def _kind(c: str) -> str:
     return "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "s"
 
 
-def decoy(rng: random.Random, words: list[str], length: int) -> str:
-    """An identifier, slug or path of that many characters at least, that mixes digits and letters."""
+def decoy(rng: random.Random, words: list[str], length: int, with_digits: bool = True) -> str:
+    """An identifier, slug or path of that many characters at least, that mixes digits and letters, or is of letters."""
     joint = rng.choice(["_", "-", "/", "", "", "_-", "/_", "/-"])
     case = rng.choice([str.lower, str.lower, str.upper, str.title, str.title])
-    out, n, digits = "", 0, False
+    out, n, digits = "", 0, not with_digits
     while len(out) < length or not digits:
         last = rng.choice(joint) if joint else ""
         digits = digits or len(out) >= length
-        if out and (digits and not any(c in DIGITS for c in out) or rng.random() < 0.2):
+        if with_digits and out and (digits and not any(c in DIGITS for c in out) or rng.random() < 0.2):
             kind, digits = rng.randrange(4), True
             part = (str(rng.randrange(1, 100)), str(rng.randrange(1950, 2050)), "v" + str(rng.randrange(1, 20)),
                     f"{rng.randrange(1990, 2040)}{rng.randrange(1, 13):02}{rng.randrange(1, 32):02}")[kind]
@@ -179,53 +197,121 @@ def decoy(rng: random.Random, words: list[str], length: int) -> str:
     return out
 
 
-@lru_cache(1)
-def _spelling() -> tuple[dict[tuple[str, str], float], dict[tuple[str, str], float]]:
-    """Bits of the step from one kind of character to the next, and of a letter after a letter ("" at a word's beginning)."""
-    words, rng = WORDS[::2], random.Random(1)
-    steps = Counter(p for _ in range(4000) for s in [decoy(rng, words, 24)] for p in zip(map(_kind, s), map(_kind, s[1:])))
-    pairs = Counter(p for w in words for p in zip(["", *w], w))
-    kinds, before = "luds", ["", *LOWER]
-    kind = {(a, b): -math.log2((steps[a, b] + 1) / (sum(steps[a, x] for x in kinds) + 4)) for a in kinds for b in kinds}
-    letter = {(a, b): -math.log2((pairs[a, b] + 0.3) / (sum(pairs[a, x] for x in LOWER) + 0.3 * 26)) for a in before for b in LOWER}
-    return kind, letter
-
-
-def random_bits(s: str) -> float:
-    """How many bits shorter the string is as a random one of its encoding than as an identifier."""
-    kind, letter = _spelling()
-    bits, kinds = 2.0, [_kind(c) for c in s]
-    for i, (c, k) in enumerate(zip(s, kinds)):
-        before = kinds[i - 1] if i else "s"
-        if i:
-            bits += kind[before, k]
-        if k in "lu":
-            # A capital after a small letter begins a word.
-            inside = before in "lu" and not (before == "l" and k == "u")
-            bits += letter[s[i - 1].lower() if inside else "", c.lower()]
-        else:
-            bits += math.log2(10) if k == "d" else 2
-    return bits - len(s) * math.log2(len(ENCODINGS[infer_encoding(s)]))
+def _share(alphabet: str, of) -> dict:
+    return {k: n / len(alphabet) for k, n in Counter(map(of, alphabet)).items()}
+
+
+def _rarity(c: str) -> int:
+    c = c.lower()
+    return 0 if c in FREQUENT else 1 if c in MIDDLE else 2
+
+
+def _is_vowel(c: str) -> bool:
+    return c.lower() in VOWELS
+
+
+_letters_of = {name: "".join(c for c in alphabet if c.isalpha()) for name, (alphabet, _) in _sets.items()}
+_classes = {name: _share("".join(sorted(alphabet)), _kind) for name, (alphabet, _) in _sets.items()}
+_rarities = {name: _share(letters, _rarity) for name, letters in _letters_of.items()}
+_vowels = {name: _share(letters, _is_vowel).get(True, 0.0) for name, letters in _letters_of.items()}
+
+
+def groups_p(seen: Counter, share: dict) -> float:
+    """Chi-squared over groups of the alphabet."""
+    n = sum(seen.values())
+    if n < 4 or len(share) < 2:
+        return 1.0
+    x = sum((seen.get(k, 0) - n * p) ** 2 / (n * p) for k, p in share.items())
+    return _chi2_tail(x, len(share) - 1) if x > 0 else 1.0
+
+
+def few_p(k: int, n: int, p: float) -> float:
+    """How likely k or fewer of n are, each with chance p, by the normal approximation."""
+    return _normal_tail((n * p - k) / math.sqrt(n * p * (1 - p))) if n and 0 < p < 1 else 0.5
+
+
+def battery(s: str) -> list[float]:
+    """The p-values of all tests. Small ones tell against randomness; runs of classes tell by being few, vowels and their
+    changes by being many, digits after digits likewise."""
+    name = infer_encoding(s)
+    index, classes, vowel = _sets[name][1], _classes[name], _vowels[name]
+    n, kinds, values = len(s), [_kind(c) for c in s], [index[c] for c in s]
+    letters = [c for c in s if c.isalpha()]
+    change = 1 - sum(p * p for p in classes.values())
+    neighbours = [(_is_vowel(a), _is_vowel(b)) for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha()]
+    after_digit = [b == "d" for a, b in zip(kinds, kinds[1:]) if a == "d"]
+    m, vowels = len(neighbours), sum(map(_is_vowel, letters))
+    return [
+        groups_p(Counter(kinds), classes), groups_p(Counter(map(_rarity, letters)), _rarities[name]),
+        uniformity_p(values, len(index)), runs_p(values, len(index)), serial_p(values),
+        few_p(sum(a != b for a, b in zip(kinds, kinds[1:])), n - 1, change),
+        few_p(m - sum(a != b for a, b in neighbours), m, 1 - 2 * vowel * (1 - vowel)),
+        few_p(len(letters) - vowels, len(letters), 1 - vowel),
+        few_p(len(after_digit) - sum(after_digit), len(after_digit), 1 - classes.get("d", 0.0))]
+
+
+def _bin(p: float) -> int:
+    return bisect_left(BINS, p)
 
 
 def band_of(s: str) -> int:
     return sum(len(s) >= b for b in BANDS) - 1
 
 
-@lru_cache(16)
-def least_bits(rate: float) -> tuple[float, ...]:
-    """For each band, the random_bits that a secret needs: at most `rate` of the decoys that pass the battery and all
-    others have more, and a secret is never likelier as an identifier."""
-    rng, words, out = random.Random(2), WORDS[1::2], []
-    for n in BANDS:
-        decoys = [decoy(rng, words, n) for _ in range(DECOYS)]
-        bits = sorted((random_bits(s) if randomness_p(s) >= LEVEL else -math.inf for s in decoys), reverse=True)
-        out.append(max(0.0, bits[min(int(DECOYS * rate), DECOYS - 1)]))
-    return tuple(out)
+def _weigh(weights: list[list[float]], s: str) -> float:
+    return sum(w[_bin(p)] for w, p in zip(weights, battery(s)))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """For strings with digits and without, and each band: the weight of each test's bins, and the bound of their sum."""
+
+    weights: dict[tuple[bool, int], list[list[float]]]
+    bounds: dict[tuple[bool, int], float]
 
+    def score(self, s: str) -> float:
+        """The log of how much likelier the battery's p-values are for a random string than for a decoy."""
+        return _weigh(self.weights[_digit(s) is not None, band_of(s)], s)
 
-def is_random(s: str, least: tuple[float, ...]) -> bool:
-    return random_bits(s) > least[band_of(s)] and randomness_p(s) >= LEVEL
+
+def random_string(rng: random.Random, alphabet: str, length: int, digits: bool) -> str:
+    """Uniform random, and drawn again until it can be a candidate."""
+    while True:
+        s = "".join(rng.choices(alphabet, k=length))
+        if s == s.strip("-_/") and (_digit(s) is not None) == digits and _letter(s):
+            return s
+
+
+def _examples(rng: random.Random, digits: bool, band: int) -> tuple[list[str], list[str]]:
+    """Random strings and decoys of a band's lengths."""
+    alphabets = ENCODINGS if digits else LETTERS
+    lengths = range(BANDS[band], BANDS[band + 1] if band + 1 < len(BANDS) else 2 * BANDS[band])
+    some = lambda: lengths[int(len(lengths) * rng.random() ** 2)]  # noqa: E731  # shorter ones are more frequent and harder
+    drawn = [random_string(rng, a, some(), digits) for a in alphabets.values() for _ in range(REFERENCE // len(alphabets))]
+    return drawn, [decoy(rng, WORDS[::2], some(), digits) for _ in range(REFERENCE)]
+
+
+@lru_cache(16)
+def least_bits(rate: float) -> Rule:
+    """The rule at which at most `rate` of the accepted strings are decoys, in every band."""
+    weights, bounds = {}, {}
+    for key in [(digits, band) for digits in (True, False) for band in range(len(BANDS))]:
+        rng = random.Random(100 + 10 * key[1] + key[0])
+        logs = []
+        for group in _examples(rng, *key):
+            seen = [Counter(map(_bin, ps)) for ps in zip(*map(battery, group))]
+            logs.append([[math.log((c[i] + 0.5) / (len(group) + 0.5 * (len(BINS) + 1))) for i in range(len(BINS) + 1)] for c in seen])
+        weights[key] = [[a - b for a, b in zip(*test)] for test in zip(*logs)]
+        true, false = (sorted((_weigh(weights[key], s) for s in group), reverse=True) for group in _examples(rng, *key))
+        keeps = true[min(int(KEPT * len(true)), len(true) - 1)]
+        # Decoys among the accepted ones: their share is `rate` if so many of the decoys pass.
+        allowed = int(rate / (1 - rate) * PRIOR * KEPT * len(false))
+        bounds[key] = max(keeps, false[allowed], 0.0)
+    return Rule(weights, bounds)
+
+
+def is_random(s: str, rule: Rule) -> bool:
+    return randomness_p(s) >= LEVEL and rule.score(s) > rule.bounds[_digit(s) is not None, band_of(s)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -241,11 +327,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of strings that mix digits and letters and touch no known span."""
+    """(start, end) of strings that hold letters and touch no known span."""
     out = []
     for m in _candidate(text):
         s = m.group().strip("-_/")
-        if len(s) < BANDS[0] or not _digit(s) or not _letter(s):
+        if len(s) < BANDS[0] or not _letter(s):
             continue
         start = m.start() + m.group().index(s)
         end = start + len(s)
@@ -261,8 +347,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()),
 
 def find_secrets(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
     """Replace the text column by `base_spans` and `spans`: arrays of (start, kind number, end), in order of start and
-    kind (numbers of KINDS), in code points, `spans` with the added random strings. `rate` is the share of decoys that
-    may pass for random.
+    kind (numbers of KINDS), in code points, `spans` with the added random strings. `rate` is the share of decoys among
+    the added strings that the rule allows for.
 
     Null and empty texts have no spans, repeated rows stay, an empty table stays empty; the names of the new columns
     must be free. Rows do not depend on each other."""
