@@ -33,6 +33,8 @@ from tabulon.session import cut_lineage
 TERM = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 50
 BLOCK = 128
+#: Bytes of text tokenised at once.
+PIECE = 1_000_000
 #: A shard is closed with so many postings.
 SHARD_POSTINGS = 1_500_000
 #: Shards of the first phase, and how many times more the next one has.
@@ -135,7 +137,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, name, key_type = _Shard(), 0, None
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             key_type = batch.schema.field(0).type
             for k, name_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts.cast(pa.large_binary()).to_pylist()):
                 words = _terms(raw.lower())

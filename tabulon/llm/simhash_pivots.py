@@ -39,6 +39,8 @@ LEAST_BITS = 12
 ROWS_PER_TASK = 200_000
 #: Shingles hashed, and pairs kept, at a time.
 HASHED = 1 << 16
+#: Bytes of text fingerprinted at once.
+PIECE = 1_000_000
 HELD_PAIRS = 1 << 20
 
 _references = mixed(np.arange(1, REFERENCES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -70,7 +72,7 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("bits", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             bits = np.array([fingerprint(t) for t in texts.cast(pa.large_binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], schema.names)
 

@@ -29,6 +29,8 @@ from tabulon.session import cut_lineage
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 TOP_TERMS = 10
+#: Bytes of text tokenised at once.
+PIECE = 1_000_000
 #: (language, source, term) counts that a task holds before it sends them on.
 HELD_COUNTS = 200_000
 #: Sources of one block, and counts of one task, when sources are compared.
@@ -51,7 +53,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     Tasks count their own rows first, so a group or a term with a third of all rows is a few counts from each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=PIECE):
             groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for group, raw in zip(groups, texts.cast(pa.large_binary()).to_pylist()):
                 words = _terms(raw.lower())
