@@ -27,18 +27,39 @@ def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0]:starts[-1]], starts - starts[0]
 
 
+def cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """First text, and text after the last, of stretches of at most `limit` bytes, or one text."""
+    starts = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + limit, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def binary_values(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers that stand in a binary column, one row after the other, without a copy of each row."""
+    parts = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32 if pa.types.is_binary(chunk.type) else np.int64)[chunk.offset:chunk.offset + len(chunk) + 1]
+        if data is not None and len(chunk):
+            parts.append(np.frombuffer(data, np.uint8)[ends[0]:ends[-1]])
+    flat = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return flat.view(kind) if flat.flags.aligned and flat.ctypes.data % 8 == 0 else flat.copy().view(kind)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches that hold at most `limit` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = text_array(batch.column(batch.schema.get_field_index(text)))
-        starts = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        at = 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(starts, starts[at] + limit, "right")) - 1)
+        for at, end in cuts(texts, limit):
             yield batch.slice(at, end - at), texts.slice(at, end - at)
-            at = end
+        # A worker serves task after task: what this batch held goes back to the system.
+        del batch, texts
+        pa.default_memory_pool().release_unused()
 
 
 def with_columns(batch: pa.RecordBatch, drop: str | None = None, **columns: pa.Array) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.buffers import byte_buffer, byte_words, mixed, pieces
+from tabulon.llm.buffers import binary_values, byte_buffer, byte_words, cuts, mixed, pieces
 from tabulon.llm.components import components
 from tabulon.session import cut_lineage
 
@@ -36,9 +36,13 @@ PERCENT = 75
 EXTRA = 8
 #: Shingle hashes in one task's region, 8 bytes each; larger regions are cut by pivots.
 REGION_SHINGLES = 4_000_000
-#: Shingles of one bucket when lone ones are looked for, 4 bytes each, and the least number of buckets.
-BUCKET_SHINGLES = 8_000_000
-LEAST_BUCKETS = 24
+#: Shingles of one bucket when lone ones are looked for, 4 bytes each.
+BUCKET_SHINGLES = 3_000_000
+#: Sets of one share when the counts of all buckets are added up.
+PART_SETS = 20_000
+#: Bytes of text whose shingles are worked out at once, and whose distinct shingles are sent together.
+TEXT_BYTES = 500_000
+SENT_BYTES = 4_000_000
 PIVOTS = 16
 FILTER_WORDS = 1 << 18
 
@@ -51,6 +55,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(texts: pa.Array, words: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    return [s for at, end in cuts(texts, TEXT_BYTES) for s in _shingle_sets(texts.slice(at, end - at), words)]
+
+
+def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     data, starts = byte_buffer(texts)
     first, after, text = byte_words(data, starts, _member)
     if not len(first):
@@ -99,14 +107,15 @@ def _sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _lone_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(node, lone): how many shingles of each set are in no other set.
+def _lone_shingles(docs: DataFrame, text: str, buckets: int, parts: int) -> DataFrame:
+    """(node, lone): how many shingles of each set are in no other set. Buckets send their counts packed, a row for each of
+    `parts` shares of the sets, and a task adds up a share.
 
     A task sends, for each bucket of hashes and piece of texts, the piece's distinct shingles once: 32 bits of the hash and
     the set, or no set if several sets of the piece have it. So a shingle of all documents is one entry a piece, not one
     a document. Two shingles with the same 32 bits in a bucket only make a set seem less alone than it is."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batches, text):
+        for _, texts in pieces(batches, text, SENT_BYTES):
             sets = {_node(s): s for s in shingle_sets(texts) if len(s)}
             if not sets:
                 continue
@@ -133,10 +142,7 @@ def _lone_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         # The part without a set comes first in a piece, with a negative count: its hashes are shared already.
-        nodes = [np.frombuffer(x, "<i8") for x in table.column("nodes").to_pylist()]
-        counts = [np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()]
-        hashes = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()])
-        counts, nodes = np.concatenate(counts), np.concatenate(nodes)
+        nodes, counts, hashes = (binary_values(table.column(c), kind) for c, kind in (("nodes", "<i8"), ("counts", "<i4"), ("hashes", "<u4")))
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         twin = np.zeros(len(ranked), bool)
@@ -147,10 +153,23 @@ def _lone_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         lone[order] = ~twin
         sums = np.add.reduceat(lone, np.cumsum(np.abs(counts)) - np.abs(counts))
         keep = (counts > 0) & (sums > 0)
-        return pa.table({"node": pa.array(nodes[keep]), "lone": pa.array(sums[keep].astype(np.int64))})
+        nodes, sums = nodes[keep], sums[keep].astype("<i4")
+        part = (nodes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, nodes, sums = part[order], nodes[order], sums[order]
+        ends = np.concatenate((np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), [len(part)])) if len(part) else np.zeros(1, np.int64)
+        cut = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.table({"part": pa.array(part[ends[:-1]], pa.int64()), "nodes": pa.array([nodes[c].tobytes() for c in cut], pa.binary()),
+                         "lones": pa.array([sums[c].tobytes() for c in cut], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        node, place = np.unique(binary_values(table.column("nodes"), "<i8"), return_inverse=True)
+        lone = np.bincount(place, weights=binary_values(table.column("lones"), "<i4"))
+        return pa.table({"node": pa.array(node), "lone": pa.array(lone.astype(np.int64))})
 
     sent = docs.select(text).mapInArrow(send, "bucket int, nodes binary, counts binary, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(count, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    found = sent.groupBy("bucket").applyInArrow(count, "part long, nodes binary, lones binary")
+    return found.groupBy("part").applyInArrow(add, "node long, lone long")
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -374,8 +393,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts link. Repeated keys each give a row; a null key is never a component's name unless it has no other. Other
     columns are left out. An empty table gives an empty table."""
     slim = cut_lineage(_sizes(docs, key, text))
-    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
-    lone = _lone_shingles(docs, text, max(LEAST_BUCKETS, total // BUCKET_SHINGLES))
+    total, rows = slim.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("node")).first()
+    lone = _lone_shingles(docs, text, 1 + total // BUCKET_SHINGLES, 1 + rows // PART_SETS)
     sets = slim.filter("node is not null").groupBy("node").agg(F.min(key).alias(key), F.max("n_shingles").alias("n"))
     wanted = cut_lineage(sets.join(lone, "node", "left").filter(F.coalesce("lone", F.lit(0)) <= _allowed_column("n")).select("node", key, "n"))
     found = cut_lineage(_sets_of(docs, key, text, wanted.select("node", key)))
