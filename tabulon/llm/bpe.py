@@ -27,8 +27,10 @@ from tabulon.llm.buffers import pieces
 # The code points that Unicode calls White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 #: Pre-tokens whose ids a Python worker keeps.
-KEPT_PRETOKENS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_PRETOKENS = 250_000
+KEPT_PAIRS = 250_000
+#: Bytes of text encoded at once.
+PIECE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,22 +196,29 @@ def _encoder(ranks, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of each whole text (null: empty) as binary, 4 bytes an id, in place of the text column.
+def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids",
+                 decoded: str | None = None) -> DataFrame:
+    """Add the ids of each whole text (null: empty) as binary, 4 bytes an id, in place of the text column. With `decoded`,
+    also the bytes that these ids stand for, in the same pass.
 
-    An empty table stays empty; other columns pass through, repeated rows stay. `ids` must be a new name."""
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists")
+    An empty table stays empty; other columns pass through, repeated rows stay. The new names must be free."""
+    new = [n for n in (ids, decoded) if n]
+    clash = set(new) & set(df.columns)
+    if clash:
+        raise ValueError(f"columns exist: {sorted(clash)}")
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*[f for f in df.schema if f.name != text], T.StructField(ids, T.BinaryType(), False)])
+    kept = [f for f in df.schema if f.name != text]
+    schema = T.StructType([*kept, *[T.StructField(n, T.BinaryType(), False) for n in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch, texts in pieces(batches, text):
+        for batch, texts in pieces(batches, text, PIECE):
             encoder = encoder or _encoder(shared, pattern)
-            found = pa.array([encoder.encode(t) for t in texts.to_pylist()], pa.binary())
-            kept = [f.name for f in schema if f.name != ids]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], found], [*kept, ids])
+            found = [encoder.encode(t) for t in texts.to_pylist()]
+            columns = [pa.array(found, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(encoder.decode, found), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], *columns], schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabulon.llm.bpe import decode_ids, encode_texts, read_ranks, token_digests
+from tabulon.llm.bpe import encode_texts, read_ranks, token_digests
 from tabulon.llm.chat_repair import repair_roles
 from tabulon.llm.decontaminate import benchmark_hits
 from tabulon.llm.fingerprints import edited_fingerprints, entropy_histogram, rarity_ranks
@@ -129,8 +129,8 @@ def op8_role_repair(spark, d):
 @queries.add("op9_backtracking_bpe")
 def op9_backtracking_bpe(spark, d):
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode_texts(table(spark, d, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return token_digests(decode_ids(encoded, ranks))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return token_digests(encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 @queries.add("op10_site_spread", f"""
