@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.bpe import decode_ids, encode_texts, read_ranks
+from tabulon.llm.bpe import encode_texts, read_ranks
 from tabulon.llm.decontaminate import benchmark_hits
 from tabulon.llm.jaccard_regions import near_duplicates
 from tabulon.llm.language_crf import UNKNOWN, fit_languages, label_languages
@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as little-endian unsigned 32-bit integers, their number, and whether they decode to the text's bytes."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    both = decode_ids(encode_texts(rows, ranks, public_tokenizers.PATTERN), ranks)
+    both = encode_texts(rows, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text_sha256",
                        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
