@@ -18,6 +18,7 @@ HEADLINE = [
     "bayes_fit", "bayes_probabilities", "best_split", "forest_predict", "logistic_predict", "hash_split",
     "stratified_folds", "roc_auc", "ovr_auc", "weighted_f1", "row_documents", "nearest_documents", "prompt_assembly",
     "answer_cleanup", "extract_numbers", "batch_predict", "text_classification_run", "regression_run",
+    "csv_of_many_blocks", "tree_walk", "random_search", "nearest_documents_blocks", "roles_by_sketch", "question_run",
 ]
 
 
