@@ -54,9 +54,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = text_array(batch.column(batch.schema.get_field_index(text)))
+        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
         for at, end in cuts(texts, limit):
-            yield batch.slice(at, end - at), texts.slice(at, end - at)
+            # Nulls are filled piece by piece, as that copies the bytes.
+            yield batch.slice(at, end - at), text_array(texts.slice(at, end - at))
         # A worker serves task after task: what this batch held goes back to the system.
         del batch, texts
         pa.default_memory_pool().release_unused()
