@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.buffers import pieces
+from tabulon.llm.buffers import pieces, small_batches
 
 # The code points that Unicode calls White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
-#: Pre-tokens whose ids a Python worker keeps.
-KEPT_PRETOKENS = 250_000
+#: Pre-tokens whose ids a Python worker keeps, in each of two halves, and pairs whose compatibility it keeps.
+KEPT_PRETOKENS = 125_000
 KEPT_PAIRS = 250_000
 #: Bytes of text encoded at once.
 PIECE = 1_000_000
@@ -77,12 +78,24 @@ class Encoder:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.find = compile_pattern(pattern).findall
         self.find_short = compile_pattern(pattern, 0xFFFF).findall
-        self.automaton = ahocorasick.Automaton()
+        self.longest = max(map(len, ranks), default=1)
+        # Latin-1 has one character a byte, so lengths of matches are lengths in bytes. Every beginning of a token leads
+        # to the longest token that it begins with.
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        #: The longest token that begins a token and is shorter, and none (-1) if there is no such token.
+        self.shorter: dict[int, int] = {}
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
-        self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+            begun = -1
+            for n in range(1, len(token)):
+                begun = ranks.get(token[:n], begun)
+                self.automaton.add_word(token[:n].decode("latin-1"), begun)
+            self.automaton.add_word(token.decode("latin-1"), i)
+            self.shorter[i] = begun
+        self.size_of = {i: len(t) for t, i in ranks.items()}
+        #: By the left id, shifted, and the right one.
+        self.compatible: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for token in sorted(ranks, key=len):
             self.halves[ranks[token]] = self._last_merge(token)
@@ -120,11 +133,10 @@ class Encoder:
                 limit, right = right + 1, b[0]
 
     def _pair(self, left: int, right: int) -> bool:
-        found = self.compatible.get((left, right))
-        if found is None:
-            if len(self.compatible) >= KEPT_PAIRS:
-                self.compatible.clear()
-            found = self.compatible[left, right] = self._open(left, right, 1 << 32)
+        """Work out whether two neighbours are compatible, and keep it."""
+        if len(self.compatible) >= KEPT_PAIRS:
+            self.compatible.clear()
+        found = self.compatible[left << 32 | right] = self._open(left, right, 1 << 32)
         return found
 
     def pretoken(self, piece: bytes) -> list[int]:
@@ -132,52 +144,55 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, match in self.automaton.iter(piece.decode("latin-1")):
-            at[end + 1 - match[0]].append(match)  # by growing end, so the longest comes last
+        text, size, window = piece.decode("latin-1"), len(piece), self.longest
+        path, value, size_of, shorter, compatible = self.automaton.longest_prefix, self.automaton.get, self.size_of, self.shorter, self.compatible
         tokens: list[int] = []
-        starts: list[int] = []
-        choice = [0] * size
-        dead = bytearray(size + 1)
-        pos, pick = 0, len(at[0]) - 1
-        while pos < size:
-            options = at[pos]
-            before = tokens[-1] if tokens else None
-            while pick >= 0:
-                n, token = options[pick]
-                if not dead[pos + n] and (before is None or self._pair(before, token)):
-                    break
-                pick -= 1
-            if pick >= 0:
+        dead: set[int] = set()
+        pos, before = 0, -1
+        ahead = text[:window]
+        token = value(ahead[:path(ahead)], -1)
+        while True:
+            while token >= 0:
+                end = pos + size_of[token]
+                if end not in dead:
+                    fits = before < 0 or compatible.get(before << 32 | token)
+                    if fits or fits is None and self._pair(before, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 tokens.append(token)
-                starts.append(pos)
-                choice[pos] = pick
-                pos += n
-                pick = len(at[pos]) - 1 if pos < size else 0
+                if end == size:
+                    return tokens
+                pos, before = end, token
+                ahead = text[pos:pos + window]
+                token = value(ahead[:path(ahead)], -1)
             else:
                 if not tokens:
                     raise ValueError("the vocabulary lacks a byte")
-                dead[pos] = 1
-                tokens.pop()
-                pos = starts.pop()
-                pick = choice[pos] - 1
-        return tokens
+                dead.add(pos)
+                token = tokens.pop()
+                pos -= size_of[token]
+                before = tokens[-1] if tokens else -1
+                token = shorter[token]
+
+    def _ids(self, match: str) -> bytes:
+        """Ids of a match that is not among those kept last."""
+        ids = self.known_before.get(match)
+        if ids is None:
+            found = self.pretoken(match.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(match) <= 40:
+            if len(self.known) >= KEPT_PRETOKENS:
+                # Frequent matches come back from the older half when they occur again.
+                self.known_before, self.known = self.known, {}
+            self.known[match] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
         short = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
-        for match in (self.find_short if short else self.find)(text):
-            ids = known.get(match)
-            if ids is None:
-                ids = np.array(self.pretoken(match.encode()), "<u4").tobytes()
-                if len(match) <= 40:
-                    if len(known) >= KEPT_PRETOKENS:
-                        known.clear()
-                    known[match] = ids
-            out.append(ids)
-        return b"".join(out)
+        ids_of = self._ids
+        return b"".join([self.known.get(match) or ids_of(match) for match in (self.find_short if short else self.find)(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -206,6 +221,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     clash = set(new) & set(df.columns)
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     kept = [f for f in df.schema if f.name != text]
     schema = T.StructType([*kept, *[T.StructField(n, T.BinaryType(), False) for n in new]])
@@ -231,6 +247,7 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded
     table = [b""] * size
     for token, i in ranks.items():
         table[i] = token
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(table)
     schema = T.StructType([*df.schema, T.StructField(decoded, T.BinaryType(), False)])
 

@@ -7,8 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 PIECE_BYTES = 4_000_000
+#: Bytes of an Arrow batch that Spark hands to Python; by rows alone a batch of long texts is held whole on both sides.
+BATCH_BYTES = 4_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless the session sets its own bound."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:

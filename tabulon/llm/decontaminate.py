@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.buffers import pieces
+from tabulon.llm.buffers import pieces, small_batches
 
 # Fixed value: the bytes that words are made of, after A-Z are lower-cased.
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,6 +110,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     docs = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
     text = f"in_{names.index(text)}"
     marked = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
+    small_batches(docs.sparkSession)
     parts = max(1, -(-marked.count() // items_per_pass))
     marked = marked.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
     schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.buffers import binary_values, byte_buffer, byte_words, cuts, mixed, pieces
+from tabulon.llm.buffers import binary_values, byte_buffer, byte_words, cuts, mixed, pieces, small_batches
 from tabulon.llm.components import components
 from tabulon.session import cut_lineage
 
@@ -392,6 +392,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are one shingle; null, empty and wordless texts have none, link with nothing and are their own component. Equal
     texts link. Repeated keys each give a row; a null key is never a component's name unless it has no other. Other
     columns are left out. An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     slim = cut_lineage(_sizes(docs, key, text))
     total, rows = slim.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("node")).first()
     lone = _lone_shingles(docs, text, 1 + total // BUCKET_SHINGLES, 1 + rows // PART_SETS)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.buffers import byte_buffer, byte_words, mixed, pieces
+from tabulon.llm.buffers import byte_buffer, byte_words, mixed, pieces, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample: texts of each language, code points of each text, languages.
@@ -270,6 +270,7 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", segments:
     run_type = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("language", T.StringType())]))
     schema = T.StructType([*others, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            *([T.StructField("segments", run_type)] if segments else [])])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow_runs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("language", pa.string())]))
 

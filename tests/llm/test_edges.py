@@ -3,10 +3,15 @@
 import itertools
 import random
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat_repair
+from tabulon.llm import bpe, chat_repair
+from tabulon.llm.buffers import BATCH_BYTES, small_batches
 from tabulon.llm.decontaminate import benchmark_hits
 from tabulon.llm.fingerprints import edited_fingerprints, entropy_histogram, rarity_ranks
 from tabulon.llm.line_spread import remove_spread_lines
@@ -132,3 +137,40 @@ def test_conversations_are_repaired_at_least_cost(spark):
             # Every text is there once, in order.
             assert [x for x in __import__("re").findall(r"c\d+t\d+", text)] == [x[3] for x in rows if x[0] == c]
             assert text.count("<|end|>") == text.count("<|user|>") + text.count("<|assistant|>") + text.count("<|system|>")
+
+
+def test_long_matches_dead_ends_and_small_caches(monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "KEPT_PRETOKENS", 7)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 11)
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    texts = ["x" * 30_000, "ab" * 9_999 + "c", "-" * 20_001, "é" * 5_000, "7" * 4_001, "the " * 500]
+    texts += ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 3_000))) for _ in range(20)]
+    texts += [" ".join("".join(rng.choices("abcdeisñé日", k=rng.randint(1, 12))) for _ in range(40)) for _ in range(50)]
+    for text in texts:
+        ids = encoder.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert encoder.decode(ids) == text.encode()
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        small_batches(spark)
+        df = spark.range(3000).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        got = [r.n for r in df.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 30_000_000 and max(got) <= BATCH_BYTES + 20_000
+        spark.conf.set(name, "1234567")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1234567"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
