@@ -33,3 +33,11 @@ def test_silhouettes_of_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, own))], "id long, v array<double>, c int")
     got = {r.id: r.silhouette for r in C.exact_silhouettes(df, "id", "v", "c").collect()}
     assert np.allclose([got[i] for i in range(150)], (b - a) / np.maximum(a, b), atol=1e-9)
+
+
+def test_draws_by_bounds(spark):
+    from tabulon.operators import splits as S
+    from pyspark.sql import functions as F
+    values = [0.0, 0.2, S.DRAW_BOUNDS[0], 0.5, S.DRAW_BOUNDS[1], 0.8, S.DRAW_BOUNDS[5], S.DRAW_BOUNDS[-1], 1.0 - 2 ** -53]
+    got = spark.createDataFrame([(v,) for v in values], "u double").select("u", S.draw_counts(F.col("u")).alias("n")).collect()
+    assert all(r.n == sum(b <= r.u for b in S.DRAW_BOUNDS) for r in got)
