@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.vectors import let
 from tabulon.operators.ordered import with_position
 
 SEED = 42
@@ -60,8 +61,14 @@ def with_folds(df: DataFrame, label: str | None, key: str | None = None, k: int
 def draw_counts(uniform: Column) -> Column:
     """How often a row is drawn: the inverse of Poisson's distribution with mean 1, which the counts of draws with replacement
     have in a large table. `uniform` is a number from 0 to 1 (exclusive)."""
-    table = F.array(*[F.lit(p) for p in DRAW_BOUNDS])
-    return F.size(F.filter(table, lambda p: p <= uniform))
+    def place(u: Column) -> Column:
+        # Most rows are drawn at most twice: the first bounds decide.
+        found = F.when(u < DRAW_BOUNDS[0], 0)
+        for n, bound in enumerate(DRAW_BOUNDS[1:], 1):
+            found = found.when(u < bound, n)
+        return found.otherwise(len(DRAW_BOUNDS))
+
+    return let(uniform, place)
 
 
 def bootstrap(df: DataFrame, key: str | None = None, draw: int = 0, seed: int = SEED) -> DataFrame:
@@ -75,6 +82,5 @@ def bootstrap(df: DataFrame, key: str | None = None, draw: int = 0, seed: int =
     source = row_digest(key, df.columns, f"{seed}/{draw}")
     # 48 bits of the digest: whole numbers that a double holds exactly.
     uniform = F.conv(F.substring(source, 1, 12), 16, 10).cast("double") / float(1 << 48)
-    times = F.sequence(F.lit(1), draw_counts(uniform))
-    drawn = df.withColumn("_drawn", F.when(draw_counts(uniform) > 0, times).otherwise(F.array().cast("array<int>")))
+    drawn = df.withColumn("_drawn", F.array_repeat(F.lit(1), draw_counts(uniform)))
     return drawn.select(*[F.col(f"`{c}`") for c in df.columns], F.explode("_drawn").alias("_drawn")).drop("_drawn")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.operators import metrics as M
 from tabulon.operators import splits as S
 from tabulon.operators.clean import encode, label_codes
+from tabulon.session import shuffle_width
 from tabulon.workload.common import Registry, r, sql_r, table
 
 queries = Registry()
@@ -44,7 +45,8 @@ def bootstrap_sample(spark, d):
 def bootstrap_rows(spark, d):
     """How often each order is drawn in two samples; the rows are dealt anew before each one."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    parts = [S.bootstrap(orders.repartition(3 + 4 * i), "o_orderkey", i).withColumn("draw", F.lit(i)) for i in range(2)]
+    width = shuffle_width(spark)
+    parts = [S.bootstrap(orders.repartition(width + 3 + 4 * i), "o_orderkey", i).withColumn("draw", F.lit(i)) for i in range(2)]
     return parts[0].union(parts[1]).groupBy("draw", "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
