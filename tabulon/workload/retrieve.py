@@ -122,7 +122,9 @@ def vector_index(spark, d):
 def index_snapshots(spark, d):
     """A dataset is written anew while a reader holds it: the reader keeps what it saw, the next one sees the new rows."""
     path = shared_path(spark, "index")
-    docs = {name: R.row_documents(table(spark, d, name), key) for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"))}
+    # Encoding is heavy per row, and a scan may have fewer tasks with rows than there are cores.
+    wide = 2 * spark.sparkContext.defaultParallelism
+    docs = {name: R.row_documents(table(spark, d, name).repartition(wide), key) for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"))}
     vectors = {name: R.encode_text(R.text_encoder(rows), rows) for name, rows in docs.items()}
     write_index(vectors["customer"], path, "people")
     write_index(vectors["supplier"], path, "others")
