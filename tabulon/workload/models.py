@@ -17,6 +17,7 @@ from tabulon.operators.clean import encode, label_codes
 from tabulon.session import cut_lineage, shared_path
 from tabulon.sources.models import SavedModel, load_model, save_model
 from tabulon.workload.clusters import EMBEDDED, flat_embeddings
+from tabulon.sources.tables import bounded_tasks
 from tabulon.workload.common import Registry, r, sql_r, table
 
 queries = Registry()
@@ -234,7 +235,7 @@ TREE_DEPTH = 3
 
 
 def _pieces(spark, d):
-    line = table(spark, d, "lineitem").select(
+    line = bounded_tasks(table(spark, d, "lineitem").select("l_orderkey", "l_discount", "l_tax", "l_linenumber")).select(
         "l_orderkey", F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"), F.col("l_linenumber").cast("double").alias("line"))
     y = F.when(F.col("l_orderkey") % 7 == 0, F.col("l_orderkey") % 3).when(F.col("discount") + F.col("line") > 9, 2).when(F.col("tax") > F.col("line"), 1).otherwise(0)
     return line.select(F.array(*PIECE_FEATURES).alias("values"), array_to_vector(F.array(*PIECE_FEATURES)).alias("features"), y.cast("double").alias("label"))

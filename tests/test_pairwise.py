@@ -41,3 +41,10 @@ def test_draws_by_bounds(spark):
     values = [0.0, 0.2, S.DRAW_BOUNDS[0], 0.5, S.DRAW_BOUNDS[1], 0.8, S.DRAW_BOUNDS[5], S.DRAW_BOUNDS[-1], 1.0 - 2 ** -53]
     got = spark.createDataFrame([(v,) for v in values], "u double").select("u", S.draw_counts(F.col("u")).alias("n")).collect()
     assert all(r.n == sum(b <= r.u for b in S.DRAW_BOUNDS) for r in got)
+
+
+def test_tasks_have_bounded_rows(spark):
+    from tabulon.sources.tables import bounded_tasks
+    one = spark.range(1000).coalesce(1)
+    assert max(bounded_tasks(one, 100).rdd.glom().map(len).collect()) <= 120
+    assert bounded_tasks(one, 1000).rdd.getNumPartitions() == 1
