@@ -38,13 +38,15 @@ def train_test(df: DataFrame, key: str | None = None, test_percent: int = TEST_P
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
-def with_folds(df: DataFrame, label: str | None, key: str | None = None, k: int = 5, seed: int = SEED) -> DataFrame:
+def with_folds(df: DataFrame, label: str | None, key: str | None = None, k: int = 5, seed: int = SEED,
+               digest: str | None = None) -> DataFrame:
     """Adds fold 0..k-1, dealt out in hash order inside each label, so folds differ by at most one row per label.
 
     Hash prefixes cut a frequent label into 65,536 even parts. Without a key, rows with the same values are dealt as one,
-    so copies stay together. Without a label (a continuous target) the hash alone decides.
+    so copies stay together. Without a label (a continuous target) the hash alone decides. `digest` names a column that holds
+    `row_digest` already, so that rows can leave their wide columns behind before they are dealt.
     """
-    digest = row_digest(key, df.columns, seed)
+    digest = F.col(digest) if digest else row_digest(key, df.columns, seed)
     if label is None:
         return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))
     marked = df.withColumn("_digest", digest)

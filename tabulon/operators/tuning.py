@@ -25,7 +25,7 @@ from tabulon.operators.batch_logistic import fit_many, fold_accuracies, pack
 from tabulon.operators.logistic import logistic_regression
 from tabulon.operators.naive_bayes import GaussianBayes
 from tabulon.operators.rows import is_numeric
-from tabulon.operators.splits import with_folds, with_split
+from tabulon.operators.splits import row_digest, with_folds, with_split
 from tabulon.operators.trees import decision_tree, random_forest
 
 FOLDS = 5
@@ -68,8 +68,12 @@ def prepare(df: DataFrame, target: str, numbers: Sequence[str], mode: str = "cla
     stages.append(VectorAssembler(inputCols=[*filled, *text_outputs], outputCol="features", handleInvalid="keep"))
     cast = df.withColumns({c: F.col(c).cast("double") for c in numbers}).where(F.col(target).isNotNull())
     fitted = Pipeline(stages=stages).fit(cast)
-    marked = with_folds(with_split(cast.withColumn("_target", F.col(target)), key), "_target" if mode == "classification" else None, key, folds)
-    made = fitted.transform(marked).select("features", "fold", "is_test", "_target")
+    marked = with_split(cast.withColumn("_target", F.col(target)), key)
+    marked = marked.withColumn("_row_digest", row_digest(key, marked.columns, SEED))
+    # Dealing the folds shuffles the rows: their features go along, texts and other inputs do not.
+    made = fitted.transform(marked).select("features", "is_test", "_target", "_row_digest", *([F.col(key).alias("_key")] if key else []))
+    made = with_folds(made, "_target" if mode == "classification" else None, "_key" if key else None, folds, digest="_row_digest")
+    made = made.select("features", "fold", "is_test", "_target")
     if mode == "classification":
         labels = sorted_labels(df, target)
         made = made.withColumn("_target", F.col("_target").cast("string"))
