@@ -32,6 +32,9 @@ MAX_CLASSES = 20
 SKETCH_ERROR = 0.01
 SAFE_ERRORS = 6
 COUNTED_VALUES = 60
+#: Bits of a value's hash, and how many of them tell its bucket.
+HASH_BITS = 52
+BUCKET_BITS = 12
 
 
 def column_kind(field: T.StructField) -> str:
@@ -108,30 +111,34 @@ def _column_statistics(position: int, field: T.StructField) -> list[Column]:
 def role_profile(df: DataFrame) -> DataFrame:
     """The columns of `column_profile`, and `counted`, with the same roles, without a shuffle of all values.
 
-    One pass sketches every column: a HyperLogLog of its values, and the values at the quartiles of their hashes. A value in
-    more than half of the rows covers more than half of the hash order, so one of the three quartiles lies well inside it; a
-    second pass counts those values, which decides the rule on the most frequent value. Only columns whose estimate is so near
-    to the border of a rule that the sketch could mislead, or which have few values, are counted exactly (`counted`); of the
-    others, `n_distinct` is the estimate, and `top_count` the largest count among the three values."""
+    The hashes of all columns stand below each other, so that a sketch is one aggregation by column, however many there are:
+    the counts by the leading bits, and a HyperLogLog for columns in which these take many values. A value in more than half of
+    the rows lies in the bucket with the most of them; the hashes in that bucket are counted, which decides the rule on the most
+    frequent value. Only columns whose estimate is so near to the border of a rule that the sketch could mislead, or which have
+    few values, are counted exactly (`counted`); of the others, `n_distinct` is the estimate, and `top_count` the largest count
+    in the bucket."""
     if not df.columns:
         return column_profile(df)
-    # Quantiles are taken of doubles, which hold 52 bits of a hash exactly.
-    hashed = {f.name: F.shiftrightunsigned(F.xxhash64(_counted_value(f).cast("string")), 12) for f in df.schema}
-    value = {f.name: _counted_value(f) for f in df.schema}
-    here = lambda c: F.when(value[c].isNotNull(), hashed[c])
-    sketched = _one_row_each(df, {
-        f.name: [*_column_statistics(pos, f), F.approx_count_distinct(here(f.name), SKETCH_ERROR).alias("n_distinct"),
-                 F.percentile_approx(here(f.name), [0.25, 0.5, 0.75], 1000).alias("likely")]
-        for pos, f in enumerate(df.schema)}).collect()
+    sketched = _one_row_each(df, {f.name: _column_statistics(pos, f) for pos, f in enumerate(df.schema)}).collect()
+    hashes = _value_hashes(df)
+    buckets = hashes.groupBy("column_name", _bucket(F.col("hash")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    fullest = buckets.groupBy("column_name").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("bucket"), F.count(F.lit(1)).alias("used"))
     # One row a column from here on.
-    likely = {r.column_name: list(dict.fromkeys(r.likely or [])) for r in sketched}
-    tops = _one_row_each(df, {c: [F.array(*[F.count_if(here(c) == F.lit(h)) for h in likely[c]] or [F.lit(0).cast("long")]).alias("counts")] for c in df.columns})
-    top = {r.column_name: max(r.counts) for r in tops.collect()}
+    likely, distinct = {}, {}
+    for r in fullest.collect():
+        likely[r.column_name], distinct[r.column_name] = r.bucket, r.used
+    wide = [c for c in df.columns if distinct.get(c, 0) > COUNTED_VALUES]
+    if wide:
+        estimates = _value_hashes(df.select(*wide)).groupBy("column_name").agg(F.approx_count_distinct("hash", SKETCH_ERROR).alias("n"))
+        distinct |= {r.column_name: r.n for r in estimates.collect()}
+    counted = _value_hashes(df, likely).groupBy("column_name", "hash").agg(F.count(F.lit(1)).alias("n"))
+    top = {r.column_name: r.n for r in counted.groupBy("column_name").agg(F.max("n").alias("n")).collect()}
 
     def near(r) -> bool:
         margin = SAFE_ERRORS * SKETCH_ERROR
         borders = (r.n_rows * ID_SHARE, r.n_rows * LOW_CARDINALITY_SHARE)
-        return r.n_distinct <= COUNTED_VALUES or any(b * (1 - margin) <= r.n_distinct <= b * (1 + margin) + 1 for b in borders)
+        n = distinct.get(r.column_name, 0)
+        return n <= COUNTED_VALUES or any(b * (1 - margin) <= n <= b * (1 + margin) + 1 for b in borders)
 
     border = [r.column_name for r in sketched if near(r)]
     exact = {r.column_name: (r.n_distinct, r.top_count) for r in distinct_counts(df, border).collect()} if border else {}
@@ -139,14 +146,30 @@ def role_profile(df: DataFrame) -> DataFrame:
     shape = "column_name string, n_distinct long, top_count long, counted boolean"
     counts = spark.createDataFrame([
         (r.column_name, *exact.get(r.column_name, (0, None)), True) if r.column_name in border
-        else (r.column_name, r.n_distinct, top[r.column_name], False) for r in sketched], shape)
-    kept = [c for c in sketched[0].__fields__ if c not in ("n_distinct", "likely")]
+        else (r.column_name, distinct[r.column_name], top[r.column_name], False) for r in sketched], shape)
     kinds = ("column_name string, position int, kind string, n_rows long, n_present long, mean_length double, has_address_mark boolean, "
              "has_sentiment boolean, mean_words double")
-    stats = spark.createDataFrame([tuple(r[c] for c in kept) for r in sketched], kinds)
+    stats = spark.createDataFrame([tuple(r) for r in sketched], kinds)
     return _with_roles(stats.join(F.broadcast(counts), "column_name"))
 
 
+def _bucket(hashed: Column) -> Column:
+    return F.shiftright(hashed, HASH_BITS - BUCKET_BITS)
+
+
+def _value_hashes(df: DataFrame, buckets: dict[str, int] | None = None) -> DataFrame:
+    """(column_name, hash) of all present values; with `buckets`, of those in the column's bucket."""
+    def shown(field: T.StructField) -> Column:
+        value = _counted_value(field)
+        hashed = F.shiftrightunsigned(F.xxhash64(value.cast("string")), 64 - HASH_BITS)
+        wanted = value.isNotNull()
+        if buckets is not None:
+            wanted &= _bucket(hashed) == F.lit(buckets.get(field.name))
+        return F.when(wanted, hashed).alias(field.name)
+
+    return df.select(*[shown(f) for f in df.schema]).unpivot([], df.columns, "column_name", "hash").where(F.col("hash").isNotNull())
+
+
 def _with_roles(joined: DataFrame) -> DataFrame:
     enough = F.col("n_distinct") > F.col("n_rows") * ID_SHARE
     return joined.withColumns({

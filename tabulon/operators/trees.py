@@ -123,7 +123,8 @@ def best_split(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return split_gains(df, columns, label).agg(best.alias("best")).select("best.*")
 
 
-# Node ids are kept with the rows instead of walking every row down ever deeper trees, and more nodes fit one pass.
+# A forest keeps node ids with the rows instead of walking every row down ever deeper trees, and more nodes fit one pass. One
+# tree is walked: to write the ids of all rows anew for every level takes longer.
 TREE_SETTINGS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED, "minInfoGain": MIN_GAIN,
                  "minInstancesPerNode": LEAF_ROWS}
 
@@ -131,9 +132,10 @@ TREE_SETTINGS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "seed": SEED, "min
 def decision_tree(mode: str = "classification", max_depth: int = MAX_DEPTH, leaf_share: float = 0.0):
     """A leaf has LEAF_ROWS rows at least, whatever the table's size. A model of a very large table grows with it;
     `leaf_share`, the least share of all rows in a leaf, bounds it to 1 / leaf_share leaves."""
+    settings = {**TREE_SETTINGS, "cacheNodeIds": False}
     if mode == "classification":
-        return DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
-    return DecisionTreeRegressor(maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **TREE_SETTINGS)
+        return DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **settings)
+    return DecisionTreeRegressor(maxDepth=max_depth, minWeightFractionPerNode=leaf_share, **settings)
 
 
 def random_forest(mode: str = "classification", trees: int = DEFAULT_TREES, max_depth: int = FOREST_DEPTH, leaf_share: float = 0.0):

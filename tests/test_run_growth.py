@@ -2,13 +2,24 @@
 
 import time
 
+import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import SPACES, word_count
+from tabulon.operators import profile as P
+from tabulon.operators import trees as T
 from tabulon.operators import tuning
 from tabulon.operators.text_features import text_feature_stages
 
 
+@pytest.fixture
+def flowers_like(spark):
+    rows = [(float(i % 50), float(i * 7919 % 31), float((i % 50 > 20) + (i * 7919 % 31 > 15))) for i in range(600)]
+    df = spark.createDataFrame(rows, "x double, y double, label double")
+    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df).select("features", "label")
+
+
 def test_words_are_counted_without_a_pattern(spark):
     texts = ["", " ", "a", " a  b\tc\n", "\u00e4\u3000\u00f6 x", "".join(f"{s}w" for s in SPACES), "\x01 \x02", None, "a\u200bb", "\x1c\x1d"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -41,3 +52,23 @@ def _nodes(plan):
     for i in range(plan.children().size()):
         found += _nodes(plan.children().apply(i))
     return found
+
+
+def test_roles_of_a_wide_table(spark):
+    many, n = 120, 3000
+    most = [F.when(F.col("id") % 100 < 51, F.lit(-1)).otherwise(F.col("id")).alias(f"m{i}") for i in range(2)]
+    df = spark.range(n).select(*most, F.lit(None).cast("long").alias("none"), *[(F.col("id") * (i + 3)).alias(f"c{i}") for i in range(many)])
+    begin = time.monotonic()
+    got = {r.column_name: r for r in P.role_profile(df).collect()}
+    assert time.monotonic() - begin < 60
+    assert [got[f"m{i}"].top_count for i in range(2)] == [1530] * 2 and not got["m0"].counted
+    assert got["none"].counted and got["none"].n_distinct == 0 and got["none"].top_count is None
+    assert all(got[f"c{i}"].is_id and got[f"c{i}"].top_count == 1 for i in range(many))
+
+
+def test_one_tree_is_walked(flowers_like):
+    assert not T.decision_tree().getCacheNodeIds() and not T.decision_tree("regression").getCacheNodeIds()
+    assert T.random_forest().getCacheNodeIds()
+    kept = T.decision_tree().setCacheNodeIds(True).fit(flowers_like)
+    text = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert text(T.decision_tree().fit(flowers_like)) == text(kept) and kept.depth > 1
