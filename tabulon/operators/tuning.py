@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import SparkContext
@@ -27,6 +28,7 @@ from tabulon.operators.naive_bayes import GaussianBayes
 from tabulon.operators.rows import is_numeric
 from tabulon.operators.splits import row_digest, with_folds, with_split
 from tabulon.operators.trees import decision_tree, random_forest
+from tabulon.sources.tables import TASK_ROWS
 
 FOLDS = 5
 SEARCH_DRAWS = 50
@@ -58,6 +60,18 @@ class Prepared:
         return len(self.labels or [])
 
 
+@contextmanager
+def held(data: Prepared) -> Iterator[Prepared]:
+    """The rows in memory, computed by all tasks at once, for fits that read them again and again. A pass costs each task the
+    sums of all nodes or weights, however few rows it has, so partitions beyond two a core are merged, up to TASK_ROWS rows."""
+    frame = data.frame.persist()
+    try:
+        parts = max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // TASK_ROWS))
+        yield replace(data, frame=frame.coalesce(parts) if frame.rdd.getNumPartitions() > 2 * parts else frame)
+    finally:
+        frame.unpersist()
+
+
 def prepare(df: DataFrame, target: str, numbers: Sequence[str], mode: str = "classification", key: str | None = None,
             text_stages: Sequence = (), text_outputs: Sequence[str] = (), folds: int = FOLDS) -> Prepared:
     """Impute and assemble the inputs, index the target, and mark folds and the held-out fifth."""

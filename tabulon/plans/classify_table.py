@@ -82,9 +82,8 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
         outputs.append(f"_hashed_{i}")
     if not numbers and not outputs:
         raise ValueError("no numeric or text feature is left")
-    data = tuning.prepare(df, target, numbers, mode, key, stages, outputs)
-    data.frame.persist()
-    try:
+    prepared = tuning.prepare(df, target, numbers, mode, key, stages, outputs)
+    with tuning.held(prepared) as data:
         if model == FIND_BEST:
             tuned = None
             if mode == "classification" and search_draws:
@@ -99,8 +98,6 @@ def classify_table(df: DataFrame, model: str = FIND_BEST, target: str | None = N
             table = spark.createDataFrame(
                 [(0, model, "hold-out", scores["score"], None)],
                 "order int, model string, protocol string, score double, seconds double")
-    finally:
-        data.frame.unpersist()
     fields = [f for f in df.schema if f.name in [*numbers, *texts, *words, *wide]]
     saved = SavedModel(tuning.full_model(data, fitted), dataset, name, 1, target, mode, fields, data.labels, scores)
     lines = [

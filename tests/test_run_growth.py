@@ -72,3 +72,23 @@ def test_one_tree_is_walked(flowers_like):
     kept = T.decision_tree().setCacheNodeIds(True).fit(flowers_like)
     text = lambda m: m.toDebugString.split("\n", 1)[1]
     assert text(T.decision_tree().fit(flowers_like)) == text(kept) and kept.depth > 1
+
+
+def test_rows_are_held_by_a_task_a_core(spark, flowers_like):
+    data = tuning.Prepared(flowers_like.repartition(64), None, "classification", ["a", "b", "c"])
+    cores = spark.sparkContext.defaultParallelism
+    with tuning.held(data) as held:
+        assert held.frame.rdd.getNumPartitions() == cores
+        stored = [i for i in spark.sparkContext._jsc.sc().getRDDStorageInfo() if i.numPartitions() == 64]
+        assert stored and all(i.numCachedPartitions() == 64 for i in stored)
+        assert sorted(map(str, held.frame.collect())) == sorted(map(str, flowers_like.collect()))
+    assert not data.frame.storageLevel.useMemory
+    narrow = tuning.Prepared(flowers_like.repartition(cores + 1), None, "classification", ["a", "b", "c"])
+    with tuning.held(narrow) as held:
+        assert held.frame.rdd.getNumPartitions() == cores + 1
+
+
+def test_held_rows_bound_a_task(spark, flowers_like, monkeypatch):
+    monkeypatch.setattr(tuning, "TASK_ROWS", 30)
+    with tuning.held(tuning.Prepared(flowers_like.repartition(64), None, "classification", ["a", "b", "c"])) as held:
+        assert held.frame.rdd.getNumPartitions() == 600 // 30
