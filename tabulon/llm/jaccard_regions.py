@@ -4,7 +4,7 @@ Jaccard distance is a metric, and links are pairs within distance R. Space is cu
 
 1. Unrelated sets are all at distance 1, where pivots tell nothing apart. A set of which more shingles stand in no other
    set than a link allows is alone. Of the others, two linked sets share several of their first shingles in any fixed
-   order (the prefix whose length follows from R); sets tied by such shingles, directly or through others, are a region.
+   order (the prefix whose length follows from R; common shingles come last in ours); sets tied by such shingles, directly or through others, are a region.
 2. In a region, pivots take the sets nearest to them. A set x that is at distance d(x, p) from its own pivot p can
    only be linked with sets of pivot q if d(x, q) <= d(x, p) + 2 R; it is replicated to those cells, and each cell is
    joined again in the same way until it fits one task. There, one set after the other is the pivot: a set whose
@@ -45,6 +45,8 @@ TEXT_BYTES = 500_000
 SENT_BYTES = 4_000_000
 PIVOTS = 16
 FILTER_WORDS = 1 << 18
+#: Slots in which common shingles are counted, before prefixes are taken.
+MAX_SLOTS = 1 << 20
 
 # Fixed value: words are parted by blanks and the control characters 9 to 13.
 _member = np.ones(256, bool)
@@ -111,6 +113,8 @@ def _lone_shingles(docs: DataFrame, text: str, buckets: int, parts: int) -> Data
     """(node, lone): how many shingles of each set are in no other set. Buckets send their counts packed, a row for each of
     `parts` shares of the sets, and a task adds up a share.
 
+    Equal sets are one set, wherever their texts lie.
+
     A task sends, for each bucket of hashes and piece of texts, the piece's distinct shingles once: 32 bits of the hash and
     the set, or no set if several sets of the piece have it. So a shingle of all documents is one entry a piece, not one
     a document. Two shingles with the same 32 bits in a bucket only make a set seem less alone than it is."""
@@ -144,13 +148,14 @@ def _lone_shingles(docs: DataFrame, text: str, buckets: int, parts: int) -> Data
         # The part without a set comes first in a piece, with a negative count: its hashes are shared already.
         nodes, counts, hashes = (binary_values(table.column(c), kind) for c, kind in (("nodes", "<i8"), ("counts", "<i4"), ("hashes", "<u4")))
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        twin = np.zeros(len(ranked), bool)
-        same = ranked[1:] == ranked[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        lone = np.empty(len(ranked), bool)
-        lone[order] = ~twin
+        ranked, whose = hashes[order], np.repeat(nodes, np.abs(counts))[order]
+        head = np.ones(len(ranked), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        # Copies of one set in several pieces are no other set: a hash counts once for the only set that has it.
+        other = np.concatenate(([False], ~head[1:] & (whose[1:] != whose[:-1]))) | np.repeat(counts < 0, np.abs(counts))[order]
+        starts = np.flatnonzero(head)
+        lone = np.zeros(len(ranked), bool)
+        lone[order[starts]] = ~np.logical_or.reduceat(other, starts) if len(starts) else False
         sums = np.add.reduceat(lone, np.cumsum(np.abs(counts)) - np.abs(counts))
         keep = (counts > 0) & (sums > 0)
         nodes, sums = nodes[keep], sums[keep].astype("<i4")
@@ -224,37 +229,46 @@ class _Joined:
 def join_sets(nodes: np.ndarray, ends: np.ndarray, flat: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect the sets as all links do: at most one fewer than there are sets.
 
-    Each set in turn is the pivot. It is compared with the sets that are not yet connected with it, whose sizes allow a
-    link, and whose distances to earlier pivots, kept for the last few, differ from its own by no more than R."""
+    Each set in turn is the pivot. It is compared with the sets that have one of its rarest shingles, are not yet connected
+    with it, whose sizes allow a link, and whose distances to earlier pivots, kept for the last few, differ from its own by no more than R."""
     n = len(nodes)
     sizes = np.diff(ends)
     order = np.argsort(-sizes, kind="stable")
-    values, codes = np.unique(flat, return_inverse=True)
+    values, codes, held = np.unique(flat, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
     by_value = np.argsort(codes, kind="stable")
-    value_ends = np.searchsorted(codes[by_value], np.arange(len(values) + 1))
+    value_ends = np.concatenate(([0], np.cumsum(held)))
     posting = owner[by_value]
+    # The rarest shingles of each set, one more than a link allows to be missing: a set that has none of them is not linked.
+    first = np.lexsort((codes, held[codes], owner))
+    place = np.arange(len(flat)) - np.repeat(ends[:-1], sizes)
+    probe = first[(place < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)) & (held[codes[first]] > 1)]
+    probes, probe_ends = codes[probe], np.searchsorted(owner[probe], np.arange(n + 1))
     joined = _Joined(n)
     label = np.arange(n)
     radius = 1 - percent / 100 + 1e-9
     kept: list[np.ndarray] = []
     links = []
     for p in order:
-        open_ = (label != label[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
+        if probe_ends[p] == probe_ends[p + 1]:
+            continue
+        near = np.unique(np.concatenate([posting[value_ends[c]:value_ends[c + 1]] for c in probes[probe_ends[p]:probe_ends[p + 1]]]))
+        near = near[(label[near] != label[p]) & (100 * np.minimum(sizes[near], sizes[p]) >= percent * np.maximum(sizes[near], sizes[p]))]
         for far in kept:
-            open_ &= np.abs(far - far[p]) <= radius
-        if not open_.any():
+            near = near[np.abs(far[near] - far[p]) <= radius]
+        if not len(near):
             continue
         own = codes[ends[p]:ends[p + 1]]
         shared = np.bincount(np.concatenate([posting[value_ends[c]:value_ends[c + 1]] for c in own]), minlength=n)
         union = sizes + sizes[p] - shared
         kept = [*kept[-7:], 1 - shared / union]
-        for i in np.flatnonzero(open_ & (100 * shared >= percent * union)):
+        before = len(links)
+        for i in near[100 * shared[near] >= percent * union[near]]:
             a, b = joined.root(p), joined.root(i)
             if a != b:
                 joined.up[max(a, b)] = min(a, b)
                 links.append((int(nodes[p]), int(nodes[i])))
-        if links:
+        if len(links) > before:
             label = joined.up.copy()
             while True:
                 deeper = label[label]
@@ -277,9 +291,21 @@ def _cell_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 1 - shared / (len(a) + len(b) - shared)
+class _Pivots:
+    """The pivots of a region; distances of many sets to all of them at once."""
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray]) -> None:
+        self.nodes, self.sizes = np.array(nodes, np.int64), np.array([len(s) for s in sets])
+        self.values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.has = np.zeros((len(self.values), len(sets)), np.int32)
+        self.has[codes, np.repeat(np.arange(len(sets)), self.sizes)] = 1
+
+    def distances(self, flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, flat), len(self.values) - 1)
+        hit = np.flatnonzero(self.values[at] == flat)
+        shared = np.zeros((len(ends) - 1, len(self.nodes)), np.int64)
+        np.add.at(shared, np.searchsorted(ends, hit, side="right") - 1, self.has[at[hit]])
+        return 1 - shared[rows] / (np.diff(ends)[rows, None] + self.sizes - shared[rows])
 
 
 def region_links(sets: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
@@ -315,32 +341,38 @@ def _voronoi(big: DataFrame, round_: int) -> tuple[DataFrame, DataFrame, DataFra
     parts = drawn.select("region", F.pmod("h", F.lit(PIVOTS)).alias("slot"), "h", "node", "set") \
         .groupBy("region", "slot").agg(F.min_by(F.struct("node", "set"), F.struct("h", "node")).alias("pivot"))
     pivots = parts.groupBy("region").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
-    joined = big.join(pivots, "region")
+    # A large region has REGION_SHINGLES or more, so its PIVOTS sets are a small part of them; every task holds them.
+    shared = big.sparkSession.sparkContext.broadcast({r.region: _Pivots([p.node for p in r.pivots], [np.array(p.set, np.int64) for p in r.pivots])
+                                                      for r in pivots.collect()})
     radius = 1 - PERCENT / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            region, node, set_, cell, pivot = [], [], [], [], []
-            for r, n, s, ps in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                own = np.array(s)
-                far = [_distance(own, np.array(p["set"])) for p in ps]
-                home = int(np.argmin(far))
-                for i, d in enumerate(far):
-                    if d <= far[home] + 2 * radius + 1e-9:
-                        region.append(r)
-                        node.append(n)
-                        set_.append(s)
-                        cell.append(i)
-                        pivot.append(ps[i]["node"] if d <= radius + 1e-9 else None)
-            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(node, pa.int64()), pa.array(set_, pa.list_(pa.int64())),
-                                              pa.array(cell, pa.int32()), pa.array(pivot, pa.int64())], ["region", "node", "set", "cell", "pivot"])
-
-    dealt = cut_lineage(joined.select("region", "node", "set", "pivots").mapInArrow(
+            regions, nodes, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            ends = np.asarray(sets.offsets, np.int64)
+            flat, ends = np.asarray(sets.values)[ends[0]:ends[-1]], ends - ends[0]
+            rows, cells, links = [], [], []
+            for region in np.unique(regions):
+                own, pivots = np.flatnonzero(regions == region), shared.value[region]
+                far = pivots.distances(flat, ends, own)
+                row, cell = np.nonzero(far <= far.min(axis=1)[:, None] + 2 * radius + 1e-9)
+                rows.append(own[row])
+                cells.append(cell)
+                links.append(np.where(far[row, cell] <= radius + 1e-9, pivots.nodes[cell], nodes[own[row]]))
+            if not rows:
+                continue
+            rows, cells, links = (np.concatenate(x) for x in (rows, cells, links))
+            for a in range(0, len(rows), 4096):
+                at = pa.array(rows[a:a + 4096])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sets.take(at), pa.array(cells[a:a + 4096].astype(np.int32)),
+                                                  pa.array(links[a:a + 4096])], ["region", "node", "set", "cell", "pivot"])
+
+    dealt = cut_lineage(big.select("region", "node", "set").mapInArrow(
         run, "region long, node long, set array<long>, cell int, pivot long"))
     size = dealt.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("m")).groupBy("region").agg(F.max("m").alias("m"))
     whole = dealt.groupBy("region").agg(F.countDistinct("node").alias("n"))
     stuck = cut_lineage(size.join(whole, "region").filter(3 * F.col("m") > 2 * F.col("n")).select("region"))
-    links = dealt.filter("pivot is not null and pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = dealt.filter("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     cells = dealt.join(stuck, "region", "left_anti").select(F.xxhash64("region", "cell", F.lit(round_)).alias("region"), "node", "set")
     return cut_lineage(cells), cut_lineage(links), stuck
 
@@ -363,13 +395,63 @@ def _required(n: str) -> Column:
     return 1 + F.floor(F.col(n) / EXTRA)
 
 
-def _first_shingles(sets: DataFrame) -> DataFrame:
+def _levels(sets: DataFrame, shingles: int) -> np.ndarray:
+    """For each slot of shingle hashes 0, or a level that grows with how many more shingles of the sets fall into it than into
+    the others: where common shingles are. At most MAX_SLOTS numbers, whatever the table."""
+    slots = min(MAX_SLOTS, max(1 << 10, 1 << int(shingles // 64).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            total += np.bincount(_slot(np.asarray(column.values)[column.offsets[0].as_py():column.offsets[-1].as_py()], slots), minlength=slots)
+        cut = [c.astype("<i8") for c in total.reshape(-1, 1 << 10)]
+        held = [i for i, c in enumerate(cut) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([cut[i].tobytes() for i in held], pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = binary_values(table.column("counts"), "<i8").reshape(-1, 1 << 10).sum(axis=0)
+        usual = shingles / slots
+        over = (total - usual) / (8 + 6 * usual ** 0.5)
+        at = np.flatnonzero(over > 1)
+        return pa.table({"slot": pa.array(at + (table.column("part")[0].as_py() << 10), pa.int64()), "level": pa.array(1 + (2 * np.log2(over[at])).astype(np.int64))})
+
+    out = np.zeros(slots, np.int16)
+    found = sets.select("set").mapInArrow(send, "part int, counts binary").groupBy("part").applyInArrow(add, "slot long, level long").toArrow()
+    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return out
+
+
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return ((hashes.view(np.uint64) >> np.uint64(20)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _first_shingles(sets: DataFrame, levels: np.ndarray) -> DataFrame:
     """(shingle, node, n) of the prefixes, for shingles in more than one of them. Linked sets share, in their first
-    allowed + required shingles by hash, at least the smaller required number."""
-    sized = sets.withColumn("n", F.size("set").cast("long"))
-    entries = sized.select("node", "n", F.explode(F.slice("set", F.lit(1), (_allowed_column("n") + _required("n")).cast("int"))).alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle")
-    return cut_lineage(entries.join(shared, "shingle"))
+    allowed + required shingles in any one order, at least the smaller required number. Here common shingles come last, the
+    others by hash: prefixes of shingles that many unrelated sets have would tie those into one region."""
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            column = batch.column(1)
+            ends = np.asarray(column.offsets, np.int64)
+            flat = np.asarray(column.values)[ends[0]:ends[-1]]
+            n = np.diff(ends)
+            owner = np.repeat(np.arange(len(n)), n)
+            # Sets are sorted by hash, and few shingles are common: the keys are nearly in order.
+            order = np.argsort(owner * (int(levels.max()) + 1) + levels[_slot(flat, len(levels))], kind="stable")
+            first = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], n) < np.repeat(n - (PERCENT * n + 99) // 100 + 1 + n // EXTRA, n)
+            flat, owner = flat[order][first], owner[order][first]
+            nodes = batch.column(0).to_numpy()
+            for a in range(0, len(flat), 100_000):
+                o = owner[a:a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[o]), pa.array(n[o]), pa.array(flat[a:a + 100_000])], ["node", "n", "shingle"])
+
+    entries = sets.select("node", "set").mapInArrow(run, "node long, n long, shingle long")
+    common = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle")
+    return cut_lineage(entries.join(common, "shingle"))
 
 
 def _star_links(members: DataFrame) -> DataFrame:
@@ -399,7 +481,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = slim.filter("node is not null").groupBy("node").agg(F.min(key).alias(key), F.max("n_shingles").alias("n"))
     wanted = cut_lineage(sets.join(lone, "node", "left").filter(F.coalesce("lone", F.lit(0)) <= _allowed_column("n")).select("node", key, "n"))
     found = cut_lineage(_sets_of(docs, key, text, wanted.select("node", key)))
-    members = _first_shingles(found)
+    members = _first_shingles(found, _levels(found, found.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0]))
     regions = cut_lineage(components(_star_links(members)))
     links = region_links(found.join(regions.select("node", F.col("root").alias("region")), "node"))
     roots = components(links)
